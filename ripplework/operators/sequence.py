@@ -143,28 +143,37 @@ def group_quantiles(
     value: str,
     probs: Mapping[str, float],
     *,
+    cnt: str | None = None,
     blocked: bool | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, one output column per entry of ``probs``."""
+    """Exact linear-interpolation quantiles per group, one output column per entry of ``probs``.
+
+    ``cnt`` names a column of repetitions. Ordinary groups use the built-in ``percentile``; groups
+    too large for one buffer are ranked as a value histogram and cut by running counts.
+    """
     rows = df.where(F.col(value).isNotNull())
     if blocked is None:
         blocked = has_hot_group(rows, keys)
     if not blocked:
-        aggs = [F.percentile(value, float(p)).alias(out) for out, p in probs.items()]
+        times = (cnt,) if cnt else ()
+        aggs = [F.percentile(value, float(p), *times).alias(out) for out, p in probs.items()]
         return rows.groupBy(*keys).agg(*aggs)
-    hist = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    weight = F.sum(cnt) if cnt else F.count(F.lit(1))
+    hist = rows.groupBy(*keys, value).agg(weight.alias("_c"))
     ranked = arrange(hist, keys, [value], blocked=True).add(sums={"_cum": "_c"}).rows()
-    totals = hist.groupBy(*keys).agg(F.sum("_c").alias("_total"))
-    ranked = ranked.join(totals, list(keys))
+    ranked = ranked.join(hist.groupBy(*keys).agg(F.sum("_c").alias("_total")), list(keys))
+
+    def position(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("_total") - 1)
+
     aggs = [F.first("_total").alias("_total")]
     for out, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs.append(F.min(F.when(F.col("_cum") > F.floor(pos), F.col(value))).alias(f"_lo_{out}"))
-        aggs.append(F.min(F.when(F.col("_cum") > F.ceil(pos), F.col(value))).alias(f"_hi_{out}"))
+        for end, at in (("_lo_", F.floor(position(p))), ("_hi_", F.ceil(position(p)))):
+            aggs.append(F.min(F.when(F.col("_cum") > at, F.col(value))).alias(end + out))
     cut = ranked.groupBy(*keys).agg(*aggs)
     outs = []
     for out, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
-        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).cast("double").alias(out))
+        lo, hi = F.col("_lo_" + out), F.col("_hi_" + out)
+        inside = position(p) - F.floor(position(p))
+        outs.append((lo + (hi - lo) * inside).cast("double").alias(out))
     return cut.select(*keys, *outs)
