@@ -31,12 +31,6 @@ def with_binomial_upper(rows: DataFrame, k: str, n: str, out: str) -> DataFrame:
     return rows.join(pairs, [k, n])
 
 
-def mid_rank_share(value: Column, sample: str) -> Column:
-    """Aggregate: percentile rank of ``value`` in ``sample``, ties counted half."""
-    below, equal = F.count_if(F.col(sample) < value), F.count_if(F.col(sample) == value)
-    return F.try_divide((below + 0.5 * equal) * 100.0, F.count(sample))
-
-
 def akaike(p: Column, ll: Column) -> Column:
     return 2.0 * p - 2.0 * ll
 

@@ -381,11 +381,12 @@ def likelihood_grid(
     eps: Sequence[float] = EPS_GRID,
     cs: Sequence[float] = C_GRID,
     k: int = GATE_K,
+    basis: str = "linear",
     **options,
 ) -> DataFrame:
-    """``ll(stream_id, n, eps, c)``: best linear-baseline likelihood for every grid cell."""
+    """``ll(stream_id, n, eps, c)``: best likelihood over the baseline for every grid cell."""
     grid = shape_grid(eps, cs)
-    fits = fit_cells(events, streams, [g[2] for g in grid], basis="linear", ks=[k], ns=ns, **options)
+    fits = fit_cells(events, streams, [g[2] for g in grid], basis=basis, ks=[k], ns=ns, **options)
     idx = F.col("kernel_idx")
     return fits.select(
         "stream_id",

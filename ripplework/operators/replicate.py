@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplework.functions.columns import mid_rank_share, wilson_interval, with_binomial_upper
-from ripplework.operators.sequence import group_quantiles
+from ripplework.functions.columns import wilson_interval, with_binomial_upper
+from ripplework.operators.sequence import arrange, group_quantiles
 
 # fixed values of the rules
 N_MATCH_TOLERANCE = 0.06
@@ -78,14 +78,12 @@ def magnitude_rule(runs: DataFrame, markets: DataFrame) -> DataFrame:
     pooled = runs.where(~F.col("identified")).select(F.lit(0).alias("pool"), F.col("peak").alias("_g"))
     cut = group_quantiles(pooled, ["pool"], "_g", {"median_peak": 0.5, "cut_peak": RESTORED_QUANTILE})
     ceiling = pooled.groupBy("pool").agg(F.avg((F.col("_g") >= CEILING_N).cast("double")).alias("ceiling_share"))
-    # peaks sit on the n grid, so the pool collapses to one row per grid value
-    hist = pooled.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
-    rank = markets.select("stream_id", "peak").join(F.broadcast(hist)).groupBy("stream_id", "peak").agg(
-        F.try_divide(
-            100.0 * F.sum(F.when(F.col("_g") < F.col("peak"), F.col("_c")).when(F.col("_g") == F.col("peak"), 0.5 * F.col("_c")).otherwise(0.0)),
-            F.sum("_c"),
-        ).alias("percentile")
-    )
+    rank = percentile_ranks(
+        markets.select(F.lit(0).alias("pool"), F.col("peak").alias("value")),
+        pooled.select("pool", F.col("_g").alias("x")),
+        ["pool"],
+    ).select(F.col("value").alias("peak"), "percentile")
+    rank = markets.select("stream_id", "peak").join(rank, "peak", "left")
     limits = cut.join(ceiling, "pool").drop("pool")
     label = (
         F.when(F.col("peak") > F.col("cut_peak"), "restored")
@@ -96,9 +94,23 @@ def magnitude_rule(runs: DataFrame, markets: DataFrame) -> DataFrame:
 
 
 def percentile_ranks(values: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
-    """Mid-rank percentile of ``values(<keys>, value)`` in ``sample(<keys>, x)``; one value per key."""
-    joined = sample.join(values, keys)
-    return joined.groupBy(*keys, "value").agg(mid_rank_share(F.col("value"), "x").alias("percentile"))
+    """Mid-rank percentile of each distinct ``values(<keys>, value)`` in ``sample(<keys>, x)``.
+
+    Both sides are merged into one value histogram and ranked by running counts, so no value meets
+    the whole sample.
+    """
+    counted = sample.groupBy(*keys, F.col("x").alias("value")).agg(F.count(F.lit(1)).alias("_c"))
+    asked = values.select(*keys, "value").distinct().withColumn("_asked", F.lit(1))
+    merged = (
+        counted.withColumn("_asked", F.lit(0))
+        .unionByName(asked.withColumn("_c", F.lit(0).cast("bigint")))
+        .groupBy(*keys, "value")
+        .agg(F.sum("_c").alias("_c"), F.max("_asked").alias("_asked"))
+    )
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ranked = arrange(merged, keys, ["value"]).add(sums={"_cum": "_c"}).rows()
+    share = (F.col("_cum") - 0.5 * F.col("_c")) * 100.0 / F.col("_n")
+    return ranked.where("_asked = 1").join(totals, keys).select(*keys, "value", share.alias("percentile"))
 
 
 def separation_rule(runs: DataFrame, markets: DataFrame) -> DataFrame:

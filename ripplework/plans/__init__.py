@@ -1,0 +1,10 @@
+"""Queries over the given tables."""
+
+from ripplework.plans import ingest_queries  # noqa: F401
+from ripplework.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+
+def flagship(spark, sf_dir):
+    return None
