@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.operators.sequence import arrange, group_quantiles
+from ripplework.operators.sequence import arrange, group_quantiles, has_hot_group
 from ripplework.operators.shape import STREAM, gaps
 from ripplework.operators.validate import forest_violations, require_empty
 from ripplework.session import checkpointed
@@ -35,6 +35,8 @@ class MergePolicy:
 
 def bin_width(events: DataFrame, k: float, *, blocked: bool | None = None) -> DataFrame:
     """``dt = k * median gap`` per stream."""
+    if blocked is None:
+        blocked = has_hot_group(events, STREAM)
     rows = gaps(events, blocked=blocked)
     medians = group_quantiles(rows, STREAM, "gap", {"_median": 0.5}, blocked=blocked)
     counts = rows.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("n_events"))
@@ -78,6 +80,8 @@ def quiet_time_cascades(
 ) -> DataFrame:
     """Cascades split by an empty bin: size in events, duration in bins spanned."""
     policy.check()
+    if blocked is None:
+        blocked = has_hot_group(events, STREAM)  # occupied bins are never more than events
     runs = bin_runs(occupied_bins(events, widths), STREAM, blocked=blocked)
     return (
         runs.groupBy("stream_id", F.col("run_id").cast("bigint").alias("cascade_id"))
@@ -183,6 +187,8 @@ def calibrate_width(
     Streams below ``min_events`` are left out; ``used_streams`` tells how many remained, and with
     none every value is 0.0. ``is_best`` marks the largest mean (first k on ties).
     """
+    if blocked is None:
+        blocked = has_hot_group(labeled, STREAM)
     events = labeled.withColumn("event_id", F.col("idx"))
     medians = bin_width(events, 1.0, blocked=blocked).where(F.col("n_events") >= min_events)
     ks = F.explode(F.array(*[F.lit(float(k)) for k in grid]))

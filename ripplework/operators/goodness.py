@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ripplework.functions.kernels import Kernel, exponential, fine_power_law
 from ripplework.operators.excite import decay_scan, self_compensator, stack_kernels
 from ripplework.operators.fit import fit_exponential
-from ripplework.operators.sequence import arrange
+from ripplework.operators.sequence import arrange, has_hot_group
 from ripplework.operators.shape import STREAM, TIME_ORDER, quantize, tie_fraction
 
 
@@ -46,6 +46,8 @@ def compensator(
     ``fits`` carries ``stream_id, kernel_idx, n, theta, edges`` and the ``extra`` columns that tell
     several fits of a stream apart.
     """
+    if blocked is None:
+        blocked = has_hot_group(events, STREAM)
     scanned = self_compensator(events, kernels, blocked=blocked)
     keys = [*extra, "kernel_idx"]
     rows = scanned.join(fits.select("stream_id", *keys, "n", "theta", "edges"), STREAM)
@@ -94,6 +96,8 @@ def ks_of_fits(
     blocked: bool | None = None,
 ) -> DataFrame:
     """KS distance of every fit under the exact power-law compensator of its shape."""
+    if blocked is None:
+        blocked = has_hot_group(events, STREAM)
     kernels = [fine_power_law(e, c) for e, c in shapes]
     lam = compensator(events, fits, kernels, basis=basis, extra=extra, blocked=blocked)
     return ks_unit_exponential(lam, ["stream_id", *extra, "kernel_idx"], blocked=blocked)
@@ -106,6 +110,8 @@ def exponential_residuals(
 
     Times are scaled by the stream's rate, so that one unit-rate sweep serves all streams.
     """
+    if blocked is None:
+        blocked = has_hot_group(events, STREAM)
     scale = fits.select("stream_id", "mu", "n", "beta")
     scaled = events.join(scale, STREAM).withColumn("t", F.col("t") * F.col("beta"))
     scanned = decay_scan(scaled, *stack_kernels([exponential(1.0)]), blocked=blocked)

@@ -1,10 +1,7 @@
 """Queries over the given tables."""
 
-from ripplework.plans import ingest_queries  # noqa: F401
+from ripplework.plans import ingest_queries, shape_queries  # noqa: F401
 from ripplework.plans.catalog import QUERIES, SQL
+from ripplework.plans.shape_queries import bursty_cascades as flagship
 
-__all__ = ["QUERIES", "SQL"]
-
-
-def flagship(spark, sf_dir):
-    return None
+__all__ = ["QUERIES", "SQL", "flagship"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplework.operators.cascades import bin_width, quiet_time_cascades
-from ripplework.operators.sequence import arrange
+from ripplework.operators.sequence import arrange, has_hot_group
 from ripplework.operators.shape import relative_times, stream_spans
 from ripplework.session import ensure_checkpoint_dir
 from ripplework.sources.capture import TRADE_TYPE, parse_capture, trades
@@ -40,6 +40,11 @@ def events_by(spark: SparkSession, sf_dir: str, key: str = "user_id", unit: floa
     return relative_times(rows, "us", unit)
 
 
+def is_hot(spark: SparkSession, sf_dir: str, key: str = "user_id") -> bool:
+    """One cheap look at the source, so that everything derived from it need not look again."""
+    return has_hot_group(table(spark, sf_dir, "events").select(key), [key])
+
+
 def user_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = events_by(spark, sf_dir).select("stream_id", "event_id", "t")
     return events, stream_spans(events)
@@ -128,7 +133,8 @@ def reported_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
     """``labeled_events``: every fifth event starts a tree, others reply up to three events back in it."""
     events = events_by(spark, sf_dir, key)
-    seq = arrange(events, ["stream_id"], ["t", "event_id"]).add(rn="_rn")
+    hot = is_hot(spark, sf_dir, key)
+    seq = arrange(events, ["stream_id"], ["t", "event_id"], blocked=hot).add(rn="_rn")
     seq = seq.transform(
         lambda d: d.withColumn(
             "_root", ((F.col("event_id") % 5 == 0) | (F.col("_rn") == 1)).cast("bigint")
@@ -153,7 +159,8 @@ def forest(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
 def cascades(spark: SparkSession, sf_dir: str, k: float = 1.0) -> DataFrame:
     """Quiet-time cascades of every user, with the set they are studied in and a censoring flag."""
     events, _ = user_streams(spark, sf_dir)
-    found = quiet_time_cascades(events, bin_width(events, k))
+    hot = is_hot(spark, sf_dir)
+    found = quiet_time_cascades(events, bin_width(events, k, blocked=hot), blocked=hot)
     return found.withColumns(
         {
             "set_id": F.concat(F.lit("s"), (F.col("stream_id").cast("bigint") % 2).cast("string")),
