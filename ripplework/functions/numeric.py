@@ -57,15 +57,18 @@ def stream_gaps(stream: np.ndarray, t: np.ndarray, last_stream=None, last_t: flo
     return gap
 
 
-def hurwitz_zeta(s: np.ndarray, q: np.ndarray, terms: int = 10) -> np.ndarray:
-    """``sum_{k>=0} (q + k)^-s`` by Euler-Maclaurin summation after ``terms`` direct terms."""
-    s, q = np.broadcast_arrays(np.asarray(s, float), np.asarray(q, float))
-    direct = sum((q + k) ** -s for k in range(terms))
-    m = q + terms
-    tail = m ** (1.0 - s) / (s - 1.0) + 0.5 * m**-s
-    tail = tail + s / 12.0 * m ** (-s - 1.0)
-    tail = tail - s * (s + 1.0) * (s + 2.0) / 720.0 * m ** (-s - 3.0)
-    tail = tail + s * (s + 1) * (s + 2) * (s + 3) * (s + 4) / 30240.0 * m ** (-s - 5.0)
+def hurwitz_zeta(s: np.ndarray, q: np.ndarray, scale: np.ndarray = 1.0, terms: int = 10) -> np.ndarray:
+    """``sum_{k>=0} ((q + k) / scale)^-s`` by Euler-Maclaurin summation after ``terms`` direct terms.
+
+    A scale near ``q`` keeps steep exponents from underflowing.
+    """
+    s, q, scale = np.broadcast_arrays(*(np.asarray(x, float) for x in (s, q, scale)))
+    direct = sum(((q + k) / scale) ** -s for k in range(terms))
+    m = (q + terms) / scale
+    tail = scale * m ** (1.0 - s) / (s - 1.0) + 0.5 * m**-s
+    tail = tail + s / 12.0 * m ** (-s - 1.0) / scale
+    tail = tail - s * (s + 1.0) * (s + 2.0) / 720.0 * m ** (-s - 3.0) / scale**3
+    tail = tail + s * (s + 1) * (s + 2) * (s + 3) * (s + 4) / 30240.0 * m ** (-s - 5.0) / scale**5
     return direct + tail
 
 

@@ -22,7 +22,7 @@ def tail_distance(
         a, x0, n = alpha[cut, None], xmin[cut, None], n_tail[cut, None]
         above = value[None, :] >= x0
         v = np.where(above, value[None, :], x0)
-        fitted = hurwitz_zeta(a, v) / hurwitz_zeta(a, x0)
+        fitted = hurwitz_zeta(a, v, x0) / hurwitz_zeta(a, x0, x0)
         observed = n_ge[None, :] / n
         out[cut] = np.where(above, np.abs(fitted - observed), 0.0).max(axis=1)
     return out
@@ -35,17 +35,17 @@ def draw_tail(rng: np.random.Generator, size: int, xmin: float, alpha: float) ->
 
 
 def _truncated_log_norm(alpha: float, rate: float, xmin: float) -> float:
-    """``log sum_{k>=xmin} k^-alpha exp(-rate (k - xmin))``."""
+    """``log sum_{k>=xmin} (k / xmin)^-alpha exp(-rate (k - xmin))``."""
     direct = xmin + np.arange(64)
-    total = float(np.sum(direct**-alpha * np.exp(-rate * (direct - xmin))))
+    total = float(np.sum((direct / xmin) ** -alpha * np.exp(-rate * (direct - xmin))))
     m = xmin + 64.0
     reach = min(math.log1p(60.0 / (rate * m)), 60.0 / max(alpha - 1.0, 1e-3))
     node, weight = _LEGENDRE
     u = 0.5 * reach * (node + 1.0)
     inside = np.exp(u * (1.0 - alpha) - rate * m * np.expm1(u))
     scale = math.exp(-rate * (m - xmin))
-    total += m ** (1.0 - alpha) * scale * 0.5 * reach * float(weight @ inside)
-    at_m = m**-alpha * scale
+    at_m = (m / xmin) ** -alpha * scale
+    total += m * at_m * 0.5 * reach * float(weight @ inside)
     return math.log(total + 0.5 * at_m + at_m * (alpha / m + rate) / 12.0)
 
 
@@ -82,7 +82,7 @@ def _simplex_minimum(f, start: np.ndarray, scale: np.ndarray, steps: int = 400)
 
 
 def _log_power(x, alpha, xmin):
-    return -alpha * np.log(x) - math.log(float(hurwitz_zeta(alpha, xmin)))
+    return -alpha * np.log(x / xmin) - math.log(float(hurwitz_zeta(alpha, xmin, xmin)))
 
 
 def _log_exponential(x, cnt, xmin):
@@ -94,7 +94,7 @@ def _log_exponential(x, cnt, xmin):
 def _log_truncated(x, cnt, xmin, alpha0):
     def logs(p):
         alpha, rate = 1.0 + math.exp(min(p[0], 5.0)), math.exp(min(p[1], 5.0))
-        return -alpha * np.log(x) - rate * (x - xmin) - _truncated_log_norm(alpha, rate, xmin)
+        return -alpha * np.log(x / xmin) - rate * (x - xmin) - _truncated_log_norm(alpha, rate, xmin)
 
     mean = float(cnt @ x) / float(cnt.sum())
     best = None

@@ -145,27 +145,29 @@ def reply_tree_cascades(labeled: DataFrame, *, strict: bool = True) -> DataFrame
     )
 
 
-def _pairs(c: str):
-    n = F.col(c).cast("decimal(19,0)")
-    return F.sum((n * (n - 1)).cast("decimal(38,0)"))
-
-
 def adjusted_rand(
     cells: DataFrame, keys: Sequence[str], label_a: str, label_b: str, cnt: str = "cnt"
 ) -> DataFrame:
-    """Adjusted Rand index from contingency counts; 1.0 when the maximum equals the expectation."""
+    """Adjusted Rand index from contingency counts; 1.0 when the maximum equals the expectation.
+
+    Cells and both margins come from one pass over grouping sets.
+    """
     keys = list(keys)
-    table = cells.groupBy(*keys, label_a, label_b).agg(F.sum(cnt).alias("_c"))
+    sets = [[*keys, label_a, label_b], [*keys, label_a], [*keys, label_b]]
+    table = cells.groupingSets(sets, *keys, label_a, label_b).agg(
+        F.sum(cnt).cast("decimal(19,0)").alias("_c"),
+        F.grouping(label_a).alias("_no_a"),
+        F.grouping(label_b).alias("_no_b"),
+    )
     # pair counts are kept doubled, as exact decimals, until the last division
-    both = table.groupBy(*keys).agg(_pairs("_c").alias("_ab"), F.sum("_c").alias("_n"))
-    side_a = table.groupBy(*keys, label_a).agg(F.sum("_c").alias("_c"))
-    side_b = table.groupBy(*keys, label_b).agg(F.sum("_c").alias("_c"))
-    a = side_a.groupBy(*keys).agg(_pairs("_c").alias("_a"))
-    b = side_b.groupBy(*keys).agg(_pairs("_c").alias("_b"))
-    if keys:
-        joined = both.join(a, keys).join(b, keys)
-    else:
-        joined = both.join(F.broadcast(a)).join(F.broadcast(b))  # one row each
+    pairs = (F.col("_c") * (F.col("_c") - 1)).cast("decimal(38,0)")
+    both = (F.col("_no_a") == 0) & (F.col("_no_b") == 0)
+    joined = table.groupBy(*keys).agg(
+        F.sum(F.when(both, pairs)).alias("_ab"),
+        F.sum(F.when(F.col("_no_b") == 1, pairs)).alias("_a"),
+        F.sum(F.when(F.col("_no_a") == 1, pairs)).alias("_b"),
+        F.sum(F.when(both, F.col("_c"))).cast("bigint").alias("_n"),
+    )
     pa, pb, pab = (F.col(c).cast("double") / 2.0 for c in ("_a", "_b", "_ab"))
     n = F.col("_n").cast("double")
     total = n * (n - 1.0) / 2.0
@@ -193,7 +195,7 @@ def calibrate_width(
     medians = bin_width(events, 1.0, blocked=blocked).where(F.col("n_events") >= min_events)
     ks = F.explode(F.array(*[F.lit(float(k)) for k in grid]))
     widths = medians.select("stream_id", ks.alias("k"), "dt").withColumn("dt", F.col("dt") * F.col("k"))
-    cells = occupied_bins(events, widths, extra=["root_idx"])
+    cells = checkpointed(occupied_bins(events, widths, extra=["root_idx"]))
     bins = cells.select("stream_id", "k", "bin").distinct()
     runs = bin_runs(bins, ["stream_id", "k"], blocked=blocked)
     labeled_cells = cells.join(runs, ["stream_id", "k", "bin"])

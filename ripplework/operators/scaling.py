@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.operators.sequence import arrange, group_quantiles
-from ripplework.operators.tail import _replicate_rng, exponent_at, fit_tail, value_histogram
+from ripplework.operators.tail import exponent_at, field, fit_tail, replicate_rng, value_histogram
+from ripplework.session import checkpointed
 
 MIN_COUNT = 50
 MIN_DURATIONS = 4
@@ -130,7 +131,7 @@ def tail_slope(
 def correction_forms(cells: DataFrame, keys: Sequence[str], min_count: int = MIN_COUNT) -> DataFrame:
     """Slope and AIC of every correction form, the form with the smallest AIC marked."""
     keys = list(keys)
-    means = duration_means(cells, keys, min_count)
+    means = checkpointed(duration_means(cells, keys, min_count))
     out = None
     for form, correction in CORRECTIONS.items():
         fit = _least_squares(means, keys, form)
@@ -167,6 +168,7 @@ def exponents(
     A threshold table ``(<keys>, xmin)`` fixes where a tail starts instead of searching for it.
     """
     keys = list(keys)
+    cells = checkpointed(cells)  # one row per (size, duration), read three times
 
     def exponent(column: str, thresholds: DataFrame | None, name: str) -> DataFrame:
         hist = value_histogram(cells, keys, column, "cnt")
@@ -190,6 +192,7 @@ def tail_arm(
     durations keep the size verdict alone.
     """
     keys = list(keys)
+    cells = checkpointed(cells)
     spread = cells.groupBy(*keys).agg(F.countDistinct("duration").alias("_nd"))
     usable = cells.join(spread.where("_nd >= 2").select(*keys), keys, "left_semi")
     durations = fit_tail(value_histogram(usable, keys, "duration", "cnt"), keys)
@@ -235,7 +238,7 @@ def resample_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed:
     def split(parts):
         for pdf in parts:
             for row in pdf.to_dict("records"):
-                rng = _replicate_rng(seed, "chunks", *(row[k] for k in keys), row["replicate"])
+                rng = replicate_rng(seed, "chunks", *(row[k] for k in keys), row["replicate"])
                 sizes = np.asarray(row["_sizes"], float)
                 drawn = rng.multinomial(int(sizes.sum()), sizes / sizes.sum())
                 part = pd.DataFrame({"_chunk": np.asarray(row["_ids"], "int64"), "_draws": drawn})
@@ -249,7 +252,7 @@ def resample_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed:
     work = shares.where("_draws > 0").join(
         packed.select(
             *keys, "_chunk",
-            *[F.transform("_cells", lambda x, f=f: x[f]).alias(f"_{f}") for f in ("size", "duration", "cnt")],
+            *[F.transform("_cells", field(f)).alias(f"_{f}") for f in ("size", "duration", "cnt")],
         ),
         [*keys, "_chunk"],
     )
@@ -257,7 +260,7 @@ def resample_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed:
     def fill(parts):
         for pdf in parts:
             for row in pdf.to_dict("records"):
-                rng = _replicate_rng(seed, "cells", *(row[k] for k in keys), row["replicate"], row["_chunk"])
+                rng = replicate_rng(seed, "cells", *(row[k] for k in keys), row["replicate"], row["_chunk"])
                 weight = np.asarray(row["_cnt"], float)
                 drawn = rng.multinomial(int(row["_draws"]), weight / weight.sum())
                 part = pd.DataFrame({"size": row["_size"], "duration": row["_duration"], "cnt": drawn})
@@ -286,7 +289,8 @@ def residual_replicates(
     ``fixed_threshold`` keeps the thresholds of the full data instead of searching in each replicate.
     """
     keys = list(keys)
-    drawn = resample_cells(cells, keys, replicates, seed)
+    cells = checkpointed(cells)
+    drawn = checkpointed(resample_cells(cells, keys, replicates, seed))
     by = [*keys, "replicate"]
     options = {"min_count": min_count}
     if fixed_threshold:
@@ -381,6 +385,7 @@ def referenced_interval(test: DataFrame, reference: DataFrame, value: str = "del
 def estimator_table(cells: DataFrame, keys: Sequence[str], min_count: int = MIN_COUNT) -> DataFrame:
     """Exponent ratio, three slope estimates and their residuals per set."""
     keys = list(keys)
+    cells = checkpointed(cells)
     exps = exponents(cells, keys, min_count=min_count)
     ratio = F.try_divide(F.col("alpha") - 1.0, F.col("tau") - 1.0)
     n = cells.groupBy(*keys).agg(F.sum("cnt").alias("n_cascades"))

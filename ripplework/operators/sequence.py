@@ -155,7 +155,7 @@ def group_quantiles(
     if blocked is None:
         blocked = has_hot_group(rows, keys)
     if not blocked:
-        times = (cnt,) if cnt else ()
+        times = (F.col(cnt),) if cnt else ()
         aggs = [F.percentile(value, float(p), *times).alias(out) for out, p in probs.items()]
         return rows.groupBy(*keys).agg(*aggs)
     weight = F.sum(cnt) if cnt else F.count(F.lit(1))

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.functions.tails import draw_tail, likelihood_ratios, tail_distance
-from ripplework.operators.sequence import arrange
+from ripplework.operators.sequence import arrange, has_hot_group
+from ripplework.session import checkpointed
 
 ALTERNATIVES = ("lognormal", "exponential", "truncated_power_law")
 CHUNK = 4096
@@ -26,6 +27,13 @@ P_BOOT_FLOOR = 0.10
 P_RATIO_CUT = 0.05
 
 
+def field(name: str, kind: str | None = None):
+    """A function that takes one field out of a struct, for use inside ``transform``."""
+    if kind is None:
+        return lambda x: x[name]
+    return lambda x: x[name].cast(kind)
+
+
 def value_histogram(rows: DataFrame, keys: Sequence[str], value: str, cnt: str | None = None) -> DataFrame:
     weight = F.sum(cnt) if cnt else F.count(F.lit(1))
     return (
@@ -47,6 +55,8 @@ def exponent_at(hist: DataFrame, keys: Sequence[str], thresholds: DataFrame) ->
 def threshold_candidates(hist: DataFrame, keys: Sequence[str], *, blocked: bool | None = None) -> DataFrame:
     """Every distinct value with its rank, the count at or above it and the exponent from there."""
     weighted = hist.withColumn("_log", F.col("cnt") * F.log("value"))
+    if blocked is None:
+        blocked = has_hot_group(hist, keys)
     seq = arrange(weighted, keys, ["value"], blocked=blocked)
     ranked = seq.add(rn="rank", sums={"_cum": "cnt", "_cumlog": "_log"}).rows()
     totals = weighted.groupBy(*keys).agg(
@@ -74,8 +84,11 @@ def threshold_scan(hist: DataFrame, keys: Sequence[str], *, blocked: bool | None
     per candidate; a wide histogram spreads over many tasks.
     """
     keys = list(keys)
-    cand = threshold_candidates(hist, keys, blocked=blocked).withColumn(
-        "_chunk", F.floor((F.col("rank") - 1) / F.lit(CHUNK))
+    # read three times below, and one row per distinct value
+    cand = checkpointed(
+        threshold_candidates(hist, keys, blocked=blocked).withColumn(
+            "_chunk", F.floor((F.col("rank") - 1) / F.lit(CHUNK))
+        )
     )
     values = cand.groupBy(*keys, F.col("_chunk").alias("_v")).agg(
         F.max("value").alias("_v_top"),
@@ -88,8 +101,8 @@ def threshold_scan(hist: DataFrame, keys: Sequence[str], *, blocked: bool | None
     pairs = tries.join(values, keys).where(F.col("_v_top") >= F.col("_c_low"))
     pairs = pairs.select(
         *keys,
-        *[F.transform("_tries", lambda x, f=f: x[f].cast("double")).alias(f"_c_{f}") for f in ("value", "alpha", "n_ge")],
-        *[F.transform("_values", lambda x, f=f: x[f].cast("double")).alias(f"_v_{f}") for f in ("value", "n_ge")],
+        *[F.transform("_tries", field(f, "double")).alias(f"_c_{f}") for f in ("value", "alpha", "n_ge")],
+        *[F.transform("_values", field(f, "double")).alias(f"_v_{f}") for f in ("value", "n_ge")],
         "_c",
         "_v",
     ).repartition(*keys, "_c", "_v").drop("_c", "_v")
@@ -150,7 +163,7 @@ def tail_alternatives(hist: DataFrame, fits: DataFrame, keys: Sequence[str]) ->
     return tail.groupBy(*keys).applyInPandas(compare, schema)
 
 
-def _replicate_rng(seed: int, *parts) -> np.random.Generator:
+def replicate_rng(seed: int, *parts) -> np.random.Generator:
     """A generator that depends only on its labels, not on partitioning or retries."""
     return np.random.default_rng([seed, *(zlib.crc32(str(p).encode()) for p in parts)])
 
@@ -190,7 +203,7 @@ def bootstrap_tails(
     def draw(parts):
         for pdf in parts:
             for row in pdf.to_dict("records"):
-                rng = _replicate_rng(seed, *(row[k] for k in keys), row["replicate"], row["_batch"])
+                rng = replicate_rng(seed, *(row[k] for k in keys), row["replicate"], row["_batch"])
                 size = min(DRAWS_PER_BATCH, row["n"] - row["_batch"] * DRAWS_PER_BATCH)
                 n_tail = int(rng.binomial(size, row["n_tail"] / row["n"]))
                 value, cnt = np.unique(draw_tail(rng, n_tail, row["xmin"], row["alpha"]), return_counts=True)
@@ -216,7 +229,7 @@ def bootstrap_p(
 ) -> DataFrame:
     """Share of replicates whose best fit is at least as far from its data as the observed one."""
     keys = list(keys)
-    drawn = bootstrap_tails(hist, fits, keys, replicates, seed)
+    drawn = checkpointed(bootstrap_tails(hist, fits, keys, replicates, seed))
     redone = fit_tail(drawn, [*keys, "replicate"]).select(*keys, "replicate", F.col("ks").alias("_ks"))
     counted = redone.join(fits.select(*keys, "ks"), keys).groupBy(*keys).agg(
         (F.count_if(F.col("_ks") >= F.col("ks")) / F.lit(replicates)).alias("p_boot")
@@ -241,9 +254,10 @@ def tail_verdict(
     Sets with fewer than two distinct values have no fit: all NULL, not passing.
     """
     keys = list(keys)
+    hist = checkpointed(hist)
     sets = hist.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
     usable = hist.join(sets.where("n_distinct >= 2").select(*keys), keys, "left_semi")
-    fits = fit_tail(usable, keys)
+    fits = checkpointed(fit_tail(usable, keys))
     ratios = tail_alternatives(usable, fits, keys)
     wide = ratios.groupBy(*keys).agg(
         F.bool_or((F.col("r") < 0) & (F.col("p") < P_RATIO_CUT)).alias("_preferred"),
