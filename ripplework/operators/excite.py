@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ripplework.functions.kernels import Kernel
 from ripplework.functions.numeric import decayed_sums, stream_gaps
 from ripplework.operators.sequence import BLOCK, arrange, has_hot_group
-from ripplework.operators.shape import STREAM, TIME_ORDER
+from ripplework.operators.shape import STREAM, TIME_ORDER, with_segment
 
 SCAN_SCHEMA = "stream_id string, event_id bigint, t double, prior bigint, sums array<double>"
 
@@ -218,3 +218,70 @@ def log_likelihood(
             (F.col("_log") - F.col("mu") * F.col("horizon") - F.col("n") * F.col("cc")).alias("ll"),
         )
     )
+
+
+def baseline_likelihood(
+    events: DataFrame,
+    streams: DataFrame,
+    parameters: DataFrame,
+    kernel: Kernel,
+    *,
+    basis: str = "step",
+    blocked: bool | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Log-likelihood and gradient at given parameters of a step or piecewise-linear baseline.
+
+    ``parameters(stream_id, k, edges, theta, n)``. Returns ``(stream_id, k, ll, grad_n)`` and
+    ``(stream_id, k, param, grad)`` with one row per baseline parameter.
+    """
+    scanned = self_excitation(events, [kernel], blocked=blocked)
+    rows = with_segment(scanned, parameters.select("stream_id", "k", "edges", "theta", "n"))
+    s, seg = F.get("sums", F.lit(0)), F.col("seg").cast("int")
+    w = F.coalesce("weight", F.lit(0.0))
+    if basis == "step":
+        level = F.get("theta", seg)
+        parts = F.array(F.struct(seg.alias("param"), F.lit(1.0).alias("w")))
+    else:
+        level = (1.0 - w) * F.get("theta", seg) + w * F.get("theta", seg + 1)
+        parts = F.array(
+            F.struct(seg.alias("param"), (1.0 - w).alias("w")), F.struct((seg + 1).alias("param"), w.alias("w"))
+        )
+    rows = rows.select("stream_id", "k", "n", s.alias("s"), (level + F.col("n") * s).alias("lam"), parts.alias("parts"))
+    sums = rows.groupBy("stream_id", "k").agg(
+        F.sum(F.log("lam")).alias("_log"), F.sum(F.col("s") / F.col("lam")).alias("_gn")
+    )
+    by_param = rows.select("stream_id", "k", "lam", F.inline("parts")).groupBy("stream_id", "k", "param").agg(
+        F.sum(F.col("w") / F.col("lam")).alias("_g")
+    )
+    pieces = parameters.select("stream_id", "k", "n", "edges", "theta").withColumn(
+        "_len",
+        F.transform(
+            F.sequence(F.lit(0), F.size("edges") - 2), lambda i: F.get("edges", i + 1) - F.get("edges", i)
+        ),
+    )
+    if basis == "step":
+        cost = F.col("_len")
+    else:
+        padded = F.concat(F.array(F.lit(0.0)), "_len", F.array(F.lit(0.0)))
+        cost = F.transform(
+            F.sequence(F.lit(0), F.size("_len")), lambda i: 0.5 * (F.get(padded, i) + F.get(padded, i + 1))
+        )
+    pieces = pieces.withColumn("_cost", cost)
+    area = F.aggregate(F.zip_with("theta", "_cost", lambda m, c: m * c), F.lit(0.0), lambda a, x: a + x)
+    mass = horizon_mass(events, streams, [kernel]).select("stream_id", "cc")
+    value = (
+        sums.join(pieces, ["stream_id", "k"])
+        .join(mass, STREAM)
+        .select(
+            "stream_id",
+            "k",
+            (F.col("_log") - area - F.col("n") * F.col("cc")).alias("ll"),
+            (F.col("_gn") - F.col("cc")).alias("grad_n"),
+        )
+    )
+    gradient = (
+        pieces.select("stream_id", "k", F.posexplode("_cost").alias("param", "_c"))
+        .join(by_param, ["stream_id", "k", "param"], "left")
+        .select("stream_id", "k", "param", (F.coalesce("_g", F.lit(0.0)) - F.col("_c")).alias("grad"))
+    )
+    return value, gradient

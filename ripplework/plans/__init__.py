@@ -1,6 +1,6 @@
 """Queries over the given tables."""
 
-from ripplework.plans import ingest_queries, shape_queries, tail_queries  # noqa: F401
+from ripplework.plans import fit_queries, ingest_queries, shape_queries, tail_queries  # noqa: F401
 from ripplework.plans.catalog import QUERIES, SQL
 from ripplework.plans.shape_queries import bursty_cascades as flagship
 

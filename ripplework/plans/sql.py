@@ -111,11 +111,11 @@ decayed AS (SELECT i.stream_id, i.event_id, r.beta, sum(exp(-r.beta * (i.t - j.t
   FROM rk i JOIN rk j ON i.stream_id = j.stream_id AND j.rn < i.rn CROSS JOIN rates r GROUP BY 1, 2, 3),
 contracted AS (SELECT stream_id, event_id, kernel_idx, sum(a * big_a) AS s, sum(a / kern.beta * big_a) AS q
   FROM decayed JOIN kern ON kern.beta = decayed.beta GROUP BY 1, 2, 3),
-s AS (SELECT rk.stream_id, rk.event_id, rk.rn, rk.t, k.kernel_idx,
+s AS MATERIALIZED (SELECT rk.stream_id, rk.event_id, rk.rn, rk.t, k.kernel_idx,
   coalesce(c.s, 0.0) AS s, coalesce(c.q, 0.0) AS q
   FROM rk CROSS JOIN (SELECT DISTINCT kernel_idx FROM kern) k
   LEFT JOIN contracted c USING (stream_id, event_id, kernel_idx)),
-cc AS (SELECT rk.stream_id, kern.kernel_idx, sum(a / beta * (1 - exp(-beta * (st.horizon - rk.t)))) AS cc
+cc AS MATERIALIZED (SELECT rk.stream_id, kern.kernel_idx, sum(a / beta * (1 - exp(-beta * (st.horizon - rk.t)))) AS cc
   FROM rk JOIN st USING (stream_id) CROSS JOIN kern GROUP BY 1, 2)"""
     )
 
@@ -123,7 +123,7 @@ cc AS (SELECT rk.stream_id, kern.kernel_idx, sum(a / beta * (1 - exp(-beta * (st
 # constant-baseline fit: mu follows from n because expected and observed counts agree at the optimum,
 # and the derivative in n falls, so 60 halvings find its root
 FIT = """
-head AS (SELECT st.stream_id, cc.kernel_idx, st.horizon, st.n_events, cc.cc FROM st JOIN cc USING (stream_id)),
+head AS MATERIALIZED (SELECT st.stream_id, cc.kernel_idx, st.horizon, st.n_events, cc.cc FROM st JOIN cc USING (stream_id)),
 halve AS (SELECT stream_id, kernel_idx, 0 AS step, 0.0::DOUBLE AS lo, n_events / cc AS hi FROM head
   UNION ALL
   SELECT b.stream_id, b.kernel_idx, any_value(b.step) + 1,
