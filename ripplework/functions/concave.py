@@ -1,7 +1,8 @@
-"""Maximise ``sum log(H theta + offset) - C theta`` with ``theta >= floor``, many cells at a time.
+"""Maximise ``sum log(H b + n s) - C b - n cc`` over the baseline ``b`` and, if free, ``n``.
 
-The sums over events (value, gradient, curvature) come from ``partial_sums`` on any slice of the
-events, so the same step rule serves a stream held by one task and a stream spread over a cluster.
+Many cells at a time: a cell is one kernel (its excitation column ``s``) with ``n`` free or fixed, all
+cells share the baseline columns ``H``. The sums over events come from ``partial_sums`` on any slice
+of the events, so the same step rule serves a stream held by one task and one spread over a cluster.
 """
 
 from __future__ import annotations
@@ -43,73 +44,100 @@ def first_guess(kind: str, edges: np.ndarray, n_events: int) -> np.ndarray:
     return np.full(cols, max(0.5 * rate, 1e-6))
 
 
-def partial_sums(h: np.ndarray, offset: np.ndarray, theta: np.ndarray):
-    """Sums over the given events for every cell.
+def partial_sums(
+    h: np.ndarray, s: np.ndarray, theta: np.ndarray, n: np.ndarray | None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and curvature sums over the given events, for every cell.
 
-    ``h`` is events x parameters, ``offset`` cells x events, ``theta`` cells x parameters.
+    ``h`` is events x baseline columns, ``s`` events x cells. ``theta`` is cells x parameters, with
+    ``n`` as the last parameter unless it is given.
     """
     cells, p = theta.shape
-    ll, grad, hess = np.zeros(cells), np.zeros((cells, p)), np.zeros((cells, p * p))
-    step = max(1, min(h.shape[0] or 1, _ELEMENTS // max(p * p, cells)))
+    base = h.shape[1]
+    ll, grad, hess = np.zeros(cells), np.zeros((cells, p)), np.zeros((cells, p, p))
+    level = theta[:, base] if n is None else n
+    step = max(1, _ELEMENTS // max(base * base, cells))
     for lo in range(0, h.shape[0], step):
-        part = h[lo : lo + step]
-        lam = theta @ part.T + offset[:, lo : lo + step]
+        part, sg = h[lo : lo + step], s[lo : lo + step].T
+        lam = theta[:, :base] @ part.T + level[:, None] * sg
         inv = 1.0 / lam
+        sq = inv * inv
         ll += np.log(lam).sum(axis=1)
-        grad += inv @ part
-        outer = (part[:, :, None] * part[:, None, :]).reshape(part.shape[0], p * p)
-        hess += (inv * inv) @ outer
-    return ll, grad, hess.reshape(cells, p, p)
+        grad[:, :base] += inv @ part
+        outer = (part[:, :, None] * part[:, None, :]).reshape(part.shape[0], base * base)
+        hess[:, :base, :base] += (sq @ outer).reshape(cells, base, base)
+        if n is None:
+            mixed = sq * sg
+            cross = mixed @ part
+            grad[:, base] += (inv * sg).sum(axis=1)
+            hess[:, :base, base] += cross
+            hess[:, base, :base] += cross
+            hess[:, base, base] += (mixed * sg).sum(axis=1)
+    return ll, grad, hess
 
 
 class Ascent:
-    """Projected Newton with step halving; one instance carries all cells of one design."""
+    """Projected Newton with step halving, all cells side by side."""
 
     def __init__(self, theta0: np.ndarray):
+        cells = theta0.shape[0]
         self.theta = theta0.copy()
         self.trial = theta0.copy()
-        self.value = np.full(theta0.shape[0], -np.inf)
+        self.value = np.full(cells, -np.inf)
         self.direction = np.zeros_like(theta0)
-        self.step = np.ones(theta0.shape[0])
-        self.done = np.zeros(theta0.shape[0], dtype=bool)
-        self.spread = np.full(theta0.shape[0], np.nan)
-
-    def advance(self, ll: np.ndarray, grad: np.ndarray, hess: np.ndarray, cost: np.ndarray) -> None:
-        """Take the sums at ``trial`` and choose the next trial point."""
-        value = ll - self.trial @ cost
-        grad = grad - cost
-        live = ~self.done
-        ok = live & (value >= self.value - GAIN_TOLERANCE * (1.0 + np.abs(value)))
-        gain = value - self.value
-        settled = ok & (gain <= GAIN_TOLERANCE * (1.0 + np.abs(value)))
-        self.theta[ok], self.value[ok] = self.trial[ok], np.maximum(value[ok], self.value[ok])
-        self.done |= settled
-        p = grad.shape[1]
-        for g in np.flatnonzero(ok):
-            free = ~((self.theta[g] <= FLOOR) & (grad[g] <= 0.0))
-            idx = np.flatnonzero(free)
-            d = np.zeros(p)
-            if idx.size:
-                sub = hess[g][np.ix_(idx, idx)]
-                scale = np.sqrt(np.maximum(np.diag(sub), 1e-300))
-                unit = sub / np.outer(scale, scale) + 1e-13 * np.eye(idx.size)
-                inverse = np.linalg.pinv(unit, hermitian=True)
-                d[idx] = (inverse @ (grad[g][idx] / scale)) / scale
-                if idx[-1] == p - 1:
-                    self.spread[g] = np.sqrt(max(inverse[-1, -1], 0.0)) / scale[-1]
-            self.direction[g], self.step[g] = d, 1.0
-        failed = live & ~ok
-        self.step[failed] *= 0.5
-        self.done |= self.step < 1e-12
-        self.trial = np.maximum(FLOOR, self.theta + self.step[:, None] * self.direction)
-
-
-def maximise(h: np.ndarray, offset: np.ndarray, cost: np.ndarray, theta0: np.ndarray) -> Ascent:
-    """Run to convergence on events held in memory."""
+        self.step = np.ones(cells)
+        self.done = np.zeros(cells, dtype=bool)
+        self.spread = np.full(cells, np.nan)
+
+    def advance(
+        self, live: np.ndarray, ll: np.ndarray, grad: np.ndarray, hess: np.ndarray, cost: np.ndarray
+    ) -> None:
+        """Take the sums at the trial points of the cells ``live`` and choose their next points."""
+        trial = self.trial[live]
+        value = ll - (trial * cost).sum(axis=1)
+        slack = GAIN_TOLERANCE * (1.0 + np.abs(value))
+        old = self.value[live]
+        ok = value >= old - slack
+        gain = value - old
+        won = live[ok]
+        self.theta[won], self.value[won] = trial[ok], np.maximum(value[ok], old[ok])
+        self.done[live[ok & (gain <= slack)]] = True
+        if won.size:
+            self.direction[won], self.spread[won] = _newton(trial[ok], grad[ok] - cost[ok], hess[ok])
+            self.step[won] = 1.0
+        self.step[live[~ok]] *= 0.5
+        self.done[live[self.step[live] < 1e-12]] = True
+        moved = self.theta[live] + self.step[live][:, None] * self.direction[live]
+        self.trial[live] = np.maximum(FLOOR, moved)
+
+
+def _newton(theta: np.ndarray, grad: np.ndarray, hess: np.ndarray):
+    """Newton direction over parameters not held at the floor, and the spread of the last one."""
+    p = theta.shape[1]
+    held = (theta <= FLOOR) & (grad <= 0.0)
+    free = ~held
+    scale = np.sqrt(np.maximum(np.einsum("gii->gi", hess), 1e-300))
+    unit = hess / (scale[:, :, None] * scale[:, None, :])
+    unit = np.where(free[:, :, None] & free[:, None, :], unit, 0.0)
+    diagonal = np.arange(p)
+    unit[:, diagonal, diagonal] = np.where(free, 1.0 + 1e-10, 1.0)
+    rhs = np.where(free, grad / scale, 0.0)
+    both = np.concatenate([rhs[:, :, None], np.zeros_like(rhs)[:, :, None]], axis=2)
+    both[:, -1, 1] = 1.0
+    solved = np.linalg.solve(unit, both)
+    spread = np.where(free[:, -1], np.sqrt(np.maximum(solved[:, -1, 1], 0.0)) / scale[:, -1], np.nan)
+    return solved[:, :, 0] / scale, spread
+
+
+def maximise(
+    h: np.ndarray, s: np.ndarray, cost: np.ndarray, theta0: np.ndarray, n: np.ndarray | None
+) -> Ascent:
+    """Run to convergence on events held in memory; finished cells leave the work."""
     run = Ascent(theta0)
     for _ in range(MAX_STEPS):
-        if run.done.all():
+        live = np.flatnonzero(~run.done)
+        if live.size == 0:
             break
-        ll, grad, hess = partial_sums(h, offset, run.trial)
-        run.advance(ll, grad, hess, cost)
+        fixed = None if n is None else n[live]
+        run.advance(live, *partial_sums(h, s[:, live], run.trial[live], fixed), cost[live])
     return run

@@ -95,10 +95,11 @@ def fit_cells(
     rows = events.select("stream_id", "event_id", "t").join(streams, STREAM)
     fitted = _fit_grouped(rows.join(small, STREAM, "left_semi"), kernels, basis, ks, ns)
     large = sizes.where(F.col("n_events") > max_rows)
-    if large.isEmpty():
-        return fitted
-    big = rows.join(large, STREAM)
-    return fitted.unionByName(_fit_distributed(big, kernels, basis, ks, ns))
+    if not large.isEmpty():
+        big = rows.join(large, STREAM)
+        fitted = fitted.unionByName(_fit_distributed(big, kernels, basis, ks, ns))
+    # fits cost far more than their rows, and nearly every reader needs them more than once
+    return checkpointed(fitted)
 
 
 def _fit_grouped(rows: DataFrame, kernels, basis, ks, ns) -> DataFrame:
@@ -111,19 +112,30 @@ def _fit_grouped(rows: DataFrame, kernels, basis, ks, ns) -> DataFrame:
         t = pdf["t"].to_numpy(float) * head["t_scale"]
         horizon = float(head["horizon"]) * head["t_scale"]
         sums, _ = decayed_sums(stream_gaps(np.zeros(t.size), t), rates, weights)
-        cc = (-np.expm1(-np.outer(horizon - t, rates))).sum(axis=0) @ masses.T
+        cc = _mass(horizon - t, rates, masses)
+        cells = _Cells(len(kernels), cc, ns, head["n_center"], head["n_scale"])
         out = []
         for k in ks:
             edges = _edges(t, k, horizon)
             seg = np.clip(np.searchsorted(edges, t, side="right") - 1, 0, k - 1)
-            h, cost, guess = _design(basis, t, seg, edges, k)
-            for i in range(len(kernels)):
-                out += _fit_one(h, cost, guess, sums[:, i], float(cc[i]), ns, head, i, k, edges, t.size, horizon)
+            lo, length = edges[seg], np.diff(edges)[seg]
+            weight = np.divide(t - lo, length, out=np.zeros_like(t), where=length > 0)
+            h = basis_matrix(basis, seg, weight, k)
+            theta0, cost = cells.start(basis, edges, t.size)
+            run = maximise(h, sums[:, cells.kernel], cost, theta0, cells.n)
+            out += cells.rows(run, head["stream_id"], k, edges, t.size, horizon)
         return pd.DataFrame(out)
 
     return rows.groupBy("stream_id").applyInPandas(fit_stream, FIT_SCHEMA)
 
 
+def _mass(left: np.ndarray, rates: np.ndarray, masses: np.ndarray) -> np.ndarray:
+    total = np.zeros(rates.size)
+    for lo in range(0, left.size, CHUNK_ROWS):
+        total += (-np.expm1(-np.outer(left[lo : lo + CHUNK_ROWS], rates))).sum(axis=0)
+    return total @ masses.T
+
+
 def _edges(t: np.ndarray, k: int, horizon: float) -> np.ndarray:
     inner = []
     for j in range(1, k):
@@ -132,60 +144,56 @@ def _edges(t: np.ndarray, k: int, horizon: float) -> np.ndarray:
     return np.array([0.0, *inner, horizon])
 
 
-def _design(basis, t, seg, edges, k):
-    lo, length = edges[seg], np.diff(edges)[seg]
-    weight = np.divide(t - lo, length, out=np.zeros_like(t), where=length > 0)
-    return basis_matrix(basis, seg, weight, k), basis_integral(basis, edges), first_guess(basis, edges, t.size)
-
-
-def _cells(guess: np.ndarray, cc: float, cost: np.ndarray, ns, center: float, scale: float):
-    """Start point, cost vector and fixed ``n`` of every cell of one (kernel, k)."""
-    if ns is None:
-        return np.append(guess, 0.5)[None, :], np.append(cost, cc), None
-    n = np.maximum(FLOOR, center + scale * np.asarray(ns, float))
-    return np.tile(guess, (n.size, 1)), cost, n
-
-
-def _fit_one(h, cost, guess, s, cc, ns, head, i, k, edges, n_events, horizon):
-    theta0, full_cost, n = _cells(guess, cc, cost, ns, head["n_center"], head["n_scale"])
-    if n is None:
-        run = maximise(np.column_stack([h, s]), np.zeros((1, s.size)), full_cost, theta0)
-    else:
-        run = maximise(h, n[:, None] * s[None, :], full_cost, theta0)
-    return _rows(run, head["stream_id"], i, k, ns, n, cc, edges, n_events, horizon)
-
-
-def _rows(run: Ascent, stream_id, i, k, ns, n, cc, edges, n_events, horizon):
-    out = []
-    for g in range(run.theta.shape[0]):
-        free = n is None
-        out.append(
+class _Cells:
+    """The cells of one stream: every kernel with ``n`` free, or with every fixed ``n``."""
+
+    def __init__(self, kernels: int, cc: np.ndarray, ns, center: float, scale: float):
+        each = 1 if ns is None else len(ns)
+        self.kernel = np.repeat(np.arange(kernels), each)
+        self.cc = np.asarray(cc, float)[self.kernel]
+        self.z = None if ns is None else np.tile(np.asarray(ns, float), kernels)
+        self.n = None if ns is None else np.maximum(FLOOR, center + scale * self.z)
+
+    def start(self, basis: str, edges: np.ndarray, n_events: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start points and the cost of every parameter."""
+        size = self.kernel.size
+        theta = np.tile(first_guess(basis, edges, n_events), (size, 1))
+        cost = np.tile(basis_integral(basis, edges), (size, 1))
+        if self.n is None:
+            theta = np.column_stack([theta, np.full(size, 0.5)])
+            cost = np.column_stack([cost, self.cc])
+        return theta, cost
+
+    def rows(self, run: Ascent, stream_id, k, edges, n_events, horizon) -> list[dict]:
+        free = self.n is None
+        return [
             {
                 "stream_id": stream_id,
-                "kernel_idx": i,
-                "k": k,
-                "z": None if free else float(ns[g]),
-                "n": float(run.theta[g, -1]) if free else float(n[g]),
+                "kernel_idx": int(self.kernel[g]),
+                "k": int(k),
+                "z": None if free else float(self.z[g]),
+                "n": float(run.theta[g, -1] if free else self.n[g]),
                 "n_se": float(run.spread[g]) if free else None,
-                "ll": float(run.value[g]) - (0.0 if free else float(n[g]) * cc),
+                "ll": float(run.value[g] - (0.0 if free else self.n[g] * self.cc[g])),
                 "theta": (run.theta[g, :-1] if free else run.theta[g]).tolist(),
-                "edges": edges.tolist(),
+                "edges": np.asarray(edges).tolist(),
                 "n_events": int(n_events),
                 "horizon": float(horizon),
-                "cc": float(cc),
+                "cc": float(self.cc[g]),
             }
-        )
-    return out
+            for g in range(run.theta.shape[0])
+        ]
 
 
 # ---- streams too large for one task -------------------------------------------------------------
 
 _STATE_SCHEMA = (
-    "stream_id string, kernel_idx int, k int, cells int, p int, theta array<double>, "
-    "trial array<double>, value array<double>, direction array<double>, step array<double>, "
-    "done array<boolean>, spread array<double>, cost array<double>, n array<double>, cc double, "
-    "edges array<double>, n_events bigint, horizon double"
+    "stream_id string, k int, edges array<double>, mass array<double>, n_events bigint, "
+    "horizon double, n_center double, n_scale double, theta array<double>, trial array<double>, "
+    "value array<double>, direction array<double>, step array<double>, done array<boolean>, "
+    "spread array<double>"
 )
+_INFO = ("stream_id", "k", "edges", "mass", "n_events", "horizon", "n_center", "n_scale")
 
 
 def _fit_distributed(big: DataFrame, kernels, basis, ks, ns) -> DataFrame:
@@ -193,153 +201,115 @@ def _fit_distributed(big: DataFrame, kernels, basis, ks, ns) -> DataFrame:
         {"t": F.col("t") * F.col("t_scale"), "horizon": F.col("horizon") * F.col("t_scale")}
     )
     info = scaled.groupBy("stream_id").agg(
-        F.first("horizon").alias("horizon"),
-        F.first("n_events").alias("n_events"),
-        F.first("n_center").alias("n_center"),
-        F.first("n_scale").alias("n_scale"),
+        *[F.first(c).alias(c) for c in ("horizon", "n_events", "n_center", "n_scale")]
     )
     events = scaled.select("stream_id", "event_id", "t")
     scanned = checkpointed(
         self_excitation(events, kernels).withColumn("chunk", F.floor(F.col("prior") / CHUNK_ROWS))
     )
     edges = segment_edges(events, info, ks, blocked=True)
-    mass = horizon_mass(events, info, kernels)
+    mass = horizon_mass(events, info, kernels).groupBy("stream_id").agg(
+        # one entry per kernel
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("kernel_idx", "cc"))), lambda x: x["cc"]
+        ).alias("mass")
+    )
     design = checkpointed(
-        with_segment(scanned, edges).select("stream_id", "chunk", "k", "t", "seg", "weight", "sums")
+        with_segment(scanned, edges).select("stream_id", "chunk", "k", "seg", "weight", "sums")
     )
     chunks = design.select("stream_id", "k", "chunk").distinct()
-    start = edges.join(info, STREAM).join(mass, STREAM)
+
+    def cells_of(row) -> _Cells:
+        return _Cells(len(kernels), row.mass, ns, row.n_center, row.n_scale)
 
     def begin(batches):
         for pdf in batches:
-            out = []
+            rows = []
+            for row in pdf.itertuples(index=False):
+                theta0, _ = cells_of(row).start(basis, np.asarray(row.edges), row.n_events)
+                rows.append(_pack(Ascent(theta0), row))
+            yield pd.DataFrame(rows)
+
+    start = edges.join(info, STREAM).join(mass, STREAM).select(*_INFO)
+    state = checkpointed(start.mapInPandas(begin, _STATE_SCHEMA))
+
+    def chunk_sums(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asked.empty:
+            return pd.DataFrame(columns=["stream_id", "k", "parts"])
+        row = next(asked.itertuples(index=False))
+        cells, run = cells_of(row), _unpack(row)
+        live = np.flatnonzero(~run.done)
+        h = basis_matrix(basis, rows["seg"].to_numpy(int), rows["weight"].fillna(0.0).to_numpy(float), row.k)
+        s = np.vstack(rows["sums"].to_numpy())[:, cells.kernel[live]]
+        parts = partial_sums(h, s, run.trial[live], None if cells.n is None else cells.n[live])
+        return pd.DataFrame(
+            {"stream_id": [row.stream_id], "k": [row.k], "parts": [np.concatenate([x.ravel() for x in parts])]}
+        )
+
+    def advance(batches):
+        for pdf in batches:
+            rows = []
             for row in pdf.itertuples(index=False):
-                e = np.asarray(row.edges)
-                theta0, cost, n = _cells(
-                    first_guess(basis, e, row.n_events),
-                    row.cc,
-                    basis_integral(basis, e),
-                    ns,
-                    row.n_center,
-                    row.n_scale,
+                run = _unpack(row)
+                _, cost = cells_of(row).start(basis, np.asarray(row.edges), row.n_events)
+                live = np.flatnonzero(~run.done)
+                g, p, parts = live.size, cost.shape[1], np.asarray(row.parts, float)
+                run.advance(
+                    live, parts[:g], parts[g : g + g * p].reshape(g, p), parts[g + g * p :].reshape(g, p, p), cost[live]
                 )
-                out.append(_pack(Ascent(theta0), row, cost, n))
-            yield pd.DataFrame(out)
+                rows.append(_pack(run, row))
+            yield pd.DataFrame(rows)
 
-    columns = ["stream_id", "kernel_idx", "k", "edges", "cc", "n_events", "horizon", "n_center", "n_scale"]
-    state = checkpointed(start.select(*columns).mapInPandas(begin, _STATE_SCHEMA))
+    group = ["stream_id", "k", "chunk"]
     for _ in range(MAX_STEPS):
         live = state.where(F.exists("done", lambda d: ~d))
         if live.isEmpty():
             break
-        state = checkpointed(_newton_step(design, chunks, live, basis).unionByName(
-            state.where(F.forall("done", lambda d: d))
-        ))
+        asked = chunks.join(live, ["stream_id", "k"])
+        asked = asked.toDF(*asked.columns)  # fresh columns, distinct from those of ``design``
+        partial = (
+            design.groupBy(*group)
+            .cogroup(asked.groupBy(*group))
+            .applyInPandas(chunk_sums, "stream_id string, k int, parts array<double>")
+        )
+        # totals by position, so that chunks are summed before the shuffle
+        totals = (
+            partial.select("stream_id", "k", F.posexplode("parts").alias("pos", "v"))
+            .groupBy("stream_id", "k", "pos")
+            .agg(F.sum("v").alias("v"))
+            .groupBy("stream_id", "k")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("parts"))
+        )
+        stepped = live.join(totals, ["stream_id", "k"]).mapInPandas(advance, _STATE_SCHEMA)
+        state = checkpointed(stepped.unionByName(state.where(F.forall("done", lambda d: d))))
 
     def finish(batches):
         for pdf in batches:
-            out = []
+            rows = []
             for row in pdf.itertuples(index=False):
-                run, _, n = _unpack(row)
-                out += _rows(
-                    run, row.stream_id, row.kernel_idx, row.k, ns, n, row.cc,
-                    np.asarray(row.edges), row.n_events, row.horizon,
-                )
-            yield pd.DataFrame(out)
+                rows += cells_of(row).rows(_unpack(row), row.stream_id, row.k, row.edges, row.n_events, row.horizon)
+            yield pd.DataFrame(rows)
 
     return state.mapInPandas(finish, FIT_SCHEMA)
 
 
-def _pack(run: Ascent, row, cost, n):
-    return {
-        "stream_id": row.stream_id,
-        "kernel_idx": row.kernel_idx,
-        "k": row.k,
-        "cells": run.theta.shape[0],
-        "p": run.theta.shape[1],
-        "theta": run.theta.ravel().tolist(),
-        "trial": run.trial.ravel().tolist(),
-        "value": run.value.tolist(),
-        "direction": run.direction.ravel().tolist(),
-        "step": run.step.tolist(),
-        "done": run.done.tolist(),
-        "spread": run.spread.tolist(),
-        "cost": np.asarray(cost).tolist(),
-        "n": None if n is None else np.asarray(n).tolist(),
-        "cc": row.cc,
-        "edges": np.asarray(row.edges).tolist(),
-        "n_events": row.n_events,
-        "horizon": row.horizon,
+def _pack(run: Ascent, row) -> dict:
+    held = {c: getattr(row, c) for c in _INFO}
+    moving = {
+        "theta": run.theta.ravel(), "trial": run.trial.ravel(), "value": run.value,
+        "direction": run.direction.ravel(), "step": run.step, "done": run.done, "spread": run.spread,
     }
+    return held | {k: v.tolist() for k, v in moving.items()}
 
 
-def _unpack(row):
-    shape = (row.cells, row.p)
-    run = Ascent(np.asarray(row.theta, float).reshape(shape))
-    run.trial = np.array(row.trial, float).reshape(shape)
+def _unpack(row) -> Ascent:
+    cells = len(row.value)
+    run = Ascent(np.array(row.theta, float).reshape(cells, -1))
+    run.trial = np.array(row.trial, float).reshape(cells, -1)
+    run.direction = np.array(row.direction, float).reshape(cells, -1)
     run.value, run.step = np.array(row.value, float), np.array(row.step, float)
-    run.direction = np.array(row.direction, float).reshape(shape)
     run.done, run.spread = np.array(row.done, bool), np.array(row.spread, float)
-    return run, np.asarray(row.cost, float), None if row.n is None else np.asarray(row.n, float)
-
-
-def _newton_step(design: DataFrame, chunks: DataFrame, live: DataFrame, basis: str) -> DataFrame:
-    """One step for all unfinished fits: chunk sums, position-wise totals, next trial point."""
-    points = live.select("stream_id", "kernel_idx", "k", "cells", "p", "trial", "n")
-    asked = chunks.join(points, ["stream_id", "k"])
-    asked = asked.toDF(*asked.columns)  # fresh columns, distinct from those of ``design``
-
-    def chunk_sums(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(cells):
-            k = int(cells["k"].iloc[0])
-            base = basis_matrix(basis, rows["seg"].to_numpy(int), rows["weight"].fillna(0.0).to_numpy(float), k)
-            sums = np.vstack(rows["sums"].to_numpy())
-            for row in cells.itertuples(index=False):
-                s = sums[:, row.kernel_idx]
-                trial = np.array(row.trial, float).reshape(row.cells, row.p)
-                if row.n is None:
-                    parts = partial_sums(np.column_stack([base, s]), np.zeros((1, s.size)), trial)
-                else:
-                    parts = partial_sums(base, np.asarray(row.n, float)[:, None] * s, trial)
-                out.append(
-                    {
-                        "stream_id": row.stream_id,
-                        "kernel_idx": row.kernel_idx,
-                        "k": k,
-                        "parts": np.concatenate([x.ravel() for x in parts]).tolist(),
-                    }
-                )
-        return pd.DataFrame(out, columns=["stream_id", "kernel_idx", "k", "parts"])
-
-    keys = ["stream_id", "kernel_idx", "k"]
-    group = ["stream_id", "k", "chunk"]
-    partial = (
-        design.groupBy(*group)
-        .cogroup(asked.groupBy(*group))
-        .applyInPandas(chunk_sums, "stream_id string, kernel_idx int, k int, parts array<double>")
-    )
-    totals = (
-        partial.select(*keys, F.posexplode("parts").alias("pos", "v"))
-        .groupBy(*keys, "pos")
-        .agg(F.sum("v").alias("v"))
-        .groupBy(*keys)
-        # as many entries as the fit has sums, whatever the number of events
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("parts"))
-    )
-
-    def advance(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                run, cost, n = _unpack(row)
-                g, p = row.cells, row.p
-                parts = np.asarray(row.parts, float)
-                run.advance(parts[:g], parts[g : g + g * p].reshape(g, p), parts[g + g * p :].reshape(g, p, p), cost)
-                out.append(_pack(run, row, cost, n))
-            yield pd.DataFrame(out)
-
-    return live.join(totals, keys).mapInPandas(advance, _STATE_SCHEMA)
+    return run
 
 
 # ---- named fits ---------------------------------------------------------------------------------
@@ -435,7 +405,7 @@ def _best_rate(events, streams, ladder, **options) -> DataFrame:
         "n_events",
     )
     pick = F.max_by(F.struct("mu", "n", "n_se", "beta", "ll", "n_events"), F.struct("ll", -F.col("beta")))
-    return scored.groupBy("stream_id").agg(pick.alias("b")).select("stream_id", "b.*")
+    return checkpointed(scored.groupBy("stream_id").agg(pick.alias("b")).select("stream_id", "b.*"))
 
 
 # fixed value: 95% point of the chi-square distribution with one degree of freedom
