@@ -22,6 +22,7 @@ from ripplework.operators.shape import (
 from ripplework.plans import frames as fr
 from ripplework.plans.catalog import query
 from ripplework.plans.shape_queries import _EDGES, _LADDER, _SEGMENTED, _mean_variance_cte
+from ripplework.session import checkpointed
 from ripplework.plans.sql import EV, EV_TYPE, FIT, RANKED, decay_cte, kernel_values, r, with_
 
 EPS, C = fi.SHAPE_EPS, fi.SHAPE_C
@@ -737,10 +738,13 @@ def _(spark, sf):
 def _(spark, sf):
     """Fit and fit quality with one event per message and one per (market, ms)."""
     out = None
+    msgs = checkpointed(fr.messages(spark, sf))
     for unit in ("fill", "match"):
-        rows = ingest.market_times(ingest.to_event_unit(fr.messages(spark, sf), unit))
+        rows = ingest.market_times(ingest.to_event_unit(msgs, unit))
         eid = F.col("pos") if unit == "fill" else F.col("ts_ms")
-        events = rows.select(F.col("asset_id").alias("stream_id"), eid.alias("event_id"), (F.col("t") / 3600.0).alias("t"))
+        events = checkpointed(
+            rows.select(F.col("asset_id").alias("stream_id"), eid.alias("event_id"), (F.col("t") / 3600.0).alias("t"))
+        )
         fits = fi.fit_cells(events, stream_spans(events), [power_law(EPS, C)])
         ks = go.ks_of_fits(events, fits, [(EPS, C)]).select("stream_id", F.col("ks").alias(f"ks_{unit}"))
         part = fits.select("stream_id", F.col("n").alias(f"n_{unit}"), F.col("n_events").alias(f"events_{unit}")).join(ks, "stream_id")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplework.operators.cascades import bin_width, quiet_time_cascades
 from ripplework.operators.sequence import arrange, has_hot_group
 from ripplework.operators.shape import relative_times, stream_spans
-from ripplework.session import ensure_checkpoint_dir
 from ripplework.sources.capture import TRADE_TYPE, parse_capture, trades
 from ripplework.sources.fills import decode_fills
 
@@ -21,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
-
-
 def micros() -> F.Column:
     return F.unix_micros(F.col("ts").cast("timestamp"))
 

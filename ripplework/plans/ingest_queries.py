@@ -9,6 +9,7 @@ from ripplework.operators.cascades import bin_width
 from ripplework.operators.shape import first_events, quantize, tie_fraction, time_slice
 from ripplework.plans import frames as fr
 from ripplework.plans.catalog import query
+from ripplework.session import scratch_path
 from ripplework.plans.sql import CASCADES, EV, FILLS, FOREST, MESSAGES, RANKED, r, with_
 from ripplework.sources.capture import line_report, parse_capture
 from ripplework.sources.fills import fill_times, read_fills, reconcile
@@ -50,7 +51,7 @@ def _(spark, sf):
     FROM fills GROUP BY 1""",
 )
 def _(spark, sf):
-    path = fr.scratch_folder(spark, "fills")
+    path = scratch_path(spark, "fills")
     fr.fills(spark, sf).write.parquet(path)
     return read_fills(spark, path).groupBy("market").agg(
         F.count(F.lit(1)).alias("n_fills"),
@@ -66,7 +67,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ripplework.sources.capture import read_capture_lines, trades, write_capture
 
-    path = fr.scratch_folder(spark, "capture")
+    path = scratch_path(spark, "capture")
     rows = fr.messages(spark, sf).select(
         "recv_ts",
         F.struct(
@@ -84,7 +85,7 @@ def _(spark, sf):
     with_(MESSAGES) + "SELECT asset_id, count(*) AS n_events, '2024-02-01' AS run_date FROM msg GROUP BY 1",
 )
 def _(spark, sf):
-    path = fr.scratch_folder(spark, "report")
+    path = scratch_path(spark, "report")
     write_report(ingest.market_counts(fr.messages(spark, sf)), path, "2024-02-01")
     return spark.read.parquet(path).withColumn("run_date", F.col("run_date").cast("string"))
 
