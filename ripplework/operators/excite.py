@@ -13,6 +13,7 @@ from ripplework.functions.kernels import Kernel
 from ripplework.functions.numeric import decayed_sums, stream_gaps
 from ripplework.operators.sequence import BLOCK, arrange, has_hot_group
 from ripplework.operators.shape import STREAM, TIME_ORDER, with_segment
+from ripplework.session import spread
 
 SCAN_SCHEMA = "stream_id string, event_id bigint, t double, prior bigint, sums array<double>"
 
@@ -64,7 +65,7 @@ def decay_scan(
             yield pdf.assign(prior=prior.astype("int64"), sums=list(sums))
 
     return (
-        events.repartition("stream_id")
+        spread(events, "stream_id")
         .sortWithinPartitions("stream_id", *TIME_ORDER)
         .mapInPandas(sweep, SCAN_SCHEMA)
     )

@@ -29,7 +29,7 @@ from ripplework.functions.kernels import Kernel, exponential, power_law
 from ripplework.functions.numeric import decayed_sums, stream_gaps
 from ripplework.operators.excite import horizon_mass, self_excitation, stack_kernels
 from ripplework.operators.shape import STREAM, segment_edges, stream_spans, with_segment
-from ripplework.session import checkpointed
+from ripplework.session import checkpointed, spread
 
 FIT_MAX_ROWS_KEY = "spark.ripplework.fit.maxRows"
 FIT_MAX_ROWS = 200_000
@@ -126,7 +126,7 @@ def _fit_grouped(rows: DataFrame, kernels, basis, ks, ns) -> DataFrame:
             out += cells.rows(run, head["stream_id"], k, edges, t.size, horizon)
         return pd.DataFrame(out)
 
-    return rows.groupBy("stream_id").applyInPandas(fit_stream, FIT_SCHEMA)
+    return spread(rows, "stream_id").groupBy("stream_id").applyInPandas(fit_stream, FIT_SCHEMA)
 
 
 def _mass(left: np.ndarray, rates: np.ndarray, masses: np.ndarray) -> np.ndarray:

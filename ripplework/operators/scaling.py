@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ripplework.operators.sequence import arrange, group_quantiles
 from ripplework.operators.tail import exponent_at, field, fit_tail, replicate_rng, value_histogram
-from ripplework.session import checkpointed
+from ripplework.session import checkpointed, spread
 
 MIN_COUNT = 50
 MIN_DURATIONS = 4
@@ -246,7 +246,7 @@ def resample_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed:
                     part[k] = row[k]
                 yield part.assign(replicate=row["replicate"])[[*keys, "replicate", "_chunk", "_draws"]]
 
-    shares = plan.repartition(*keys, "replicate").mapInPandas(
+    shares = spread(plan, *keys, "replicate").mapInPandas(
         split, f"{head}, replicate int, _chunk bigint, _draws bigint"
     )
     work = shares.where("_draws > 0").join(
@@ -270,7 +270,7 @@ def resample_cells(cells: DataFrame, keys: Sequence[str], replicates: int, seed:
                     [*keys, "replicate", "size", "duration", "cnt"]
                 ]
 
-    return work.repartition(*keys, "replicate", "_chunk").mapInPandas(
+    return spread(work, *keys, "replicate", "_chunk").mapInPandas(
         fill, f"{head}, replicate int, size bigint, duration bigint, cnt bigint"
     )
 

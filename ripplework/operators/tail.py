@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ripplework.functions.tails import draw_tail, likelihood_ratios, tail_distance
 from ripplework.operators.sequence import arrange, has_hot_group
-from ripplework.session import checkpointed
+from ripplework.session import checkpointed, spread
 
 ALTERNATIVES = ("lognormal", "exponential", "truncated_power_law")
 CHUNK = 4096
@@ -99,13 +99,14 @@ def threshold_scan(hist: DataFrame, keys: Sequence[str], *, blocked: bool | None
         F.array_sort(F.collect_list(F.struct("value", "alpha", "n_ge"))).alias("_tries"),
     )
     pairs = tries.join(values, keys).where(F.col("_v_top") >= F.col("_c_low"))
-    pairs = pairs.select(
+    packed = pairs.select(
         *keys,
         *[F.transform("_tries", field(f, "double")).alias(f"_c_{f}") for f in ("value", "alpha", "n_ge")],
         *[F.transform("_values", field(f, "double")).alias(f"_v_{f}") for f in ("value", "n_ge")],
         "_c",
         "_v",
-    ).repartition(*keys, "_c", "_v").drop("_c", "_v")
+    )
+    pairs = spread(packed, *keys, "_c", "_v").drop("_c", "_v")
     types = dict(pairs.select(*keys).dtypes)
 
     def measure(batches):
@@ -160,7 +161,7 @@ def tail_alternatives(hist: DataFrame, fits: DataFrame, keys: Sequence[str]) ->
         return pd.DataFrame(rows)
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", alternative string, r double, p double"
-    return tail.groupBy(*keys).applyInPandas(compare, schema)
+    return spread(tail, *keys).groupBy(*keys).applyInPandas(compare, schema)
 
 
 def replicate_rng(seed: int, *parts) -> np.random.Generator:
@@ -196,8 +197,8 @@ def bootstrap_tails(
             F.transform("_body", lambda x: x["value"]).alias("_values"),
             F.transform("_body", lambda x: x["cnt"]).alias("_counts"),
         )
-        .repartition(*keys, "replicate", "_batch")
     )
+    plan = spread(plan, *keys, "replicate", "_batch")
     types = dict(plan.select(*keys).dtypes)
 
     def draw(parts):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ripplework.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -33,7 +35,12 @@ def query(name: str, sql: str | None = None, digits: int = 6):
     def register(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir), digits)
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return tidy(fn(spark, sf_dir), digits)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return fn
