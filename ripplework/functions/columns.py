@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ripplework.functions.numeric import binomial_upper
 
@@ -20,7 +21,7 @@ def wilson_interval(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Colu
     return lo, hi
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _upper_bound(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_upper(int(a), int(b)) for a, b in zip(k, n)])
 

@@ -113,7 +113,10 @@ def receive_sessions(messages: DataFrame, gap_s: float, delay: str = "1 minute")
     """
     return (
         messages.withWatermark("recv_time", delay)
-        .groupBy(F.session_window("recv_time", f"{int(gap_s * 1000)} milliseconds").alias("w"))
+        .groupBy(
+            F.col("asset_id").isNull().alias("capture"),  # the same for every trade
+            F.session_window("recv_time", f"{int(gap_s * 1000)} milliseconds").alias("w"),
+        )
         .agg(F.count(F.lit(1)).alias("n_events"), F.min("recv_ts").alias("run_start"), F.max("recv_ts").alias("run_end"))
         .select("run_start", "run_end", "n_events")
     )
