@@ -74,10 +74,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` over all shuffle partitions for work that is costly per row.
+    """Hash ``df`` over twice the shuffle partitions for work that is costly per row.
 
     Adaptive execution merges partitions by their bytes; a fixed number keeps few but expensive rows
-    on many tasks.
+    on many tasks. It must differ from the number used by joins on the same keys, because an equal
+    partitioning is taken as already there and then merged after all.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys)
