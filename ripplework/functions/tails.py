@@ -117,8 +117,10 @@ def _log_lognormal(x, cnt, xmin):
         mu, sigma = p[0], math.exp(min(p[1], 10.0))
         # upper-tail probabilities keep their precision far right of the centre
         upper = normal_cdf(-(edges - mu) / sigma)
+        if upper[0] < 1e-250:
+            return np.full(x.size, -1e6)  # the whole tail is out of reach of the arithmetic
         mass = np.maximum(upper[low] - upper[high], 1e-300)
-        return np.log(mass) - math.log(max(upper[0], 1e-300))
+        return np.log(mass) - math.log(upper[0])
 
     p = _simplex_minimum(lambda q: -float(cnt @ logs(q)), np.array([m, math.log(s)]), np.array([0.5, 0.3]), 250)
     return logs(p)
