@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ripplework.llm import language_id as li
 from ripplework.llm import quality_rules as qr
+from ripplework.llm import simhash as sh
 from ripplework.llm.registry import query, table
 
 
@@ -42,3 +45,9 @@ def op4(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "not base_passed as base_failed", "kept",
         f"failures & {qr.POLICIES[qr.PRODUCTION]}L as policy_failures",
     )
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark, sf_dir):
+    found = sh.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
