@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ripplework.llm import language_id as li
 from ripplework.llm import quality_rules as qr
 from ripplework.llm import simhash as sh
+from ripplework.llm import topk_search as ts
 from ripplework.llm.registry import query, table
 
 
@@ -51,3 +52,20 @@ def op4(spark, sf_dir):
 def op9(spark, sf_dir):
     found = sh.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+  CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON len(q.e) = len(c.e) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op3_exact_topk", OP3_SQL)
+def op3(spark, sf_dir):
+    vectors = ts.whole(table(spark, sf_dir, "embeddings"))
+    return ts.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
