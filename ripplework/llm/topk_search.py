@@ -134,7 +134,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     asking = asked.mapInArrow(_pack(QUERY_ROWS), _BLOCK).select(
         "dim", F.col("ids").alias("query_ids"), F.col("cells").alias("query_cells"),
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long").alias("lane"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"),
     )
     # candidate blocks are dealt over lanes, and each query block is sent to every lane once
     met = blocks.repartition(lanes, "dim", "lane").join(asking.repartition(lanes, "dim", "lane"), ["dim", "lane"])
