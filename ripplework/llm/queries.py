@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from ripplework.llm import language_id as li
+from ripplework.llm import packing as pk
 from ripplework.llm import quality_rules as qr
 from ripplework.llm import simhash as sh
 from ripplework.llm import topk_search as ts
@@ -69,3 +71,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op3(spark, sf_dir):
     vectors = ts.whole(table(spark, sf_dir, "embeddings"))
     return ts.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), 10)
+
+
+def vocabulary() -> tuple[str, str, str]:
+    """The vocabulary that documents are packed with."""
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op6_best_fit_packing")
+def op6(spark, sf_dir):
+    return pk.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
