@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ripplework.llm import classifier as cl
 from ripplework.llm import language_id as li
 from ripplework.llm import packing as pk
 from ripplework.llm import quality_rules as qr
@@ -81,3 +82,9 @@ def vocabulary() -> tuple[str, str, str]:
 @query("op6_best_fit_packing")
 def op6(spark, sf_dir):
     return pk.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op10_quality_classifier")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return cl.score(docs, cl.learn(docs, table(spark, sf_dir, "labels")))
