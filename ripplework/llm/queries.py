@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ripplework.llm import classifier as cl
 from ripplework.llm import language_id as li
+from ripplework.llm import mixing as mx
 from ripplework.llm import packing as pk
 from ripplework.llm import quality_rules as qr
 from ripplework.llm import simhash as sh
 from ripplework.llm import topk_search as ts
 from ripplework.llm.registry import query, table
+from ripplework.session import checkpointed
 
 
 @query("op2_language_id")
@@ -88,3 +90,50 @@ def op6(spark, sf_dir):
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return cl.score(docs, cl.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def _rake_sql(rounds: int) -> str:
+    parts = []
+    last = "c0"
+    n = 0
+    for _ in range(rounds):
+        for name in mx.DIMENSIONS:
+            n += 1
+            parts.append(
+                f"c{n} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN sum(weight) OVER w > 0 THEN weight * aim_{name} / sum(weight) OVER w"
+                f" ELSE 0 END AS weight, aim_source, aim_lang, aim_topic FROM {last} WINDOW w AS (PARTITION BY {name}))"
+            )
+            last = f"c{n}"
+    return ",\n".join(parts) + f",\nraked AS (SELECT * FROM {last})"
+
+
+_AIMS = ",\n".join(
+    f"a_{name} AS MATERIALIZED (SELECT {name}, p / sum(p) OVER () * (SELECT sum(tokens) FROM cells) AS aim_{name} FROM"
+    f" (SELECT {name}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {t}) ELSE 0 END AS p FROM cells GROUP BY 1))"
+    for name, t in mx.TEMPERATURES.items()
+)
+OP7_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+  CASE WHEN contains(lower(text), 'licens') OR contains(lower(text), 'copyright') THEN 'legal' WHEN contains(text, '@') THEN 'contact'
+  WHEN contains(text, '|') THEN 'tables' ELSE 'prose' END AS topic,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
+{_AIMS},
+c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS weight, aim_source, aim_lang, aim_topic
+  FROM cells JOIN a_source USING (source) JOIN a_lang USING (lang) JOIN a_topic USING (topic)),
+{_rake_sql(mx.ROUNDS)},
+rated AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS ratio FROM raked),
+p AS (SELECT *, CASE WHEN max(ratio) OVER () > 0 THEN least(1.0, ratio / max(ratio) OVER ()) ELSE 0 END AS probability FROM rated)
+SELECT doc_id, source, lang, topic, tokens, round(ratio, 6) AS ratio, round(probability, 6) AS probability,
+  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{mx.SEED}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < probability AS sampled
+FROM d JOIN p USING (source, lang, topic)
+"""
+
+
+@query("op7_mixing", OP7_SQL)
+def op7(spark, sf_dir):
+    rows = checkpointed(mx.described(table(spark, sf_dir, "documents")))
+    found = mx.sample(rows, mx.plan_mix(rows))
+    return found.select(
+        "doc_id", "source", "lang", "topic", "tokens", F.round("ratio", 6).alias("ratio"), F.round("probability", 6).alias("probability"), "sampled"
+    )
