@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.llm import classifier as cl
 from ripplework.llm import language_id as li
+from ripplework.llm import line_dedup as ld
 from ripplework.llm import mixing as mx
 from ripplework.llm import packing as pk
 from ripplework.llm import quality_rules as qr
@@ -137,3 +138,9 @@ def op7(spark, sf_dir):
     return found.select(
         "doc_id", "source", "lang", "topic", "tokens", F.round("ratio", 6).alias("ratio"), F.round("probability", 6).alias("probability"), "sampled"
     )
+
+
+@query("op5_line_dedup")
+def op5(spark, sf_dir):
+    found = ld.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "first_doc_id", "first_line_no", "near", "removed")
