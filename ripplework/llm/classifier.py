@@ -221,33 +221,57 @@ def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED, n_un
     return co_train(views, np.array([r["bad"] for r in rows]))
 
 
+class _Scorer:
+    """The model inside a task; made from the broadcast weights, which are DIMENSIONS numbers a view whatever the corpus."""
+
+    def __init__(self, shared):
+        self.model = shared.value
+        self.words = _Words()
+
+    def good(self, texts: pa.Array, langs: pa.Array, sources: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of being good: combined, and by view."""
+        n = len(texts)
+        if self.model is None:
+            return np.full(n, 0.5), np.full((n, 2), 0.5)
+        logits = np.zeros((n, 2))
+        for i, (text, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
+            whole = text.as_py()
+            of_views = text_features(whole, self.words), page_features(whole, lang.as_py(), source.as_py())
+            for v, slots in enumerate(of_views):
+                weights, b, line = self.model["views"][v]
+                logits[i, v] = line[0] + line[1] * (float(weights[slots].sum()) / math.sqrt(max(1, len(slots))) + b)
+        mix = self.model["mix"]
+        return 1 - _sigmoid(mix[0] + logits @ mix[1:]), 1 - _sigmoid(logits)
+
+
+def _share(docs: DataFrame, model: dict | None):
+    if model is not None:
+        model = model | {"views": [(w.astype(np.float32), b, line) for w, b, line in model["views"]]}
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def score(docs: DataFrame, model: dict | None, accept_from: float = ACCEPT_FROM) -> DataFrame:
     """``doc_id, score, text_score, page_score, accepted``; scores are chances of being good."""
-    if model is None:
-        shared = None
-    else:  # the weights are DIMENSIONS numbers for each view, whatever the corpus
-        shared = docs.sparkSession.sparkContext.broadcast([(w.astype(np.float32), b, line) for w, b, line in model["views"]])
-        mix = model["mix"]
+    shared = _share(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        scorer = _Scorer(shared)
         for batch in batches:
-            n = batch.num_rows
-            if shared is None:
-                half = np.full(n, 0.5)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (half, half, half, half >= 0))], schema=_ARROW_SCORES)
-                continue
-            logits = np.zeros((n, 2))
-            for i, (text, lang, source) in enumerate(zip(*(batch.column(c) for c in (1, 2, 3)), strict=True)):
-                text = text.as_py()
-                for v, slots in enumerate((text_features(text, words), page_features(text, lang.as_py(), source.as_py()))):
-                    weights, b, line = shared.value[v]
-                    logits[i, v] = line[0] + line[1] * (float(weights[slots].sum()) / math.sqrt(max(1, len(slots))) + b)
-            good = 1 - _sigmoid(mix[0] + logits @ mix[1:])
-            views = 1 - _sigmoid(logits)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(good), pa.array(views[:, 0]), pa.array(views[:, 1]), pa.array(good >= accept_from)],
-                schema=_ARROW_SCORES,
-            )
+            good, views = scorer.good(*(batch.column(c) for c in (1, 2, 3)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (good, views[:, 0], views[:, 1], good >= accept_from))], schema=_ARROW_SCORES)
 
     return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(run, _SCORES)
+
+
+def accepted(docs: DataFrame, model: dict | None, accept_from: float = ACCEPT_FROM) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all their columns."""
+    shared = _share(docs, model)
+    at = [docs.columns.index(c) for c in ("text", "lang", "source")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared)
+        for batch in batches:
+            good, _ = scorer.good(*(batch.column(c) for c in at))
+            yield batch.filter(pa.array(good >= accept_from))
+
+    return docs.mapInArrow(run, docs.schema)

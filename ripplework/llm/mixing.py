@@ -104,3 +104,14 @@ def plan_mix(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES,
 def sample(rows: DataFrame, mix: DataFrame, seed: str = SEED) -> DataFrame:
     """``rows`` with ``ratio``, ``probability`` and ``sampled``."""
     return rows.join(mix, list(DIMENSIONS)).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
+
+
+def mixed(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, seed: str = SEED) -> DataFrame:
+    """The drawn rows of ``docs(doc_id, text, lang, source, ...)``, with their columns alone."""
+    mix = plan_mix(described(docs), temperatures)
+    mix = mix.select(*[F.col(c).alias(f"cell_{c}_") for c in DIMENSIONS], F.col("probability").alias("cell_probability_"))
+    same = (
+        (F.coalesce(docs["source"], F.lit(NONE)) == F.col("cell_source_")) & (F.coalesce(docs["lang"], F.lit(NONE)) == F.col("cell_lang_"))
+        & (topic(docs["text"]) == F.col("cell_topic_"))
+    )
+    return docs.join(mix, same).filter(draw(docs["doc_id"], seed) < F.col("cell_probability_")).select(*[docs[c] for c in docs.columns])

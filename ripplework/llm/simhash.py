@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplework.llm.components import components
@@ -183,3 +183,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """The rows of ``docs`` that name their component, one for each; of rows with one id the smallest text stays."""
+    names = near_duplicates(docs, radius, shingle_words).select(F.col("component_id").alias("named_")).distinct()
+    kept = docs.join(names, docs["doc_id"].cast("long").eqNullSafe(names["named_"]), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*[c for c in docs.columns]))
+    return kept.withColumn("place_", F.row_number().over(order)).filter("place_ = 1").select(*docs.columns)
