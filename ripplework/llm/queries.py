@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.llm import classifier as cl
 from ripplework.llm import language_id as li
+from ripplework.llm import license_scan as ls
 from ripplework.llm import line_dedup as ld
 from ripplework.llm import mixing as mx
 from ripplework.llm import packing as pk
@@ -144,3 +145,8 @@ def op7(spark, sf_dir):
 def op5(spark, sf_dir):
     found = ld.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "first_doc_id", "first_line_no", "near", "removed")
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return ls.scan_documents(table(spark, sf_dir, "documents"))
