@@ -13,6 +13,7 @@ from ripplework.llm import mixing as mx
 from ripplework.llm import packing as pk
 from ripplework.llm import quality_rules as qr
 from ripplework.llm import simhash as sh
+from ripplework.llm import suffix_dedup as sd
 from ripplework.llm import topk_search as ts
 from ripplework.llm.registry import query, table
 from ripplework.session import checkpointed
@@ -150,3 +151,8 @@ def op5(spark, sf_dir):
 @query("op8_license_scan")
 def op8(spark, sf_dir):
     return ls.scan_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark, sf_dir):
+    return sd.removed_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
