@@ -22,6 +22,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,9 @@ ROUNDS = 4
 HANDED_OVER = 150  # of either kind, each round and view
 SURE = 0.98
 PSEUDO_WEIGHT = 0.5
+SEVERAL = (2, 4)
+ROUND_STEPS = 100
+LAST_STEPS = 400
 ACCEPT_FROM = 0.5
 _CACHE = 200_000
 _TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
@@ -69,14 +73,21 @@ def text_features(text: str | None, words: _Words) -> np.ndarray:
     text = text or ""
     tokens = _TOKEN.findall(text.lower())
     distinct = set(tokens)
-    slots: set[int] = set()
+    all_slots: list[int] = []
     for t in distinct:
-        slots.update(words[t])
+        all_slots += words[t]
+    once, count = np.unique(np.array(all_slots, np.int64), return_counts=True)
+    # beginnings that several different words have
+    often = [once[count >= k] * 40503 + k for k in SEVERAL]
     n = max(1, len(tokens))
     capitals = len(_CAPITAL.findall(text))
-    slots.add(_slot(f"@capitals {int(10 * capitals / max(1, len(text)))}"))
-    slots.add(_slot(f"@distinct {int(8 * len(distinct) / n)} {min(6, _level(n) // 3)}"))
-    return np.fromiter(sorted(slots), np.int32, len(slots))
+    shape = [
+        _slot(f"@capitals {int(10 * capitals / max(1, len(text)))}"),
+        _slot(f"@distinct {int(8 * len(distinct) / n)} {min(6, _level(n) // 3)}"),
+        _slot(f"@again {int(10 * sum(map(eq, tokens, tokens[1:])) / n)}"),
+        _slot(f"@signs {int(10 * (n - sum(map(str.isalpha, tokens))) / n)}"),
+    ]
+    return np.unique(np.concatenate([once, *often, shape]) % DIMENSIONS).astype(np.int32)
 
 
 def page_features(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
@@ -122,7 +133,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_view(rows: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 120, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_view(rows: Rows, y: np.ndarray, weight: np.ndarray, steps: int, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model over log-odds-scaled features."""
     of = weight[rows.row]
     good = np.bincount(rows.slots, of * (y[rows.row] == 0), DIMENSIONS) + 0.5
@@ -166,9 +177,9 @@ def co_train(views: list[Rows], bad: np.ndarray, rounds: int = ROUNDS) -> dict |
         return None
     taught = [(given, bad[given].astype(float), np.ones(len(given))) for _ in views]
 
-    def learn(v: int):
+    def learn(v: int, steps: int = ROUND_STEPS):
         at, y, weight = taught[v]
-        weights, b = fit_view(views[v].take(at), y, weight)
+        weights, b = fit_view(views[v].take(at), y, weight, steps)
         return weights, b, calibrate(views[v].take(apart).dot(weights) + b, bad[apart])
 
     for _ in range(rounds):
@@ -188,7 +199,7 @@ def co_train(views: list[Rows], bad: np.ndarray, rounds: int = ROUNDS) -> dict |
         pool = np.delete(pool, used)
         if not len(used):
             break
-    fitted = [learn(v) for v in range(len(views))]
+    fitted = [learn(v, LAST_STEPS) for v in range(len(views))]
     logits = [line[0] + line[1] * (views[v].take(apart).dot(w) + b) for v, (w, b, line) in enumerate(fitted)]
     return {"views": fitted, "mix": calibrate(np.column_stack(logits), bad[apart])}
 
