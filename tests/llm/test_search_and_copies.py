@@ -232,8 +232,9 @@ def plain_removal(corpus):
     return sorted(out, key=repr)
 
 
-def test_removed_spans_equal_brute_force(docs, corpus, no_docs, monkeypatch):
-    got = sd.removed_spans(docs)
+@pytest.mark.parametrize("sizes", [(sd.BLOCK_BYTES, sd.INDEX_BYTES), (3000, 500)])
+def test_removed_spans_equal_brute_force(docs, corpus, no_docs, sizes):
+    got = sd.removed_spans(docs, *sizes)
     rows = got.collect()
     assert sorted([tuple(r)[:5] for r in rows], key=repr) == plain_removal(corpus)
     assert all(sum(e - s for s, e in zip(r["starts"], r["ends"])) == r["n_removed"] for r in rows)
