@@ -23,18 +23,10 @@ def wilson_interval(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Colu
 
 @F.pandas_udf(DoubleType())
 def _upper_bound(k: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([binomial_upper(int(a), int(b)) for a, b in zip(k, n)])
+    return pd.Series(binomial_upper(k.to_numpy(), n.to_numpy()))
 
 
 def with_binomial_upper(rows: DataFrame, k: str, n: str, out: str) -> DataFrame:
     """One-sided 95% upper bound of a rate, computed once per distinct pair of counts."""
     pairs = rows.select(k, n).distinct().withColumn(out, _upper_bound(k, n))
     return rows.join(pairs, [k, n])
-
-
-def akaike(p: Column, ll: Column) -> Column:
-    return 2.0 * p - 2.0 * ll
-
-
-def bayes(p: Column, n: Column, ll: Column) -> Column:
-    return p * F.log(n.cast("double")) - 2.0 * ll

@@ -38,20 +38,30 @@ def exponential(beta: float) -> Kernel:
     return Kernel(f"exp({beta:g})", (float(beta),), (float(beta),))
 
 
+def _rate_mixture(eps: float, c: float, beta: np.ndarray, log_width: float) -> np.ndarray:
+    """Weights of the decay rates ``beta`` for the power law ``eps c^eps / (t + c)^(1 + eps)``.
+
+    The power law is the integral over u = ln(beta) of ``exp(-beta t)`` times a Gamma density in ``c beta`` of
+    shape ``1 + eps``, times ``eps / c``; each node stands for ``log_width`` of u.
+    """
+    x = c * beta
+    log_density = (1.0 + eps) * np.log(x) - x - math.lgamma(1.0 + eps)
+    return eps / c * log_width * np.exp(log_density)
+
+
 def power_law(eps: float, c: float, components: int = COMPONENTS, *, signed_tail: bool = True) -> Kernel:
-    """Power-law decay by quadrature over log-spaced rates; a slow component restores unit mass.
+    """Power-law decay as ``components`` rates in the middle of log-even cells, brought to unit mass by a slow one.
 
     ``signed_tail=False`` adds the slow component only when mass is missing, never to take some away.
     """
-    edges = np.geomspace(RATE_LOW, RATE_HIGH, components + 1)
-    beta = np.sqrt(edges[:-1] * edges[1:])
-    density = eps * c**eps / math.gamma(1.0 + eps) * beta**eps * np.exp(-beta * c)
-    a = density * np.diff(edges)
-    missing = 1.0 - float(np.sum(a / beta))
-    wanted = abs(missing) > MASS_TOLERANCE if signed_tail else missing > MASS_TOLERANCE
-    if wanted:
-        a, beta = np.append(a, missing * TAIL_RATE), np.append(beta, TAIL_RATE)
-    return Kernel(f"pow({eps:g},{c:g})", tuple(a.tolist()), tuple(beta.tolist()))
+    cell = math.log(RATE_HIGH / RATE_LOW) / components
+    beta = RATE_LOW * np.exp(cell * (np.arange(components) + 0.5))
+    a = _rate_mixture(eps, c, beta, 2.0 * math.sinh(cell / 2.0))  # a cell is that wide, in units of its middle
+    lack = 1.0 - math.fsum(a / beta)
+    parts = list(zip(a.tolist(), beta.tolist()))
+    if lack > MASS_TOLERANCE or (signed_tail and lack < -MASS_TOLERANCE):
+        parts.append((lack * TAIL_RATE, TAIL_RATE))
+    return Kernel(f"pow({eps:g},{c:g})", *zip(*parts))
 
 
 def fine_power_law(eps: float, c: float, *, step: float = 0.25, slowest: float = 1e-18) -> Kernel:
@@ -61,10 +71,8 @@ def fine_power_law(eps: float, c: float, *, step: float = 0.25, slowest: float =
     Rates below ``slowest`` are left out: they add nothing over any realistic time span, but the mass
     then falls short of 1 by what only acts after such a span.
     """
-    u = np.arange(math.log(slowest), math.log(60.0 / c), step)
-    beta = np.exp(u)
-    a = step * eps * c**eps / math.gamma(1.0 + eps) * beta ** (1.0 + eps) * np.exp(-beta * c)
-    return Kernel(f"fine({eps:g},{c:g})", tuple(a.tolist()), tuple(beta.tolist()))
+    beta = np.exp(np.arange(math.log(slowest), math.log(60.0 / c), step))
+    return Kernel(f"fine({eps:g},{c:g})", tuple(_rate_mixture(eps, c, beta, step).tolist()), tuple(beta.tolist()))
 
 
 def kernel_table(spark: SparkSession, kernels: Sequence[Kernel]) -> DataFrame:

@@ -78,17 +78,44 @@ def normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.asarray(flat).reshape(x.shape)
 
 
-def binomial_upper(k: int, n: int, tail: float = 0.05) -> float:
-    """Rate at which ``P(X <= k) = tail`` for a binomial of ``n`` trials, by bisection."""
-    if k >= n:
-        return 1.0
-    i = np.arange(0, k + 1)
-    log_choose = np.array(
-        [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) for j in i]
-    )
-    lo, hi = 0.0, 1.0
+_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta by its continued fraction, for all elements at once."""
+    x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
+    flip = x > (a + 1.0) / (a + b + 2.0)  # the fraction converges fast on one side of the mean
+    x, a, b = np.where(flip, 1.0 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) + _LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b)) / a
+    # the fraction 1/(1+ d1/(1+ d2/(1+ ...))) by numerators and denominators, rescaled as they grow
+    num0, num1, den0, den1 = np.zeros_like(x), np.ones_like(x), np.ones_like(x), np.ones_like(x)
+    value = np.ones_like(x)
+    for m in range(1, 20_000):
+        for even in (False, True):
+            j = (m if even else m - 1.0)
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if even else -(a + j) * (a + b + j) * x / ((a + 2 * j) * (a + 2 * j + 1))
+            num0, num1 = num1, num1 + d * num0
+            den0, den1 = den1, den1 + d * den0
+        size = np.where(den1 == 0, 1.0, den1)
+        num0, num1, den0, den1 = num0 / size, num1 / size, den0 / size, den1 / size
+        last, value = value, num1
+        if np.all(np.abs(value - last) <= 1e-14 * np.abs(value)):
+            break
+    else:
+        raise ArithmeticError("the continued fraction did not settle")
+    part = np.where(x <= 0.0, 0.0, front * value)
+    return np.where(flip, 1.0 - part, part)
+
+
+def binomial_upper(k: np.ndarray, n: np.ndarray, tail: float = 0.05) -> np.ndarray:
+    """Rates at which ``P(X <= k) = tail`` for binomials of ``n`` trials, by bisection over all pairs at once."""
+    k, n = np.asarray(k, float), np.asarray(n, float)
+    lo, hi = np.zeros_like(k), np.ones_like(k)
+    inner = k < n
+    a, b = np.where(inner, k + 1.0, 1.0), np.where(inner, n - k, 1.0)
     for _ in range(60):
-        mid = 0.5 * (lo + hi)
-        cdf = np.exp(log_choose + i * math.log(mid) + (n - i) * math.log1p(-mid)).sum()
-        lo, hi = (mid, hi) if cdf > tail else (lo, mid)
-    return 0.5 * (lo + hi)
+        mid = (lo + hi) / 2.0
+        above = 1.0 - incomplete_beta(mid, a, b) > tail
+        lo, hi = np.where(above, mid, lo), np.where(above, hi, mid)
+    return np.where(inner, (lo + hi) / 2.0, 1.0)

@@ -76,7 +76,7 @@ def fit_cells(
     basis: str = "step",
     ks: Sequence[int] = (1,),
     ns: Sequence[float] | None = None,
-    min_events: int = MIN_EVENTS,
+    min_events: int = 1,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Fit every stream under every kernel, segment count and (if given) fixed branching ratio.
@@ -117,10 +117,7 @@ def _fit_grouped(rows: DataFrame, kernels, basis, ks, ns) -> DataFrame:
         out = []
         for k in ks:
             edges = _edges(t, k, horizon)
-            seg = np.clip(np.searchsorted(edges, t, side="right") - 1, 0, k - 1)
-            lo, length = edges[seg], np.diff(edges)[seg]
-            weight = np.divide(t - lo, length, out=np.zeros_like(t), where=length > 0)
-            h = basis_matrix(basis, seg, weight, k)
+            h = basis_matrix(basis, *_place(t, edges), k)
             theta0, cost = cells.start(basis, edges, t.size)
             run = maximise(h, sums[:, cells.kernel], cost, theta0, cells.n)
             out += cells.rows(run, head["stream_id"], k, edges, t.size, horizon)
@@ -137,11 +134,17 @@ def _mass(left: np.ndarray, rates: np.ndarray, masses: np.ndarray) -> np.ndarray
 
 
 def _edges(t: np.ndarray, k: int, horizon: float) -> np.ndarray:
-    inner = []
-    for j in range(1, k):
-        i = min(max(int(round(j * t.size / k)), 1), t.size - 1)
-        inner.append(0.5 * (t[i - 1] + t[i]))
-    return np.array([0.0, *inner, horizon])
+    """Ends of ``k`` segments with about as many events each, cut midway between neighbouring events."""
+    after = np.rint(np.arange(1, k) * (t.size / k)).astype(int)
+    after = np.minimum(np.maximum(after, 1), t.size - 1)
+    return np.concatenate([[0.0], t[after - 1] / 2.0 + t[after] / 2.0, [horizon]])
+
+
+def _place(t: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segment of each time and how far into it, from the piecewise linear map of edges to 0, 1, 2, ..."""
+    along = np.interp(t, edges, np.arange(edges.size, dtype=float))
+    seg = np.minimum(np.floor(along).astype(int), edges.size - 2)
+    return seg, along - seg
 
 
 class _Cells:
@@ -325,12 +328,24 @@ def information_criteria(fits: DataFrame, basis: str, *, n_free: bool = True) ->
     )
 
 
+def with_all_streams(fits: DataFrame, events: DataFrame, streams: DataFrame) -> DataFrame:
+    """``fits`` with a row for every stream: without a fit the estimates are NULL and ``reason`` says why."""
+    counts = events.groupBy(*STREAM).agg(F.count(F.lit(1)).alias("_n"))
+    known = streams.select("stream_id").distinct().join(counts, STREAM, "left")
+    reason = F.when(F.col("n").isNull(), F.when(F.col("_n").isNull(), "no_events").otherwise("too_few_events"))
+    return (
+        known.join(fits, STREAM, "left")
+        .withColumns({"reason": reason, "n_events": F.coalesce("n_events", "_n", F.lit(0).cast("bigint"))})
+        .drop("_n")
+    )
+
+
 def fit_constant(events: DataFrame, streams: DataFrame, kernel: Kernel, **options) -> DataFrame:
     """Constant baseline ``mu`` and ``n`` under one fixed kernel shape."""
-    fits = fit_cells(events, streams, [kernel], **options)
-    return fits.select(
+    fits = fit_cells(events, streams, [kernel], **options).select(
         "stream_id", F.get("theta", F.lit(0)).alias("mu"), "n", "n_se", "ll", "n_events", "horizon", "cc"
     )
+    return with_all_streams(fits, events, streams)
 
 
 def fit_step(events, streams, kernel, ks, **options) -> DataFrame:
@@ -376,8 +391,10 @@ def fit_exponential(events: DataFrame, streams: DataFrame, *, rounds: int = 3, *
     """Exponential kernel with free decay rate: ``(mu, n, beta)`` by a refined ladder of rates.
 
     Times are rescaled per stream so that one ladder serves all streams: first to unit mean rate,
-    then so that the best rate so far is 1.
+    then so that the best rate so far is 1. Streams of fewer than ``MIN_EVENTS`` events or without a
+    time span keep a row with NULL estimates and a reason.
     """
+    options = {"min_events": MIN_EVENTS} | options
     spans = stream_spans(events).select("stream_id", "n_events")
     base = streams.select("stream_id", "horizon").join(spans, STREAM).where(F.col("horizon") > 0)
     scale = base.withColumn("t_scale", F.col("n_events") / F.col("horizon"))
@@ -388,7 +405,7 @@ def fit_exponential(events: DataFrame, streams: DataFrame, *, rounds: int = 3, *
         scale = base.join(best.select("stream_id", F.col("beta").alias("t_scale")), STREAM)
         best = _best_rate(events, scale, ladder, **options)
         span = span ** (1 / 10)
-    return best
+    return with_all_streams(best, events, streams)
 
 
 def _best_rate(events, streams, ladder, **options) -> DataFrame:
@@ -431,7 +448,7 @@ def profile_interval(
     ladder = tuple(float(x) for x in 4.0 ** np.linspace(-1, 1, 21))
     width = F.when(F.col("n_se") > 0, F.col("n_se")).otherwise(F.lit(0.05))
     centred = streams.select("stream_id", "horizon").join(
-        fits.select(
+        fits.where("n IS NOT NULL").select(
             "stream_id",
             F.col("beta").alias("t_scale"),
             F.col("n").alias("n_center"),

@@ -163,7 +163,7 @@ def exponents(
     duration_threshold: DataFrame | None = None,
     min_count: int = MIN_COUNT,
 ) -> DataFrame:
-    """``tau``, ``alpha``, ``inv_snz`` and the residual per set.
+    """``tau``, ``alpha``, ``inv_snz`` and the residual per set; parts that a set does not define are NULL.
 
     A threshold table ``(<keys>, xmin)`` fixes where a tail starts instead of searching for it.
     """
@@ -175,8 +175,10 @@ def exponents(
         fit = fit_tail(hist, keys) if thresholds is None else exponent_at(hist, keys, thresholds)
         return fit.select(*keys, F.col("alpha").alias(name), F.col("xmin").alias(f"xmin_{name}"))
 
+    # every set keeps its row, also one whose sizes or durations are all equal
     out = (
-        exponent("size", size_threshold, "tau")
+        cells.select(*keys).distinct()
+        .join(exponent("size", size_threshold, "tau"), keys, "left")
         .join(exponent("duration", duration_threshold, "alpha"), keys, "left")
         .join(curvature_slope(cells, keys, min_count), keys, "left")
     )

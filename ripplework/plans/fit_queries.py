@@ -319,13 +319,13 @@ def _(spark, sf):
 @query("fit04_step_fit", digits=3)
 def _(spark, sf):
     events, streams = fr.user_streams(spark, sf)
-    return fi.fit_step(events, streams, power_law(EPS, C), [1, 2, 4]).select("stream_id", "k", "n", "ll", "aic", "bic")
+    return fi.fit_step(events, streams, power_law(EPS, C), fi.K_SWEEP).select("stream_id", "k", "n", "ll", "aic", "bic")
 
 
 @query("fit05_linear_fit", digits=3)
 def _(spark, sf):
     events, streams = fr.user_streams(spark, sf)
-    return fi.fit_linear(events, streams, power_law(EPS, C), [1, 3]).select("stream_id", "k", "n", "ll", "aic", "bic")
+    return fi.fit_linear(events, streams, power_law(EPS, C), fi.K_SWEEP).select("stream_id", "k", "n", "ll", "aic", "bic")
 
 
 
@@ -345,22 +345,22 @@ def _(spark, sf):
     return fi.fit_step(events, streams, power_law(EPS, C), [1]).select("stream_id", "aic", "bic")
 
 
-SMALL_EPS, SMALL_C, SMALL_N = (0.05, 0.4, 1.1), (0.5, 2.0), (0.3, 0.6, 0.9, 1.2)
 
 
-def small_grid(spark, sf):
-    """Likelihood over a reduced grid with one constant baseline piece."""
+
+def constant_grid(spark, sf):
+    """Likelihood over the gate's grid of shapes and n with one constant baseline piece, which SQL can fit."""
     events, streams = fr.user_streams(spark, sf)
-    return fi.likelihood_grid(events, streams, ns=SMALL_N, eps=SMALL_EPS, cs=SMALL_C, k=1, basis="step")
+    return fi.likelihood_grid(events, streams, k=1, basis="step")
 
 
-_SHAPES = [(e, c) for e in SMALL_EPS for c in SMALL_C]
+_SHAPES = [(e, c) for e in fi.EPS_GRID for c in fi.C_GRID]
 
 # best constant baseline for each fixed n: the derivative in mu falls, 50 halvings find its root
 _GRID = with_(
     EV, RANKED, decay_cte([power_law(e, c) for e, c in _SHAPES]),
     "shapes(kernel_idx, eps, c) AS (VALUES " + ", ".join(f"({i}, {e}::DOUBLE, {c}::DOUBLE)" for i, (e, c) in enumerate(_SHAPES)) + ")",
-    "ns(n) AS (VALUES " + ", ".join(f"({n}::DOUBLE)" for n in SMALL_N) + ")",
+    "ns(n) AS (VALUES " + ", ".join(f"({n}::DOUBLE)" for n in fi.N_GRID) + ")",
     """root AS (SELECT st.stream_id, kernel_idx, n, 0 AS step, 1e-9::DOUBLE AS lo, n_events / horizon AS hi FROM st, shapes, ns
       UNION ALL
       SELECT b.stream_id, b.kernel_idx, b.n, any_value(b.step) + 1,
@@ -387,12 +387,14 @@ _GRID = with_(
     digits=3,
 )
 def _(spark, sf):
-    return small_grid(spark, sf).where("eps = 0.4").select("stream_id", "n", "eps", "c", "ll")
+    events, streams = fr.user_streams(spark, sf)
+    grid = fi.likelihood_grid(events, streams, eps=(fi.SHAPE_EPS,), k=1, basis="step")
+    return grid.select("stream_id", "n", "eps", "c", "ll")
 
 
 @query("fit10_likelihood_grid", _GRID + f"SELECT stream_id, n, eps, c, {r('ll', 'll', 3)} FROM ll", digits=3)
 def _(spark, sf):
-    return small_grid(spark, sf).select("stream_id", "n", "eps", "c", "ll")
+    return constant_grid(spark, sf).select("stream_id", "n", "eps", "c", "ll")
 
 
 @query(
@@ -400,22 +402,22 @@ def _(spark, sf):
     _GRID + "SELECT stream_id, n FROM capped WHERE eps_min = 0.05",
 )
 def _(spark, sf):
-    return ga.peak(ga.profile(small_grid(spark, sf), eps_min=0.05, n_cap=1.0)).select("stream_id", "n")
+    return ga.peak(ga.profile(constant_grid(spark, sf), eps_min=0.05, n_cap=1.0)).select("stream_id", "n")
 
 
 @query("top03_profile_peak", _GRID + f"SELECT stream_id, n, {r('ll', 'll', 3)} FROM top", digits=3)
 def _(spark, sf):
-    return ga.peak(ga.profile(small_grid(spark, sf))).select("stream_id", "n", "ll")
+    return ga.peak(ga.profile(constant_grid(spark, sf))).select("stream_id", "n", "ll")
 
 
 @query("top04_peak_shape", _GRID + "SELECT stream_id, n, eps, c FROM top")
 def _(spark, sf):
-    return ga.peak(ga.profile(small_grid(spark, sf))).select("stream_id", "n", "eps", "c")
+    return ga.peak(ga.profile(constant_grid(spark, sf))).select("stream_id", "n", "eps", "c")
 
 
 @query("win13_opening_trajectory", _GRID + "SELECT stream_id, eps_min, n FROM peaks")
 def _(spark, sf):
-    return ga.trajectory(small_grid(spark, sf)).select("stream_id", "eps_min", "n")
+    return ga.trajectory(constant_grid(spark, sf)).select("stream_id", "eps_min", "n")
 
 
 @query(
@@ -426,7 +428,7 @@ def _(spark, sf):
     WHERE a.eps_min = 0.4 AND b.eps_min = 0.02 AND c.eps_min = 0.02""",
 )
 def _(spark, sf):
-    return ga.gate_verdict(small_grid(spark, sf))
+    return ga.gate_verdict(constant_grid(spark, sf))
 
 
 @query(
@@ -439,7 +441,7 @@ def _(spark, sf):
     digits=3,
 )
 def _(spark, sf):
-    return ga.profile_shape(small_grid(spark, sf)).drop("ll")
+    return ga.profile_shape(constant_grid(spark, sf)).drop("ll")
 
 
 @query(
@@ -454,7 +456,7 @@ def _(spark, sf):
 def _(spark, sf):
     _, streams = fr.user_streams(spark, sf)
     truth = streams.select("stream_id", F.lit(0.3).alias("n_true"))
-    return ga.recovery_shape(small_grid(spark, sf), truth).drop("ll", "eps", "c")
+    return ga.recovery_shape(constant_grid(spark, sf), truth).drop("ll", "eps", "c")
 
 
 @query("ver01_near_critical_gate")
@@ -467,15 +469,14 @@ def _(spark, sf):
 @query("ver01_extended_gate")
 def _(spark, sf):
     events, streams = fr.type_streams(spark, sf)
-    return ga.certify_near_critical(events, streams, ns=fi.N_GRID_EXTENDED, eps=(0.02, 0.1, 0.4, 1.1), cs=(0.5, 2.0))
+    return ga.certify_near_critical(events, streams, ns=fi.N_GRID_EXTENDED)
 
 
 @query("fit12_profile_curve", digits=2)
 def _(spark, sf):
     events, streams = fr.type_streams(spark, sf)
-    options = {"ns": fi.N_GRID_FINE, "cs": (0.5, 2.0), "k": 4}
-    coarse = fi.likelihood_grid(events, streams, eps=(0.1, 0.4, 1.1), **options)
-    fine = fi.likelihood_grid(events, streams, eps=(0.1, 0.2, 0.4, 0.7, 1.1), **options)
+    coarse = fi.likelihood_grid(events, streams, ns=fi.N_GRID_FINE)
+    fine = fi.likelihood_grid(events, streams, ns=fi.N_GRID_FINE, eps=fi.EPS_GRID_FINE)
     return ga.profile_sharpness(coarse, fine)
 
 
@@ -488,7 +489,7 @@ def swept(spark, sf, ks):
 
 @query("fit07_segment_sweep", digits=3)
 def _(spark, sf):
-    return swept(spark, sf, [1, 2, 4, 8]).select(
+    return swept(spark, sf, fi.K_SWEEP).select(
         "stream_id", "k", "n", "ks", "aic", "bic", "k_bic", "k_aic", "plateau_k", "in_plateau", "fit_ok"
     )
 
@@ -540,8 +541,8 @@ def _(spark, sf):
 @query("fit08_step_against_linear", digits=3)
 def _(spark, sf):
     events, streams = fr.type_streams(spark, sf)
-    step = fi.fit_step(events, streams, power_law(EPS, C), [2, 4])
-    linear = fi.fit_linear(events, streams, power_law(EPS, C), [2, 4])
+    step = fi.fit_step(events, streams, power_law(EPS, C), fi.K_SWEEP)
+    linear = fi.fit_linear(events, streams, power_law(EPS, C), fi.K_SWEEP)
     return step.select("stream_id", "k", F.col("n").alias("n_step"), F.col("bic").alias("bic_step")).join(
         linear.select("stream_id", "k", F.col("n").alias("n_linear"), F.col("bic").alias("bic_linear")), ["stream_id", "k"]
     )
@@ -549,8 +550,8 @@ def _(spark, sf):
 
 def joint_shapes(spark, sf):
     events, streams = fr.type_streams(spark, sf)
-    grid = fi.shape_grid((0.2, 0.4, 0.7), (0.5, 2.0))
-    fits = fi.fit_cells(events, streams, [g[2] for g in grid], basis="linear", ks=[4])
+    grid = fi.shape_grid()
+    fits = fi.fit_cells(events, streams, [g[2] for g in grid], basis="linear", ks=[fi.GATE_K])
     ks_distance = go.ks_of_fits(events, fits, [(g[0], g[1]) for g in grid], basis="linear")
     idx = F.col("kernel_idx")
     return fits.join(ks_distance.select("stream_id", "kernel_idx", "ks"), ["stream_id", "kernel_idx"]).select(
@@ -693,10 +694,10 @@ def gap_statistic(spark, sf):
 
 
 def null_table(spark, sf):
-    """Twelve null distances per user from order values; some users have too few."""
-    orders = fr.table(spark, sf, "orders")
-    return orders.where(F.col("o_orderkey") % 3 > 0).select(
-        (F.col("o_orderkey") % 150).cast("string").alias("stream_id"),
+    """Null distances per user from the values of all orders; some are missing."""
+    users = fr.table(spark, sf, "events").agg(F.max("user_id") + 1).first()[0]  # one number
+    return fr.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") % F.lit(users)).cast("string").alias("stream_id"),
         F.col("o_orderkey").alias("replicate"),
         F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_totalprice") % 1000) / 5000.0).alias("d"),
     )
@@ -704,8 +705,8 @@ def null_table(spark, sf):
 
 _NULLS = """
 obs AS (SELECT stream_id, abs((stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap))) AS ks FROM rk GROUP BY 1),
-nulls AS (SELECT CAST(o_orderkey % 150 AS VARCHAR) AS stream_id,
-  CASE WHEN o_orderkey % 7 > 0 THEN (o_totalprice % 1000) / 5000.0::DOUBLE END AS d FROM orders WHERE o_orderkey % 3 > 0),
+nulls AS (SELECT CAST(o_orderkey % (SELECT max(user_id) + 1 FROM events) AS VARCHAR) AS stream_id,
+  CASE WHEN o_orderkey % 7 > 0 THEN (o_totalprice % 1000) / 5000.0::DOUBLE END AS d FROM orders),
 cal AS (SELECT o.stream_id, any_value(o.ks) AS ks, count(d) AS b_eff, count(*) FILTER (WHERE d >= o.ks) AS ge
   FROM obs o LEFT JOIN nulls n USING (stream_id) GROUP BY 1),
 gof AS (SELECT stream_id, ks, b_eff, CASE WHEN b_eff >= 10 THEN (1 + ge) / (1 + b_eff)::DOUBLE END AS p_boot FROM cal)"""

@@ -161,9 +161,9 @@ def cascades(spark: SparkSession, sf_dir: str, k: float = 1.0) -> DataFrame:
 
 
 def set_cascades(spark: SparkSession, sf_dir: str, k: float = 1.0) -> DataFrame:
-    """Cascades of each set with one id per cascade inside the set."""
+    """Cascades of each set; user and number together name a cascade."""
     return cascades(spark, sf_dir, k).select(
         "set_id",
-        (F.col("stream_id").cast("bigint") * 100_000 + F.col("cascade_id")).alias("cascade_id"),
+        F.concat_ws(":", "stream_id", F.col("cascade_id").cast("string")).alias("cascade_id"),
         "size", "duration", "censored",
     )

@@ -85,7 +85,7 @@ quiet AS (SELECT stream_id, run_id AS cascade_id, CAST(sum(cnt) AS BIGINT) AS si
 SETS = """
 cas AS (SELECT *, 's' || CAST(CAST(stream_id AS BIGINT) % 2 AS VARCHAR) AS set_id,
   (cascade_id + CAST(stream_id AS BIGINT)) % 9 = 0 AS censored FROM quiet),
-clean AS (SELECT set_id, CAST(stream_id AS BIGINT) * 100000 + cascade_id AS cascade_id, size, duration
+clean AS (SELECT set_id, stream_id || ':' || cascade_id AS cascade_id, size, duration
   FROM cas WHERE NOT censored)"""
 
 CASCADES = EV + "," + RANKED + "," + quiet_cte() + "," + SETS

@@ -348,8 +348,8 @@ def _(spark, sf):
 @query(
     "sca12_resolution_table",
     "WITH " + CASCADES
-    + f""", draws AS (SELECT CASE WHEN cascade_id // 100000 % 3 = 0 THEN 'third' ELSE 'rest' END AS n_label,
-      (cascade_id // 100000 % 5) AS seed, size, duration FROM clean),
+    + f""", draws AS (SELECT CASE WHEN CAST(split_part(cascade_id, ':', 1) AS BIGINT) % 3 = 0 THEN 'third' ELSE 'rest' END AS n_label,
+      (CAST(split_part(cascade_id, ':', 1) AS BIGINT) % 5) AS seed, size, duration FROM clean),
     m AS (SELECT n_label, seed, avg(size * 1.0) / avg(duration) - 1.0 AS delta FROM draws GROUP BY 1, 2)
     SELECT n_label, {r('avg(delta)', 'mean_delta')}, {r('stddev_samp(delta)', 'sd_seed')}, {r('2 * sqrt(2.0) * stddev_samp(delta)', 'resolution')},
     0.25 AS fraction, {r('avg(delta) / 2', 'mean_violation')}, avg(delta) / 2 > 2 * sqrt(2.0) * stddev_samp(delta) AS resolved
@@ -357,7 +357,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = sc.uncensored(fr.set_cascades(spark, sf))
-    user = F.floor(F.col("cascade_id") / 100_000)
+    user = F.split_part("cascade_id", F.lit(":"), F.lit(1)).cast("bigint")
     per_seed = rows.groupBy(
         F.when(user % 3 == 0, "third").otherwise("rest").alias("n_label"), (user % 5).alias("seed")
     ).agg((F.avg("size") / F.avg("duration") - 1.0).alias("delta"))
@@ -386,7 +386,7 @@ def profile_frame(spark, sf):
     user = F.col("stream_id").cast("bigint")
     labeled = event_depth(fr.forest(spark, sf)).select(
         (user % 2).cast("string").alias("set_id"),
-        (F.col("root_idx") + user * 1_000_000).alias("root_idx"),
+        F.concat_ws(":", "stream_id", F.col("root_idx").cast("string")).alias("root_idx"),
         "depth",
     )
     return sc.cascade_profiles(labeled, ["set_id"])

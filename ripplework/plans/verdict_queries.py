@@ -75,13 +75,12 @@ def _(spark, sf):
 _RUNS = """
 runs AS (SELECT o_orderpriority AS regime, CASE WHEN o_orderstatus = 'F' THEN 0.9::DOUBLE ELSE 0.75 END AS plant, o_orderkey AS seed,
   o_custkey % 1000 + 15000 AS n_events, floor(o_totalprice / 50000) * 0.15::DOUBLE + 0.75 AS peak,
-  o_totalprice < 100000 AS identified, (1 + o_custkey % 3) * 20000 AS n_target FROM orders WHERE o_orderkey % 37 = 0 OR o_orderstatus = 'P'),
+  o_totalprice < 100000 AS identified, (1 + o_custkey % 3) * 20000 AS n_target FROM orders),
 thin AS (SELECT * FROM runs)"""
 
 
 def gate_runs(spark, sf):
-    orders = fr.table(spark, sf, "orders").where("o_orderkey % 37 = 0 OR o_orderstatus = 'P'")
-    return orders.select(
+    return fr.table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("regime"),
         F.when(F.col("o_orderstatus") == "F", 0.9).otherwise(0.75).alias("plant"),
         F.col("o_orderkey").alias("seed"),

@@ -7,48 +7,61 @@ from ripplework.operators import ingest, validate
 from ripplework.sources.capture import line_report, parse_capture, read_capture_lines, trades
 from ripplework.sources.fills import FILL_SCHEMA, decode_fills, fill_times, reconcile
 
-T0 = 1_700_000_000_000
+START = 1_650_000_000_000
 
 
-def rec(asset, ts, recv=0.0, price="0.5", event_type="last_trade_price"):
-    return json.dumps(
-        {"recv_ts": recv, "msg": {"event_type": event_type, "asset_id": asset, "timestamp": str(ts), "price": price}}
-    )
+def message(at=0, *, market="m1", price=0.25, kind="last_trade_price", seen=1.0, **other):
+    """One capture line with times relative to ``START``."""
+    body = {"price": str(price), "timestamp": str(START + at), "event_type": kind, "asset_id": market} | other
+    return json.dumps({"msg": body, "recv_ts": seen})
 
 
-def read(spark, tmp_path, lines, end="\n"):
-    path = tmp_path / "capture.jsonl"
-    path.write_bytes("".join(x + end for x in lines).encode())
-    return trades(parse_capture(read_capture_lines(spark, str(path)))), parse_capture(read_capture_lines(spark, str(path)))
+def captured(spark, folder, lines, newline="\n"):
+    file = folder / "lines.jsonl"
+    with open(file, "w", newline="") as out:
+        out.writelines(line + newline for line in lines)
+    return parse_capture(read_capture_lines(spark, str(file)))
 
 
-def test_bad_and_skipped_lines(spark, tmp_path):
-    lines = [
-        rec("A", T0), "{broken", rec("A", T0, event_type="book"), '{"recv_ts": 1}', '{"msg": "text"}', "[1]", "",
-        rec("A", "1e999"),
-        json.dumps({"msg": {"event_type": "last_trade_price", "asset_id": ["bad"], "timestamp": str(T0)}}),
-        rec("A", T0 + 200),
-    ]
-    good, parsed = read(spark, tmp_path, lines, "\r\n")
-    assert {r.status: r.n_lines for r in line_report(parsed).collect()} == {"trade": 2, "bad": 5, "skipped": 2}
-    assert good.count() == 2
+LINES = [
+    ("trade", message()),
+    ("trade", message(50, market="m2", seen=None)),
+    ("skipped", message(kind="price_change")),
+    ("skipped", '{"note": "heartbeat"}'),
+    ("bad", message(asset_id=["m1"])),
+    ("bad", message(timestamp="-inf")),
+    ("bad", "not a line of json"),
+    ("bad", "[" + message() + "]"),
+    ("bad", '{"recv_ts": 3, "msg": 7}'),
+    ("trade", message(10, price=0.75)),
+    ("bad", message(timestamp="1e400")),
+]
+
+
+def test_every_line_is_read_skipped_or_counted_bad(spark, tmp_path):
+    for newline in ("\n", "\r\n"):
+        parsed = captured(spark, tmp_path, [line for _, line in LINES], newline)
+        want = {kind: sum(k == kind for k, _ in LINES) for kind in ("trade", "skipped", "bad")}
+        assert {r.status: r.n_lines for r in line_report(parsed).collect()} == want
+        assert sorted(r.price for r in trades(parsed).collect()) == [0.25, 0.25, 0.75]
 
 
 def test_times_ties_and_units(spark, tmp_path):
-    good, _ = read(spark, tmp_path, [rec("A", T0), rec("A", T0), rec("A", T0), rec("A", T0 + 2000), rec("B", T0 + 5)])
-    fill = {r.asset_id: r for r in ingest.market_stats(good).collect()}
-    match = {r.asset_id: r for r in ingest.market_stats(good, "match").collect()}
-    assert (fill["A"].n_events, fill["A"].max_ms_multiplicity, fill["A"].n_tied_events) == (4, 3, 3)
-    assert (match["A"].n_events, match["A"].max_ms_multiplicity) == (2, 3)
-    assert fill["A"].horizon == 2.0 and fill["B"].horizon == 0.0
+    lines = [message(5, market="m2"), *[message()] * 3, message(2000)]
+    good = trades(captured(spark, tmp_path, lines))
+    by_unit = {unit: {r.asset_id: r for r in ingest.market_stats(good, unit).collect()} for unit in ("fill", "match")}
+    one, other = by_unit["fill"]["m1"], by_unit["fill"]["m2"]
+    assert (one.n_events, one.max_ms_multiplicity, one.n_tied_events, one.horizon) == (4, 3, 3, 2.0)
+    assert other.horizon == 0.0
+    assert (by_unit["match"]["m1"].n_events, by_unit["match"]["m1"].max_ms_multiplicity) == (2, 3)
     with pytest.raises(ValueError):
         ingest.to_event_unit(good, "batch")
 
 
 def test_repeated_price_keeps_file_order(spark, tmp_path):
-    good, _ = read(spark, tmp_path, [rec("A", T0, price="0.5"), rec("A", T0, price="0.5"), rec("A", T0 + 1, price="0.6")])
-    assert ingest.repeated_prices(good).first().n_dup_price_consecutive == 1
-    assert ingest.repeated_prices(good, blocked=True).first().n_dup_price_consecutive == 1
+    good = trades(captured(spark, tmp_path, [message(price=0.5), message(price=0.5), message(1, price=0.6)]))
+    for blocked in (False, True):
+        assert ingest.repeated_prices(good, blocked=blocked).first().n_dup_price_consecutive == 1
 
 
 @pytest.mark.parametrize(
@@ -86,7 +99,7 @@ def test_data_validity(spark):
         return validate.data_validity(spark.createDataFrame([{**base, **change}], schema)).first()
 
     assert status().status == "feasible"
-    assert status(resolvable_timescale=1.0).status == "inadequate" and "timescale" in status(resolvable_timescale=1.0).reasons
+    assert status(resolvable_timescale=1.0).status == "inadequate" and "coarse" in status(resolvable_timescale=1.0).reasons
     assert status(reconciliation_ratio=1.4).status == "inadequate"
     assert status(blocker="x", blocker_category="cost").status == "blocked"
     with pytest.raises(Exception, match="not allowed"):
