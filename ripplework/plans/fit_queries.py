@@ -685,12 +685,20 @@ def _(spark, sf):
     return ks.withColumn("p_value", go.kolmogorov_p(F.col("ks"), F.col("n_increments")))
 
 
-def gap_statistic(spark, sf):
-    """A distance per user that SQL can reproduce, in place of an observed KS statistic."""
-    from ripplework.operators.shape import burstiness
+def observed_distance(spark, sf):
+    """KS distance of every user's constant-baseline fit."""
+    events, streams = fr.user_streams(spark, sf)
+    fits = fi.fit_cells(events, streams, [power_law(EPS, C)])
+    return go.ks_of_fits(events, fits, [(EPS, C)]).select("stream_id", "ks")
 
-    events, _ = fr.user_streams(spark, sf)
-    return burstiness(events).select("stream_id", F.abs(F.col("burstiness")).alias("ks"))
+
+# the fit and its KS distance: CTEs that give ``fit`` and ``ks``
+FITTED = (decay_cte([power_law(EPS, C)]), FIT)
+DISTANCE = (
+    _EXACT,
+    "lam AS (SELECT e.stream_id, e.rn, f.mu * e.t + greatest(f.n, 1e-9) * e.big_g AS lam FROM exact e JOIN fit f USING (stream_id))",
+    _KS,
+)
 
 
 def null_table(spark, sf):
@@ -704,7 +712,7 @@ def null_table(spark, sf):
 
 
 _NULLS = """
-obs AS (SELECT stream_id, abs((stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap))) AS ks FROM rk GROUP BY 1),
+obs AS (SELECT stream_id, ks FROM ks),
 nulls AS (SELECT CAST(o_orderkey % (SELECT max(user_id) + 1 FROM events) AS VARCHAR) AS stream_id,
   CASE WHEN o_orderkey % 7 > 0 THEN (o_totalprice % 1000) / 5000.0::DOUBLE END AS d FROM orders),
 cal AS (SELECT o.stream_id, any_value(o.ks) AS ks, count(d) AS b_eff, count(*) FILTER (WHERE d >= o.ks) AS ge
@@ -714,16 +722,16 @@ gof AS (SELECT stream_id, ks, b_eff, CASE WHEN b_eff >= 10 THEN (1 + ge) / (1 +
 
 @query(
     "gof03_calibrated_p",
-    with_(EV, RANKED, _NULLS)
+    with_(EV, RANKED, *FITTED, *DISTANCE, _NULLS, recursive=True)
     + f"SELECT stream_id, {r('ks', 'ks')}, b_eff, {r('p_boot', 'p_boot')}, coalesce(p_boot >= 0.1, false) AS passed FROM gof",
 )
 def _(spark, sf):
-    return go.calibrated_p(gap_statistic(spark, sf), null_table(spark, sf))
+    return go.calibrated_p(observed_distance(spark, sf), null_table(spark, sf))
 
 
-@query("joi08_null_lookup", with_(EV, RANKED, _NULLS) + "SELECT stream_id, b_eff, ge AS n_at_least FROM cal")
+@query("joi08_null_lookup", with_(EV, RANKED, *FITTED, *DISTANCE, _NULLS, recursive=True) + "SELECT stream_id, b_eff, ge AS n_at_least FROM cal")
 def _(spark, sf):
-    rows = gap_statistic(spark, sf).join(null_table(spark, sf), "stream_id", "left")
+    rows = observed_distance(spark, sf).join(null_table(spark, sf), "stream_id", "left")
     return rows.groupBy("stream_id").agg(
         F.count("d").alias("b_eff"), F.count_if(F.col("d") >= F.col("ks")).alias("n_at_least")
     )

@@ -15,9 +15,9 @@ from ripplework.operators import verdict as ve
 from ripplework.operators.shape import burstiness, stream_spans
 from ripplework.plans import frames as fr
 from ripplework.plans.catalog import query
-from ripplework.plans.fit_queries import _NULLS, C, EPS, gap_statistic, null_table
+from ripplework.plans.fit_queries import _NULLS, DISTANCE, FITTED, C, EPS, null_table, observed_distance
 from ripplework.plans.shape_queries import _RATES
-from ripplework.plans.sql import EV, RANKED, r, with_
+from ripplework.plans.sql import EV, MESSAGES, RANKED, r, with_
 from ripplework.session import checkpointed
 
 # ---- replicate tables made of line items: discounts as estimates, taxes as half-widths -----------
@@ -168,13 +168,14 @@ def _(spark, sf):
     return re.percentile_ranks(values, sample, ["c_nationkey"])
 
 
-_MARKETS = """
-mk AS (SELECT stream_id, round(1.0 + (stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)), 2) AS peak FROM rk GROUP BY 1)"""
+_MARKETS = ",\n".join([*FITTED, "mk AS (SELECT stream_id, round(greatest(n, 1e-9), 3) AS peak FROM fit)"])
 
 
 def market_peaks(spark, sf):
-    events, _ = fr.user_streams(spark, sf)
-    return burstiness(events).select("stream_id", F.round(1.0 + F.col("burstiness"), 2).alias("peak"))
+    """Branching ratio of every user's constant-baseline fit."""
+    events, streams = fr.user_streams(spark, sf)
+    fits = fi.fit_constant(events, streams, power_law(EPS, C)).where("n IS NOT NULL")
+    return fits.select("stream_id", F.round("n", 3).alias("peak"))
 
 
 @query(
@@ -184,6 +185,7 @@ def market_peaks(spark, sf):
         """g AS (SELECT peak AS x FROM runs WHERE NOT identified),
         cuts AS (SELECT median(x) AS median_peak, quantile_cont(x, 0.9) AS cut_peak, avg(CASE WHEN x >= 2.0 THEN 1.0 ELSE 0.0 END) AS ceiling_share FROM g),
         pr AS (SELECT stream_id, peak, 100.0 * (count(*) FILTER (WHERE x < peak) + 0.5 * count(*) FILTER (WHERE x = peak)) / count(*) AS percentile FROM mk, g GROUP BY 1, 2)""",
+        recursive=True,
     )
     + f"""SELECT stream_id, {r('peak', 'peak')}, {r('percentile', 'percentile')}, {r('median_peak', 'median_peak')}, {r('cut_peak', 'cut_peak')},
     {r('ceiling_share', 'ceiling_share')},
@@ -211,6 +213,7 @@ def _(spark, sf):
         """cap AS (SELECT quantile_cont(peak, 0.95) AS genuine_q95 FROM runs WHERE peak > 1.0),
         ok AS (SELECT bool_and(peak <= 1.0 OR (peak >= 1.175 AND peak * 10 >= 10)) AS markets_sharp,
           count(*) FILTER (WHERE NOT (peak <= 1.0 OR (peak >= 1.175 AND peak * 10 >= 10))) AS n_failing FROM mk)""",
+        recursive=True,
     )
     + f"""SELECT {r('genuine_q95', 'genuine_q95')}, markets_sharp, n_failing,
     CASE WHEN genuine_q95 <= 1.125 AND markets_sharp THEN 'holds' ELSE 'collapses' END AS verdict FROM ok, cap""",
@@ -283,7 +286,7 @@ ov2 AS (SELECT *, near_critical AND (over_floor OR hrs < 168) AS on_track FROM o
 
 @query(
     "agg13_market_overview",
-    with_(EV, RANKED, _MARKETS, _OVERVIEW)
+    with_(EV, RANKED, _MARKETS, _OVERVIEW, recursive=True)
     + f"""SELECT stream_id, n_events, {r('n_hat', 'n_hat')}, {r('rate', 'rate_per_hour')}, over_floor, near_critical,
     {r('hrs', 'hours_to_floor')}, on_track FROM ov2""",
 )
@@ -293,7 +296,7 @@ def _(spark, sf):
 
 @query(
     "agg13_overview_totals",
-    with_(EV, RANKED, _MARKETS, _OVERVIEW)
+    with_(EV, RANKED, _MARKETS, _OVERVIEW, recursive=True)
     + """SELECT count(*) AS n_markets, count(*) FILTER (WHERE over_floor) AS n_over, count(*) FILTER (WHERE near_critical) AS n_critical,
     count(*) FILTER (WHERE on_track) AS n_on_track FROM ov2""",
 )
@@ -319,6 +322,10 @@ def _(spark, sf):
     return ve.top_markets(streams).select("stream_id", "n_events")
 
 
+_CLEAN = """
+cln AS (SELECT asset_id, count(DISTINCT transaction_hash) = count(*) AND count(*) FILTER (WHERE transaction_hash IS NULL) = 0 AS clean
+  FROM msg GROUP BY 1)"""
+
 _VERDICT = """
 vd AS (SELECT st.stream_id, st.n_events, mk.peak, gof.ks, gof.b_eff, gof.p_boot,
   CASE WHEN st.n_events < 60 OR st.horizon <= 0 THEN 'insufficient_events' WHEN gof.p_boot IS NULL THEN 'inconclusive'
@@ -327,18 +334,18 @@ vd AS (SELECT st.stream_id, st.n_events, mk.peak, gof.ks, gof.b_eff, gof.p_boot,
 
 
 def market_verdicts(spark, sf):
-    """Verdict rules on values SQL can reproduce in place of the fits."""
-    _, streams = fr.user_streams(spark, sf)
-    peaks = market_peaks(spark, sf)
-    fits = peaks.select("stream_id", F.lit(0.1).alias("mu"), F.col("peak").alias("n"))
-    gof = go.calibrated_p(gap_statistic(spark, sf), null_table(spark, sf))
+    """Verdicts of all users from their fits and KS distances; a fit of 1 stands for the probe."""
+    events, streams = fr.user_streams(spark, sf)
+    peaks = checkpointed(market_peaks(spark, sf))
+    fits = peaks.select("stream_id", F.lit(None).cast("double").alias("mu"), F.col("peak").alias("n"))
+    gof = go.calibrated_p(observed_distance(spark, sf), null_table(spark, sf))
     probe = peaks.select("stream_id", (F.col("peak") - 1.0).alias("diff"))
     return ve.market_verdict(streams, fits, gof, probe, min_events=60)
 
 
 @query(
     "ver02_market_verdict",
-    with_(EV, RANKED, _MARKETS, _NULLS, _VERDICT)
+    with_(EV, RANKED, _MARKETS, *DISTANCE, _NULLS, _VERDICT, recursive=True)
     + f"""SELECT stream_id, n_events, status, {r("CASE WHEN status <> 'insufficient_events' THEN peak END", 'n')},
     {r("CASE WHEN status <> 'insufficient_events' THEN p_boot END", 'p_boot')}, {r("CASE WHEN status = 'certified' THEN peak - 1.0 END", 'diff')} FROM vd""",
 )
@@ -348,43 +355,55 @@ def _(spark, sf):
 
 @query("ver02_certified_capture", digits=3)
 def _(spark, sf):
-    """Capture lines to verdicts: parse, shape, fit, test and probe every market."""
+    """Capture lines to verdicts: parse, drop outages, shape, fit, test and probe every market in both event units."""
     from ripplework.operators import ingest
+    from ripplework.plans.ingest_queries import OUTAGE_GAP_S
 
-    rows = ingest.market_times(fr.messages(spark, sf))
-    events = checkpointed(
-        rows.select(
-            F.col("asset_id").alias("stream_id"), F.col("pos").alias("event_id"), (F.col("t") / 3600.0).alias("t")
+    msgs = checkpointed(ingest.outage_filter(fr.messages(spark, sf), OUTAGE_GAP_S))
+    nulls = checkpointed(
+        null_table(spark, sf).withColumn(
+            "stream_id", F.concat(F.lit("m"), (F.col("stream_id").cast("bigint") % 20).cast("string"))
         )
     )
-    streams = stream_spans(events)
-    fits = fi.fit_cells(events, streams, [power_law(EPS, C)])
-    observed = go.ks_of_fits(events, fits, [(EPS, C)]).select("stream_id", "ks")
-    nulls = null_table(spark, sf).withColumn(
-        "stream_id", F.concat(F.lit("m"), (F.col("stream_id").cast("bigint") % 20).cast("string"))
-    )
-    simple = fits.select("stream_id", F.get("theta", F.lit(0)).alias("mu"), "n")
-    probe = fits.select("stream_id", F.lit(None).cast("double").alias("diff"))
-    return ve.market_verdict(streams, simple, go.calibrated_p(observed, nulls), probe, min_events=100)
+    out = None
+    for unit in ("fill", "match"):
+        rows = ingest.market_times(ingest.to_event_unit(msgs, unit))
+        eid = F.col("pos") if unit == "fill" else F.col("ts_ms")
+        events = checkpointed(
+            rows.select(F.col("asset_id").alias("stream_id"), eid.alias("event_id"), (F.col("t") / 3600.0).alias("t"))
+        )
+        streams = checkpointed(stream_spans(events))
+        fits = fi.fit_cells(events, streams, [power_law(EPS, C)])
+        observed = go.ks_of_fits(events, fits, [(EPS, C)]).select("stream_id", "ks")
+        simple = fits.select("stream_id", F.get("theta", F.lit(0)).alias("mu"), "n")
+        probe = go.granularity_probe(events, streams, 2.0, [0.1, 0.5, 2.0]).select("stream_id", "diff")
+        part = ve.market_verdict(streams, simple, go.calibrated_p(observed, nulls), probe, min_events=100)
+        part = part.withColumn("unit", F.lit(unit))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
     "rep08_pass_rate",
-    with_(EV, RANKED, _MARKETS, _NULLS, _VERDICT)
+    with_(EV, RANKED, _MARKETS, *DISTANCE, _NULLS, _VERDICT, MESSAGES, _CLEAN, recursive=True)
     + f"""SELECT count(*) AS n_markets, count(*) FILTER (WHERE status = 'certified') AS n_passed,
     count(*) FILTER (WHERE status = 'flagged_shape_misfit') AS n_flagged, count(*) FILTER (WHERE status = 'inconclusive') AS n_inconclusive,
-    count(*) FILTER (WHERE n_events % 2 = 0) AS n_clean, {r("count(*) FILTER (WHERE status = 'certified') / count(*)", 'pass_rate')}
-    FROM vd WHERE status <> 'insufficient_events'""",
+    count(*) FILTER (WHERE clean) AS n_clean, {r("count(*) FILTER (WHERE status = 'certified') / count(*)", 'pass_rate')}
+    FROM vd LEFT JOIN cln ON cln.asset_id = 'm' || CAST(CAST(vd.stream_id AS BIGINT) % 20 AS VARCHAR) WHERE status <> 'insufficient_events'""",
 )
 def _(spark, sf):
+    from ripplework.operators import ingest
+
     _, streams = fr.user_streams(spark, sf)
-    clean = streams.select("stream_id", (F.col("n_events") % 2 == 0).alias("clean"))
+    market = F.concat(F.lit("m"), (F.col("stream_id").cast("bigint") % 20).cast("string"))
+    flags = ingest.clean_stream(fr.messages(spark, sf)).select(F.col("asset_id").alias("market"), "clean")
+    clean = streams.select("stream_id", market.alias("market")).join(flags, "market", "left")
     return ve.pass_rate(market_verdicts(spark, sf), clean)
 
 
 @query(
     "ver07_regime_band",
-    with_(EV, RANKED, _MARKETS)
+    with_(EV, RANKED, _MARKETS, recursive=True)
     + """SELECT stream_id, CASE WHEN peak < 0.7 THEN 'subcritical' WHEN peak < 0.9 THEN 'endogenous'
     WHEN peak < 1.0 THEN 'near_critical' ELSE 'supercritical' END AS band FROM mk""",
 )
@@ -394,7 +413,7 @@ def _(spark, sf):
 
 @query(
     "joi07_frozen_baseline",
-    with_(EV, RANKED, _MARKETS)
+    with_(EV, RANKED, _MARKETS, recursive=True)
     + f"""SELECT mk.stream_id, {r('peak', 'peak')}, {r('c_acctbal / 10000.0', 'false_rate')} FROM mk
     LEFT JOIN customer ON CAST(c_custkey * 2 AS VARCHAR) = mk.stream_id""",
 )
@@ -471,13 +490,10 @@ def run_inputs(spark, sf):
     return labeled.drop("event_id", "value"), counters, labeled.select("stream_id", "value")
 
 
-_GATE_OPTIONS = {"eps": (0.02, 0.4, 1.1), "cs": (0.5,)}
-
-
 @query("ver06_run_record", digits=3)
 def _(spark, sf):
     labeled, counters, trajectory = run_inputs(spark, sf)
-    return ve.run_record(labeled, counters, trajectory, n_match=1500, min_count=20, ll_options=_GATE_OPTIONS)
+    return ve.run_record(labeled, counters, trajectory, n_match=1500, min_count=20)
 
 
 @query("ver05_control_comparison", digits=3)
@@ -492,7 +508,7 @@ def _(spark, sf):
         }
     )
     counters = counters.withColumn("successes", F.when(null, 0).otherwise(F.col("successes")))
-    records = ve.run_record(arms, counters, trajectory, n_match=1500, min_count=20, ll_options=_GATE_OPTIONS)
+    records = ve.run_record(arms, counters, trajectory, n_match=1500, min_count=20)
     kept = records.where(F.col("stream_id").isin("click", "view"))
     return ve.control_comparison(ve.control_columns(arms, checkpointed(kept), (12.0, 144.0)), "click", "view")
 

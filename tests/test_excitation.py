@@ -120,3 +120,17 @@ def test_gate_tie_and_migration_rules(spark):
 def test_binned_fit_runs_high_on_coarse_bins(spark, events):
     fits = go.binned_fit(events, stream_spans(events), 2.0, [0.5, 1.0])
     assert {r.stream_id for r in fits.collect()} == {"a", "b"} and fits.where("n < 0 OR n > 1.5").isEmpty()
+
+
+def test_every_stream_keeps_a_row_in_fits(spark):
+    rows = [("nine", i, float(i)) for i in range(9)] + [("one", 0, 1.0)] + [("many", i, i * 0.5) for i in range(40)]
+    events = spark.createDataFrame(rows, "stream_id string, event_id long, t double")
+    streams = stream_spans(events).unionByName(
+        spark.createDataFrame([("none", 0, 5.0)], "stream_id string, n_events long, horizon double"), allowMissingColumns=True
+    )
+    constant = {r.stream_id: r for r in fi.fit_constant(events, streams, power_law(0.4, 0.5)).collect()}
+    assert set(constant) == {"nine", "one", "many", "none"}
+    assert constant["nine"].n is not None and constant["none"].n is None and constant["none"].reason == "no_events"
+    free = {r.stream_id: r for r in fi.fit_exponential(events, streams, rounds=1).collect()}
+    assert set(free) == set(constant) and free["many"].n is not None
+    assert {k: r.reason for k, r in free.items() if r.n is None} == {"nine": "too_few_events", "one": "too_few_events", "none": "no_events"}

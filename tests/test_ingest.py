@@ -43,7 +43,7 @@ def test_every_line_is_read_skipped_or_counted_bad(spark, tmp_path):
         parsed = captured(spark, tmp_path, [line for _, line in LINES], newline)
         want = {kind: sum(k == kind for k, _ in LINES) for kind in ("trade", "skipped", "bad")}
         assert {r.status: r.n_lines for r in line_report(parsed).collect()} == want
-        assert sorted(r.price for r in trades(parsed).collect()) == [0.25, 0.25, 0.75]
+        assert sorted(float(r.price) for r in trades(parsed).collect()) == [0.25, 0.25, 0.75]
 
 
 def test_times_ties_and_units(spark, tmp_path):

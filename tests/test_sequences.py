@@ -181,3 +181,12 @@ def test_binomial_bound(spark):
     rows = spark.createDataFrame([(0, 40), (5, 5)], "k int, n int")
     got = {r.k: r.u for r in with_binomial_upper(rows, "k", "n", "u").collect()}
     assert abs(got[0] - (1 - 0.05 ** (1 / 40))) < 1e-9 and got[5] == 1.0
+
+
+def test_exponents_keep_every_set(spark):
+    from ripplework.operators.scaling import exponents
+
+    cells = [("equal", 4, 2, 30)] + [("plain", s, d, 60 // s) for s in range(1, 30) for d in (1, 2 + s // 3)]
+    out = {r.set_id: r for r in exponents(spark.createDataFrame(cells, "set_id string, size long, duration long, cnt long"), ["set_id"]).collect()}
+    assert set(out) == {"equal", "plain"}
+    assert out["equal"].tau is None and out["equal"].delta is None and out["plain"].tau is not None
