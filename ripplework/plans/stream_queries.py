@@ -27,7 +27,7 @@ def drain(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataF
     out = scratch_path(spark, "drained")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")  # a repeated batch replaces itself
 
     running = (
         stream.writeStream.outputMode(mode)
@@ -127,6 +127,6 @@ def _(spark, sf):
         seen = drain(live.live_excitation(feed, exponential(0.0001)), spark)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", previous)
-    return seen.select("asset_id", "n_seen", "excitation")
+    return seen.where("NOT late").select("asset_id", "n_seen", "excitation")
 
 

@@ -41,7 +41,7 @@ def decode_fills(fills: DataFrame, *, strict: bool = True) -> DataFrame:
     shares = F.when(on_maker, taker).when(on_taker, maker)
     scale = F.lit(10.0**DECIMALS)
     return fills.withColumns(
-        {"usdc": usdc.cast("double") / scale, "shares": shares.cast("double") / scale}
+        {"_usdc_units": usdc, "usdc": usdc.cast("double") / scale, "shares": shares.cast("double") / scale}
     ).withColumn("price", F.try_divide(F.col("usdc"), F.col("shares")))
 
 
@@ -61,7 +61,8 @@ def fill_times(decoded: DataFrame) -> DataFrame:
 def reconcile(decoded: DataFrame, reported: DataFrame) -> DataFrame:
     """Traded money per market against its reported volume; ratio is NULL for zero volume."""
     totals = decoded.groupBy("market").agg(
-        F.sum("usdc").alias("notional"), F.count(F.lit(1)).alias("n_events")
+        # whole units are summed exactly, in any order
+        (F.sum("_usdc_units").cast("double") / F.lit(10.0**DECIMALS)).alias("notional"), F.count(F.lit(1)).alias("n_events")
     )
     return totals.join(reported, "market", "left").withColumn(
         "reconciliation_ratio", F.try_divide("notional", F.col("reported_volume"))

@@ -136,15 +136,21 @@ class _Intensity(StatefulProcessor):
         rates, weights = np.asarray(self._rates), np.asarray(self._weights)
         ms = pdf["ts_ms"].to_numpy("int64")
         last_ms, carry, n = self._state.get() if self._state.exists() else (None, None, 0)
+        late = np.zeros(ms.size, bool) if last_ms is None else ms < last_ms
+        if late.any():
+            # its place in the sums is past: shown as late, never moved to another time
+            yield pd.DataFrame({"asset_id": key[0], "ts_ms": ms[late], "n_seen": None, "excitation": None, "late": True})
+        ms = ms[~late]
+        if not ms.size:
+            return
         origin = int(ms[0]) if last_ms is None else int(last_ms)
-        # a late message is taken at the time already reached
-        t = np.maximum(ms - origin, 0) / 1000.0
+        t = (ms - origin) / 1000.0
         label = np.zeros(t.size)
         gap = stream_gaps(label, t, None if last_ms is None else 0.0, 0.0)
         sums, last = decayed_sums(gap, rates, weights, None if carry is None else np.asarray(carry, float))
-        self._state.update((max(origin, int(ms[-1])), last.tolist(), int(n) + t.size))
+        self._state.update((int(ms[-1]), last.tolist(), int(n) + t.size))
         yield pd.DataFrame(
-            {"asset_id": key[0], "ts_ms": ms, "n_seen": int(n) + 1 + np.arange(t.size), "excitation": sums[:, 0]}
+            {"asset_id": key[0], "ts_ms": ms, "n_seen": int(n) + 1 + np.arange(t.size), "excitation": sums[:, 0], "late": False}
         )
 
     def close(self) -> None:
@@ -154,13 +160,16 @@ class _Intensity(StatefulProcessor):
 def live_excitation(messages: DataFrame, kernel: Kernel) -> DataFrame:
     """Decayed self-excitation at every message, with state kept between batches.
 
+    A message older than what its market has reached in an earlier batch is given back with ``late``
+    set and without values; all others equal the batch result over the messages that were in time.
+
     Needs the RocksDB state store provider. Batches of one market arrive together, so the trigger
     bounds how much of a hot market one task sees.
     """
     rates, weights = stack_kernels([kernel])
     return messages.groupBy("asset_id").transformWithStateInPandas(
         statefulProcessor=_Intensity(rates.tolist(), weights.tolist()),
-        outputStructType="asset_id string, ts_ms bigint, n_seen bigint, excitation double",
+        outputStructType="asset_id string, ts_ms bigint, n_seen bigint, excitation double, late boolean",
         outputMode="Append",
         timeMode="None",
     )
