@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 N_LABELLED = 4000
-N_UNLABELLED = 3000
+N_UNLABELLED = 2000
 DIMENSIONS = 1 << 18
 ROUNDS = 4
 HANDED_OVER = 150  # of either kind, each round and view
@@ -118,7 +118,7 @@ class Rows:
     def __init__(self, rows: list[np.ndarray]):
         self.size = np.array([len(r) for r in rows], np.int64)
         self.slots = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(len(rows)), self.size)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.size)
         self.scale = 1 / np.sqrt(np.maximum(1, self.size))
 
     def take(self, at: np.ndarray) -> Rows:
@@ -129,6 +129,14 @@ class Rows:
         return np.bincount(self.row, weights[self.slots], len(self.size)) * self.scale
 
 
+def repeated(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """``rows`` without the slots that only one of them has; nothing can be learned from those."""
+    count = np.zeros(DIMENSIONS, np.int32)
+    for r in rows:
+        count[r] += 1  # a row has a slot once
+    return [r[count[r] > 1] for r in rows]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -228,8 +236,10 @@ def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED, n_un
     texts = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").join(sample, "doc_id")
     rows = texts.select("bad", "text", "lang", "source").mapInArrow(_features, "bad int, text_slots binary, page_slots binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(bytes(r["text_slots"])), bytes(r["page_slots"]), r["bad"]))
-    views = [Rows([np.frombuffer(r[c], np.int32) for r in rows]) for c in ("text_slots", "page_slots")]
-    return co_train(views, np.array([r["bad"] for r in rows]))
+    views = [Rows(repeated([np.frombuffer(r[c], np.int32) for r in rows])) for c in ("text_slots", "page_slots")]
+    bad = np.array([r["bad"] for r in rows])
+    del rows
+    return co_train(views, bad)
 
 
 class _Scorer:
