@@ -62,7 +62,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     chosen = (
         rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
     )
-    texts = rows.join(chosen.select("doc_id", "lang", "place"), ["doc_id", "lang"]).select(
+    few = F.broadcast(chosen.select("doc_id", "lang", "place"))  # sample_docs rows a language
+    texts = rows.join(few, ["doc_id", "lang"]).select(
         "lang", "place", F.substring("text", 1, SAMPLE_BYTES).alias("text")
     )
     found: dict[str, list[tuple[int, str]]] = {}
