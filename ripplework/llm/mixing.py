@@ -3,13 +3,14 @@
 Token counts are summed once into cells of source, language and topic. The cells are then raked: each
 step scales the cells of every value of one dimension to that value's target share, dimension after
 dimension, round after round. What is scaled is the cell table alone; its sums are pre-aggregated and
-joined back by value, so a value that holds most cells is never gathered. A document's sampling
-probability is its cell's raked weight over the cell's tokens, scaled so that the largest is 1: no
-probability is cut off, and expected token shares meet the targets. A document is drawn if a hash of its
-id falls below its probability. Everything is DataFrame functions.
+joined back by value, so a value that holds most cells is never gathered. Targets are for ``keep`` of all tokens, and
+after every round a cell is cut to the tokens it has, which the next round makes up for in other cells. A
+document's sampling probability is its cell's weight over the cell's tokens, so expected token shares meet the
+targets as far as the corpus can. A document is drawn if a hash of its id falls below its probability. Everything is
+DataFrame functions.
 
 Defined cases: a null dimension is the value ``(none)``; a null text has no tokens; cells without tokens get
-the probability of weight 1 before scaling, cells of values whose target is absent or 0 get 0; rows with
+the probability ``keep``, cells of values whose target is absent or 0 get 0; rows with
 the same id share one draw, a null id draws as the empty one; an empty table gives an empty result.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from ripplework.session import checkpointed
 
 ROUNDS = 8
+KEEP = 0.6
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURES = {"source": 0.7, "lang": 0.8, "topic": 0.9}
@@ -61,9 +63,12 @@ def tempered(cells: DataFrame, dimension: str, temperature: float) -> DataFrame:
     return raised
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with ``weight``, raked to ``targets[dimension](value, share)``; shares are scaled to sum 1."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+    """``cells`` with ``weight``, raked to ``targets[dimension](value, share)`` of ``keep`` times all tokens.
+
+    Shares are scaled to sum 1; no cell gets more weight than it has tokens.
+    """
+    total = keep * (cells.agg(F.sum("tokens")).first()[0] or 0.0)
     scaled = {}
     for name, target in targets.items():
         present = checkpointed(target.join(cells.filter("tokens > 0").select(F.col(name).alias("value")).distinct(), "value", "left_semi"))
@@ -75,17 +80,14 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
             sums = weighted.groupBy(name).agg(F.sum("weight").alias("now")).join(aim, name, "left")
             factor = sums.select(name, F.when(F.col("now") > 0, F.coalesce("aim", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor"))
             weighted = weighted.join(factor, name).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        weighted = checkpointed(weighted.select(*cells.columns, "weight"))
+        weighted = checkpointed(weighted.select(*cells.columns, F.least("weight", "tokens").alias("weight")))
     return weighted
 
 
-def probabilities(weighted: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """``dimensions, ratio, probability`` of every raked cell."""
-    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    rated = weighted.select(*dimensions, ratio.alias("ratio"))
-    top = rated.agg(F.max("ratio")).first()[0]
-    scaled = F.least(F.lit(1.0), F.col("ratio") / F.lit(top)) if top else F.lit(0.0)
-    return rated.withColumn("probability", scaled)
+def probabilities(weighted: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, keep: float = KEEP) -> DataFrame:
+    """``dimensions, probability`` of every raked cell."""
+    chance = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(keep))
+    return weighted.select(*dimensions, chance.alias("probability"))
 
 
 def draw(doc_id: Column, seed: str = SEED) -> Column:
@@ -94,15 +96,15 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def plan_mix(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, rounds: int = ROUNDS) -> DataFrame:
+def plan_mix(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """Sampling probabilities of the cells of ``described`` rows under tempered targets."""
     cells = checkpointed(cells_of(rows))
     targets = {name: tempered(cells, name, t) for name, t in temperatures.items()}
-    return probabilities(rake(cells, targets, rounds))
+    return probabilities(rake(cells, targets, rounds, keep), keep=keep)
 
 
 def sample(rows: DataFrame, mix: DataFrame, seed: str = SEED) -> DataFrame:
-    """``rows`` with ``ratio``, ``probability`` and ``sampled``."""
+    """``rows`` with ``probability`` and ``sampled``."""
     return rows.join(mix, list(DIMENSIONS)).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 

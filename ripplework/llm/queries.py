@@ -96,22 +96,22 @@ def op10(spark, sf_dir):
 
 
 def _rake_sql(rounds: int) -> str:
-    parts = []
-    last = "c0"
-    n = 0
-    for _ in range(rounds):
+    parts, last = [], "c0"
+    for n in range(rounds):
         for name in mx.DIMENSIONS:
-            n += 1
+            raked = f"CASE WHEN sum(weight) OVER w > 0 THEN weight * aim_{name} / sum(weight) OVER w ELSE 0 END"
+            now = f"c{n}_{name}"
+            weight = f"least({raked}, tokens)" if name == mx.DIMENSIONS[-1] else raked
             parts.append(
-                f"c{n} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN sum(weight) OVER w > 0 THEN weight * aim_{name} / sum(weight) OVER w"
-                f" ELSE 0 END AS weight, aim_source, aim_lang, aim_topic FROM {last} WINDOW w AS (PARTITION BY {name}))"
+                f"{now} AS MATERIALIZED (SELECT source, lang, topic, tokens, {weight} AS weight, aim_source, aim_lang, aim_topic"
+                f" FROM {last} WINDOW w AS (PARTITION BY {name}))"
             )
-            last = f"c{n}"
+            last = now
     return ",\n".join(parts) + f",\nraked AS (SELECT * FROM {last})"
 
 
 _AIMS = ",\n".join(
-    f"a_{name} AS MATERIALIZED (SELECT {name}, p / sum(p) OVER () * (SELECT sum(tokens) FROM cells) AS aim_{name} FROM"
+    f"a_{name} AS MATERIALIZED (SELECT {name}, p / sum(p) OVER () * {mx.KEEP} * (SELECT sum(tokens) FROM cells) AS aim_{name} FROM"
     f" (SELECT {name}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {t}) ELSE 0 END AS p FROM cells GROUP BY 1))"
     for name, t in mx.TEMPERATURES.items()
 )
@@ -125,9 +125,8 @@ cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) A
 c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS weight, aim_source, aim_lang, aim_topic
   FROM cells JOIN a_source USING (source) JOIN a_lang USING (lang) JOIN a_topic USING (topic)),
 {_rake_sql(mx.ROUNDS)},
-rated AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS ratio FROM raked),
-p AS (SELECT *, CASE WHEN max(ratio) OVER () > 0 THEN least(1.0, ratio / max(ratio) OVER ()) ELSE 0 END AS probability FROM rated)
-SELECT doc_id, source, lang, topic, tokens, round(ratio, 6) AS ratio, round(probability, 6) AS probability,
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE {mx.KEEP} END AS probability FROM raked)
+SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability,
   CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{mx.SEED}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < probability AS sampled
 FROM d JOIN p USING (source, lang, topic)
 """
@@ -138,7 +137,7 @@ def op7(spark, sf_dir):
     rows = checkpointed(mx.described(table(spark, sf_dir, "documents")))
     found = mx.sample(rows, mx.plan_mix(rows))
     return found.select(
-        "doc_id", "source", "lang", "topic", "tokens", F.round("ratio", 6).alias("ratio"), F.round("probability", 6).alias("probability"), "sampled"
+        "doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled"
     )
 
 

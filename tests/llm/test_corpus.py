@@ -149,20 +149,33 @@ def test_raking_meets_the_targets(spark):
     )
     shares = {"source": {"a": 1.0, "b": 2.0, "c": 3.0, "d": 2.0, "unseen": 9.0}, "lang": {"en": 3.0, "fr": 1.0}, "topic": {"p": 1.0, "q": 1.0, "r": 1.0}}
     targets = {k: spark.createDataFrame(list(v.items()), "value string, share double") for k, v in shares.items()}
-    raked = mx.rake(cells, targets, 30)
-    total = cells.agg(F.sum("tokens")).first()[0]
+    keep = 0.02  # so little that every cell has enough
+    raked = mx.rake(cells, targets, 30, keep)
+    total = keep * cells.agg(F.sum("tokens")).first()[0]
     for name, wanted in shares.items():
         got = {r[name]: r["w"] for r in raked.groupBy(name).agg(F.sum("weight").alias("w")).collect()}
         whole = sum(v for k, v in wanted.items() if k != "unseen")
         for value, share in wanted.items():
             if value != "unseen":
                 assert got[value] == pytest.approx(total * share / whole, rel=1e-6)
-    p = mx.probabilities(raked).collect()
-    assert max(r["probability"] for r in p) == 1.0 and all(0 <= r["probability"] <= 1 for r in p)
+    p = {(r["source"], r["lang"], r["topic"]): r["probability"] for r in mx.probabilities(raked, keep=keep).collect()}
+    assert all(0 <= x <= 1 for x in p.values()) and p["e", "en", "p"] == keep
     dropped = targets | {"lang": spark.createDataFrame([("en", 1.0)], "value string, share double")}
     assert {r["weight"] for r in mx.rake(cells, dropped, 2).filter("lang = 'fr'").collect()} == {0.0}
 
 
+def test_raking_gives_no_cell_more_than_it_has(spark):
+    rng = random.Random(9)
+    cells = spark.createDataFrame(
+        [(s, x, t, float(rng.choice([5, 50, 500]))) for s in "abcd" for x in ("en", "fr") for t in "pqr"], "source string, lang string, topic string, tokens double"
+    )
+    targets = {k: mx.tempered(cells, k, 0.5) for k in mx.DIMENSIONS}
+    raked = mx.rake(cells, targets, 40, 0.7)
+    rows = raked.collect()
+    assert all(r["weight"] <= r["tokens"] for r in rows)
+    assert sum(r["weight"] for r in rows) == pytest.approx(0.7 * sum(r["tokens"] for r in rows), rel=0.05)
+
+
 def test_mix_of_odd_rows(docs, corpus, no_docs):
     rows = mx.described(docs)
     found = mx.sample(rows, mx.plan_mix(rows)).collect()
