@@ -104,3 +104,30 @@ def test_data_validity(spark):
     assert status(blocker="x", blocker_category="cost").status == "blocked"
     with pytest.raises(Exception, match="not allowed"):
         status(blocker="x", blocker_category="infeasible")
+
+
+def test_late_messages_are_given_back_as_late(spark, tmp_path):
+    from ripplework.functions.kernels import exponential
+    from ripplework.streaming import live
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    feed, out = tmp_path / "feed", str(tmp_path / "out")
+    feed.mkdir()
+    try:
+        for n, times in enumerate([(0, 1000, 5000), (3000, 6000)]):
+            (feed / f"{n}.jsonl").write_text("".join(message(t) + "\n" for t in times))
+            stream = live.live_excitation(live.capture_stream(spark, str(feed)), exponential(0.5))
+            sink = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+            sink.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    rows = {r.ts_ms - START: r for r in spark.read.parquet(out).collect()}
+    assert rows[3000].late and rows[3000].excitation is None
+    timely = [t for t, r in rows.items() if not r.late]
+    assert sorted(timely) == [0, 1000, 5000, 6000]
+    for t in timely:
+        want = sum(0.5 * 2.718281828459045 ** (-0.5 * (t - u) / 1000.0) for u in timely if u < t)
+        assert rows[t].excitation == pytest.approx(want, abs=1e-9)
+    assert rows[6000].n_seen == 4
