@@ -102,14 +102,25 @@ def page_features(text: str | None, lang: str | None, source: str | None) -> np.
     return np.fromiter(sorted(slots), np.int32, len(slots))
 
 
+_SAMPLE = "bad binary, text_sizes binary, text_slots binary, page_sizes binary, page_slots binary"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a batch: labels and the slots of both views, as large blocks that the driver can give back."""
     words = _Words()
-    schema = pa.schema([("bad", pa.int32()), ("text_slots", pa.binary()), ("page_slots", pa.binary())])
+    schema = pa.schema([(part.split()[0], pa.binary()) for part in _SAMPLE.split(", ")])
     for batch in batches:
         texts, langs, sources = batch.column(1), batch.column(2), batch.column(3)
-        of_text = [text_features(t.as_py(), words).tobytes() for t in texts]
-        of_page = [page_features(t.as_py(), x.as_py(), s.as_py()).tobytes() for t, x, s in zip(texts, langs, sources, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of_text, pa.binary()), pa.array(of_page, pa.binary())], schema=schema)
+        of_text = [text_features(t.as_py(), words) for t in texts]
+        of_page = [page_features(t.as_py(), x.as_py(), s.as_py()) for t, x, s in zip(texts, langs, sources, strict=True)]
+        row = [np.array(batch.column(0).to_pylist(), np.int32)]
+        for view in (of_text, of_page):
+            row += [np.array([len(v) for v in view], np.int64), np.concatenate([np.zeros(0, np.int32), *view])]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], schema=schema)
+
+
+def _unpacked(sizes: bytes, slots: bytes) -> list[np.ndarray]:
+    return np.split(np.frombuffer(slots, np.int32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1]) if sizes else []
 
 
 class Rows:
@@ -234,12 +245,14 @@ def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED, n_un
         return None
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, bad int"))  # at most n_labelled + n_unlabelled rows
     texts = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").join(sample, "doc_id")
-    rows = texts.select("bad", "text", "lang", "source").mapInArrow(_features, "bad int, text_slots binary, page_slots binary").collect()
-    rows.sort(key=lambda r: (zlib.crc32(bytes(r["text_slots"])), bytes(r["page_slots"]), r["bad"]))
-    views = [Rows(repeated([np.frombuffer(r[c], np.int32) for r in rows])) for c in ("text_slots", "page_slots")]
-    bad = np.array([r["bad"] for r in rows])
-    del rows
-    return co_train(views, bad)
+    blocks = texts.select("bad", "text", "lang", "source").mapInArrow(_features, _SAMPLE).collect()
+    bad = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["bad"], np.int32) for r in blocks]])
+    views = [[v for r in blocks for v in _unpacked(r[f"{name}_sizes"], r[f"{name}_slots"])] for name in ("text", "page")]
+    order = sorted(range(len(bad)), key=lambda i: (zlib.crc32(views[0][i].tobytes()), views[1][i].tobytes(), bad[i]))  # whatever the partitions
+    held = [Rows(repeated([view[i] for i in order])) for view in views]
+    bad = bad[order]
+    del blocks, views
+    return co_train(held, bad)
 
 
 class _Scorer:
