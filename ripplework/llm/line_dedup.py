@@ -13,7 +13,8 @@ so a crowd of near copies makes one link per member. Linked lines form a class,
 by document and position stays.
 
 Defined cases: lines without a non-space character are left alone, as is a null text; an empty table gives an
-empty result; lines at the same place of rows with the same id are the same place, and stay or go together;
+empty result; a row is known by its id and a 128-bit hash of its text, so that repeated rows are the same places, whose
+lines stay or go together, while rows with other texts under one id, or under none, are rows of their own;
 a null id comes before all others; columns other than id and text pass through ``deduplicated`` unread.
 """
 
@@ -24,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.llm.components import components
 from ripplework.session import checkpointed
 
-_LINE = "doc_id long, line_no int, key binary"
-_ARROW_LINE = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.binary())])
+_LINE = "doc_id long, row binary, line_no int, key binary"
+_ARROW_LINE = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("line_no", pa.int32()), ("key", pa.binary())])
 _ARROW_CELL = pa.schema([("cell", pa.int64()), ("line", pa.int64())])
 _ARROW_TEXT = pa.schema([("line", pa.int64()), ("key", pa.binary()), ("content", pa.string())])
 _ARROW_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -130,18 +131,24 @@ def _short(key: bytes) -> int:
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, numbers, keys = [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids, rows, numbers, keys = [], [], [], []
+        for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             found = _lines(text.as_py())
             ids += [doc_id] * len(found)
+            rows += [row] * len(found)
             numbers += [n for n, _ in found]
             keys += [_key(line) for _, line in found]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary())], schema=_ARROW_LINE)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary()), pa.array(numbers, pa.int32()), pa.array(keys, pa.binary())], schema=_ARROW_LINE)
+
+
+def _row_key() -> Column:
+    """128 bits that tell apart the texts of one id; with the id, the name of a row."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, key`` of every line of ``docs(doc_id, text)`` that is not blank."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_line_rows, _LINE)
+    """``doc_id, row, line_no, key`` of every line of ``docs(doc_id, text)`` that is not blank."""
+    return docs.select(F.col("doc_id").cast("long"), _row_key(), "text").mapInArrow(_line_rows, _LINE)
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,30 +260,31 @@ def near_links(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, key, first_doc_id, first_line_no, near, removed`` of every line that is not blank.
+    """``doc_id, row, line_no, key, first_doc_id, first_line_no, near, removed`` of every line that is not blank.
 
     ``first_*`` is the first line of the class and names it; ``near`` tells that the class holds different lines.
     """
     lines = checkpointed(line_table(docs))
     joined = components(near_links(docs)).withColumnRenamed("node", "key")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "line_no", "row")
     firsts = lines.groupBy("key").agg(F.min(place).alias("first"))
     rooted = firsts.join(joined, "key", "left").withColumn("near", F.col("root").isNotNull())
     rooted = checkpointed(rooted.select("key", "first", "near", F.coalesce("root", "key").alias("root")))
     named = rooted.filter("near").groupBy("root").agg(F.min("first").alias("of_class"))
     of_key = rooted.join(named, "root", "left").select("key", F.coalesce("of_class", "first").alias("first"), "near")
     return lines.join(of_key, "key").select(
-        "doc_id", "line_no", "key", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "near",
+        "doc_id", "row", "line_no", "key", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"), "near",
         (~place.eqNullSafe(F.col("first"))).alias("removed"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the later lines of every class taken out of ``text``; ``n_chars``, if there, follows."""
-    gone = classes(docs).filter("removed").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone_lines_"))
-    gone = gone.select(F.col("doc_id").alias("gone_doc_"), "gone_lines_")  # at most the lines of one document
+    gone = classes(docs).filter("removed").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone_lines_"))
+    gone = gone.select(F.col("doc_id").alias("gone_doc_"), F.col("row").alias("gone_row_"), "gone_lines_")  # at most the lines of one document
     names = docs.columns
-    held = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc_")), "left").select(*names, "gone_lines_")
+    same_row = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc_")) & (_row_key() == F.col("gone_row_"))
+    held = docs.join(gone, same_row, "left").select(*names, "gone_lines_")
     at, size_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

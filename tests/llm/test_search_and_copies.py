@@ -189,6 +189,15 @@ def test_lines_of_odd_rows(docs, corpus):
     assert all(r["n_chars"] == len(r["text"]) for r in cleaned.collect() if r["text"] is not None)
 
 
+def test_lines_of_rows_with_one_id_or_none(spark):
+    """A repeat in one row takes nothing from another row of the same id, nor from other rows without one."""
+    seen = "a line that the first document has too"
+    uniques = ["first\nno other row has a line like it", "quite another text begins here\nsecond and last"]
+    rows = [(None, seen + "\n" + seen), *[(None, u) for u in uniques], (5, "\n".join([uniques[0].split("\n")[0]] * 2)), (5, uniques[1].upper())]
+    kept = sorted(r["text"] for r in ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted([seen, *uniques, "", uniques[1].upper()])
+
+
 def test_matching_statistics_equal_brute_force():
     rng = random.Random(3)
     for _ in range(150):
