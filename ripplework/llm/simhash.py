@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.llm.components import components
@@ -62,15 +62,17 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a long) for every row of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, **more: Column) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a long) for every row of ``docs(doc_id, text)``; ``more`` longs follow."""
+    schema = pa.schema([*_ARROW_FP, *[(name, pa.int64()) for name in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=_ARROW_FP)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    given = docs.select(F.col("doc_id").cast("long"), "text", *[c.alias(name) for name, c in more.items()])
+    return given.mapInArrow(run, ", ".join(f"{name} long" for name in ("doc_id", "fp", *more)))
 
 
 def cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,22 +174,29 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return laid.mapInArrow(_link_rows(radius), "a long, b long").distinct()
 
 
+def _rooted(marked: DataFrame, radius: int) -> DataFrame:
+    """``fp, first_id, root``: the smallest id of each fingerprint of ``marked(doc_id, fp)`` and its component."""
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    joined = components(near_links(first.select("fp"), radius))
+    return first.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs(doc_id, text)``."""
     marked = checkpointed(fingerprints(docs, shingle_words))
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = components(near_links(first.select("fp"), radius))
-    rooted = first.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(marked, radius)
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = rooted.join(named, "root").select("fp", "component_id")
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` that name their component, one for each; of rows with one id the smallest text stays."""
-    names = near_duplicates(docs, radius, shingle_words).select(F.col("component_id").alias("named_")).distinct()
-    kept = docs.join(names, docs["doc_id"].cast("long").eqNullSafe(names["named_"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*[c for c in docs.columns]))
-    return kept.withColumn("place_", F.row_number().over(order)).filter("place_ = 1").select(*docs.columns)
+    """One row of ``docs`` for each component: the smallest id, null last, and of rows with one id the smallest hash."""
+    key = {"row_a_": F.xxhash64(*docs.columns), "row_b_": F.xxhash64(F.lit(SEED), *docs.columns)}  # 128 bits; equal rows have one key
+    marked = checkpointed(fingerprints(docs, shingle_words, **key))
+    of_fp = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *key)).alias("first"))
+    firsts = _rooted(marked, radius).join(of_fp, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    chosen = firsts.select(*[F.col(f"first.{name}").alias(name + "first_") for name in key])
+    keyed = docs.select("*", *[c.alias(name) for name, c in key.items()])
+    kept = keyed.join(chosen, [keyed[name] == chosen[name + "first_"] for name in key], "left_semi")
+    return kept.dropDuplicates(list(key)).select(*docs.columns)

@@ -111,6 +111,15 @@ def test_one_row_stays_of_each_group(docs, corpus):
     assert len(ids) == len(set(ids)) and sorted(ids, key=repr) == sorted({r["component_id"] for r in sh.near_duplicates(docs).collect()}, key=repr)
 
 
+def test_one_row_stays_of_each_group_whatever_its_ids(spark):
+    """Different texts under one id, or under none, are different groups, and repeated rows are one."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice([f"w{n}{k}" for k in range(90)]) for _ in range(60)) for n in range(7)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (9, texts[3]), (None, texts[4]), (3, texts[4]), (6, texts[5]), (6, texts[5]), (8, None), (None, None)]
+    kept = [tuple(r) for r in sh.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (3, texts[4]), (6, texts[5]), (8, None)], key=repr)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
