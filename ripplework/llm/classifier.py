@@ -7,9 +7,11 @@ labels the unlabelled documents it is sure of and hands them to the other view a
 are then calibrated on labelled documents kept apart, and a logistic combination of the two calibrated
 views scores every document.
 
-Models are fitted on the driver on a bounded sample, ``N_LABELLED`` labelled and ``N_UNLABELLED`` other documents
-chosen by a hash of the id, of which only hashed features (at most ``DIMENSIONS`` each) travel. Scoring
-is a map over all documents and whole texts.
+Models are fitted on the driver on a bounded sample, ``N_LABELLED`` labelled documents chosen by a hash of the id, and
+on the pseudo-labels. Those come from all unlabelled documents: their hashed features are written once, every round
+scores all of them with the weights of both views, and the surest ``HANDED_OVER`` of either kind and view
+(at most ``4 * HANDED_OVER`` documents a round) hand their features to the driver. Documents with equal features
+count once. Scoring is a map over all documents and whole texts.
 
 Defined cases: a document is bad if any of its label rows has ``quality`` 0 or ``toxic`` 1, and unlabelled if all
 are null; null metadata is a value of its own; a null text is empty; without labels of both kinds every
@@ -22,15 +24,18 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplework.session import checkpointed
+
 N_LABELLED = 4000
-N_UNLABELLED = 2000
 DIMENSIONS = 1 << 18
 ROUNDS = 4
 HANDED_OVER = 150  # of either kind, each round and view
@@ -102,39 +107,53 @@ def page_features(text: str | None, lang: str | None, source: str | None) -> np.
     return np.fromiter(sorted(slots), np.int32, len(slots))
 
 
-_SAMPLE = "bad binary, text_sizes binary, text_slots binary, page_sizes binary, page_slots binary"
+_SAMPLE = "bad int, key long, text_slots binary, page_slots binary"
+_ARROW_SAMPLE = pa.schema([("bad", pa.int32()), ("key", pa.int64()), ("text_slots", pa.binary()), ("page_slots", pa.binary())])
+_SURE = "list int, doubt double, key long, text_slots binary, page_slots binary"
+_ARROW_SURE = pa.schema([("list", pa.int32()), ("doubt", pa.float64()), *list(_ARROW_SAMPLE)[1:]])
+
+
+def _packed(slots: np.ndarray) -> bytes:
+    """Rising slots as their steps, which compress well; a step that is too long for 16 bits is cut in several."""
+    steps = np.diff(slots, prepend=-1)
+    whole, rest = np.divmod(steps, 0xFFFF)
+    out = np.full(len(steps) + int(whole.sum()), 0xFFFF, np.uint16)
+    out[np.cumsum(whole + 1) - 1] = rest
+    return out.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    steps = np.frombuffer(packed, np.uint16)
+    return (np.cumsum(steps, dtype=np.int64) - 1)[steps != 0xFFFF].astype(np.int32)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a batch: labels and the slots of both views, as large blocks that the driver can give back."""
+    """Label, slots of both views, and a hash of these slots."""
     words = _Words()
-    schema = pa.schema([(part.split()[0], pa.binary()) for part in _SAMPLE.split(", ")])
     for batch in batches:
         texts, langs, sources = batch.column(1), batch.column(2), batch.column(3)
-        of_text = [text_features(t.as_py(), words) for t in texts]
-        of_page = [page_features(t.as_py(), x.as_py(), s.as_py()) for t, x, s in zip(texts, langs, sources, strict=True)]
-        row = [np.array(batch.column(0).to_pylist(), np.int32)]
-        for view in (of_text, of_page):
-            row += [np.array([len(v) for v in view], np.int64), np.concatenate([np.zeros(0, np.int32), *view])]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], schema=schema)
-
-
-def _unpacked(sizes: bytes, slots: bytes) -> list[np.ndarray]:
-    return np.split(np.frombuffer(slots, np.int32), np.cumsum(np.frombuffer(sizes, np.int64))[:-1]) if sizes else []
+        of_text = [_packed(text_features(t.as_py(), words)) for t in texts]
+        of_page = [_packed(page_features(t.as_py(), x.as_py(), s.as_py())) for t, x, s in zip(texts, langs, sources, strict=True)]
+        keys = np.array([xxhash.xxh3_64_intdigest(p + t) for t, p in zip(of_text, of_page, strict=True)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(of_text, pa.binary()), pa.array(of_page, pa.binary())], schema=_ARROW_SAMPLE)
 
 
 class Rows:
     """Sparse rows of slots."""
 
-    def __init__(self, rows: list[np.ndarray]):
+    def __init__(self, rows: list[np.ndarray], whole: list[int] | None = None):
         self.size = np.array([len(r) for r in rows], np.int64)
         self.slots = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         self.row = np.repeat(np.arange(len(rows), dtype=np.int32), self.size)
-        self.scale = 1 / np.sqrt(np.maximum(1, self.size))
+        self.whole = self.size if whole is None else np.array(whole, np.int64)  # slots before some were left out
+        self.scale = 1 / np.sqrt(np.maximum(1, self.whole))
 
     def take(self, at: np.ndarray) -> Rows:
         starts = np.r_[0, np.cumsum(self.size)]
-        return Rows([self.slots[starts[i] : starts[i + 1]] for i in at])
+        return Rows([self.slots[starts[i] : starts[i + 1]] for i in at], self.whole[at])
+
+    def list(self) -> list[np.ndarray]:
+        return np.split(self.slots, np.cumsum(self.size)[:-1]) if len(self.size) else []
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.slots], len(self.size)) * self.scale
@@ -187,39 +206,111 @@ def calibrate(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta
 
 
-def co_train(views: list[Rows], bad: np.ndarray, rounds: int = ROUNDS) -> dict | None:
-    """Model of two views of the same rows; ``bad`` is 1, 0, or -1 for unlabelled. None without both kinds."""
-    known, pool = np.flatnonzero(bad >= 0), np.flatnonzero(bad < 0)
+class _Given:
+    """Unlabelled rows that are at hand."""
+
+    def __init__(self, views: list[Rows]):
+        self.views, self.left = views, np.arange(len(views[0].size))
+
+    def surest(self, fitted: list) -> list[tuple[list[list[np.ndarray]], np.ndarray]]:
+        """By view: the rows that it is sure of, as slots of every view, and their labels. No row is given twice."""
+        chosen = []
+        for v, (weights, b, line) in enumerate(fitted):
+            p = _sigmoid(line[0] + line[1] * (self.views[v].take(self.left).dot(weights) + b))
+            order = np.argsort(-p, kind="stable")
+            sure_bad = order[p[order] >= SURE][:HANDED_OVER]
+            sure_good = order[::-1][p[order[::-1]] <= 1 - SURE][:HANDED_OVER]
+            chosen.append((self.left[np.r_[sure_bad, sure_good]], np.r_[np.ones(len(sure_bad)), np.zeros(len(sure_good))]))
+        self.left = np.setdiff1d(self.left, np.concatenate([at for at, _ in chosen]))
+        return [([view.take(at).list() for view in self.views], y) for at, y in chosen]
+
+
+class _Table:
+    """All unlabelled rows of a table of features."""
+
+    def __init__(self, features: DataFrame):
+        self.features, self.used = features, np.zeros(0, np.int64)
+
+    def surest(self, fitted: list) -> list[tuple[list[list[np.ndarray]], np.ndarray]]:
+        spark = self.features.sparkSession
+        shared = spark.sparkContext.broadcast(([(w.astype(np.float32), b, line) for w, b, line in fitted], set(self.used.tolist())))
+        found = checkpointed(self.features.mapInArrow(lambda batches: _sure_rows(batches, *shared.value), _SURE))
+        tops = []
+        for n in range(2 * len(fitted)):
+            once = found.filter(F.col("list") == n).groupBy("key").agg(F.min("doubt").alias("doubt"))
+            tops.append(once.orderBy("doubt", "key").limit(HANDED_OVER).withColumn("list", F.lit(n)))
+        wanted = F.broadcast(reduce(DataFrame.unionAll, tops).select("list", "key"))  # at most HANDED_OVER of each list
+        rows = found.join(wanted, ["list", "key"]).dropDuplicates(["list", "key"]).select("list", "doubt", "key", "text_slots", "page_slots").collect()
+        rows.sort(key=lambda r: (r["list"], r["doubt"], r["key"]))
+        shared.destroy()
+        self.used = np.union1d(self.used, np.array([r["key"] for r in rows], np.int64))
+        out = []
+        for v in range(len(fitted)):
+            mine = [r for r in rows if r["list"] // 2 == v]
+            out.append(([[_unpacked(r[f"{name}_slots"]) for r in mine] for name in ("text", "page")], np.array([1.0 - r["list"] % 2 for r in mine])))
+        return out
+
+
+def _sure_rows(batches: Iterator[pa.RecordBatch], fitted: list, used: set[int]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task that each view is surest of: list 2 v of bad ones, 2 v + 1 of good ones, each key once."""
+    best: list[dict[int, tuple]] = [{} for _ in range(2 * len(fitted))]
+    worst = [1 - SURE] * len(best)
+
+    def cut(n: int) -> None:
+        kept = sorted(best[n].items(), key=lambda x: (x[1][0], x[0]))[:HANDED_OVER]
+        best[n] = dict(kept)
+        if len(kept) == HANDED_OVER:
+            worst[n] = kept[-1][1][0]
+
+    for batch in batches:
+        for key, *views in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if key in used:
+                continue
+            for v, (weights, b, line) in enumerate(fitted):
+                slots = _unpacked(views[v])
+                p = float(_sigmoid(line[0] + line[1] * (float(weights[slots].sum()) / math.sqrt(max(1, len(slots))) + b)))
+                for n, doubt in ((2 * v, 1 - p), (2 * v + 1, p)):
+                    if doubt <= worst[n]:
+                        best[n][key] = (doubt, *views)
+                        if len(best[n]) >= 2 * HANDED_OVER:
+                            cut(n)
+    for n in range(len(best)):
+        cut(n)
+        rows = [(n, doubt, key, *views) for key, (doubt, *views) in best[n].items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _ARROW_SURE.types, strict=True)], schema=_ARROW_SURE)
+
+
+def co_train(views: list[Rows], bad: np.ndarray, rounds: int = ROUNDS, pool: _Given | _Table | None = None) -> dict | None:
+    """Model of two views of the same rows; ``bad`` is 1, 0, or -1 for unlabelled. None without both kinds.
+
+    Pseudo-labels come from ``pool``, or from the unlabelled rows.
+    """
+    known = np.flatnonzero(bad >= 0)
     apart = known[np.arange(len(known)) % 4 == 3]
     given = known[np.arange(len(known)) % 4 != 3]
     if any(len(set(bad[x].tolist())) < 2 for x in (apart, given)):
         return None
-    taught = [(given, bad[given].astype(float), np.ones(len(given))) for _ in views]
+    if pool is None:
+        pool = _Given([view.take(np.flatnonzero(bad < 0)) for view in views])
+    held_apart = [view.take(apart) for view in views]
+    taught = [(view.take(given).list(), bad[given].astype(float), np.ones(len(given))) for view in views]
 
     def learn(v: int, steps: int = ROUND_STEPS):
-        at, y, weight = taught[v]
-        weights, b = fit_view(views[v].take(at), y, weight, steps)
-        return weights, b, calibrate(views[v].take(apart).dot(weights) + b, bad[apart])
+        rows, y, weight = taught[v]
+        weights, b = fit_view(Rows(repeated(rows), [len(r) for r in rows]), y, weight, steps)
+        return weights, b, calibrate(held_apart[v].dot(weights) + b, bad[apart])
 
     for _ in range(rounds):
-        fitted = [learn(v) for v in range(len(views))]
-        handed: list[tuple[np.ndarray, np.ndarray]] = []
-        for v, (weights, b, line) in enumerate(fitted):
-            p = _sigmoid(line[0] + line[1] * (views[v].take(pool).dot(weights) + b))
-            order = np.argsort(-p, kind="stable")
-            sure_bad = order[p[order] >= SURE][:HANDED_OVER]
-            sure_good = order[::-1][p[order[::-1]] <= 1 - SURE][:HANDED_OVER]
-            handed.append((np.r_[sure_bad, sure_good], np.r_[np.ones(len(sure_bad)), np.zeros(len(sure_good))]))
+        handed = pool.surest([learn(v) for v in range(len(views))])
         for v in range(len(views)):
-            at, y = handed[1 - v]
+            rows, y = handed[1 - v]
             had = taught[v]
-            taught[v] = (np.r_[had[0], pool[at]], np.r_[had[1], y], np.r_[had[2], np.full(len(at), PSEUDO_WEIGHT)])
-        used = np.unique(np.concatenate([at for at, _ in handed]))
-        pool = np.delete(pool, used)
-        if not len(used):
+            taught[v] = ([*had[0], *rows[v]], np.r_[had[1], y], np.r_[had[2], np.full(len(y), PSEUDO_WEIGHT)])
+        if not any(len(y) for _, y in handed):
             break
     fitted = [learn(v, LAST_STEPS) for v in range(len(views))]
-    logits = [line[0] + line[1] * (views[v].take(apart).dot(w) + b) for v, (w, b, line) in enumerate(fitted)]
+    logits = [line[0] + line[1] * (held_apart[v].dot(w) + b) for v, (w, b, line) in enumerate(fitted)]
     return {"views": fitted, "mix": calibrate(np.column_stack(logits), bad[apart])}
 
 
@@ -231,28 +322,27 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(one, "doc_id", "left").select("doc_id", F.coalesce("bad", F.lit(-1)).alias("bad"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED, n_unlabelled: int = N_UNLABELLED) -> dict | None:
-    """The model, from a bounded sample of ``docs(doc_id, text, lang, source)`` and ``labels(doc_id, quality, toxic)``."""
+def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED) -> dict | None:
+    """The model, from a bounded sample of the labelled and from all unlabelled ``docs(doc_id, text, lang, source)``.
+
+    ``labels`` has ``doc_id, quality, toxic``; rows that share a labelled id give one row to the sample.
+    """
     spark = docs.sparkSession
-    marked = labelled(docs.filter(F.col("doc_id").isNotNull()), labels).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [
-        (r["doc_id"], r["bad"])
-        for part, n in ((marked.filter("bad >= 0"), n_labelled), (marked.filter("bad < 0"), n_unlabelled))
-        for r in part.orderBy(*order).limit(n).collect()
-    ]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").filter(F.col("doc_id").isNotNull())
+    marked = labelled(docs, labels).distinct()
+    chosen = marked.filter("bad >= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_labelled).collect()
     if not chosen:
         return None
-    sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, bad int"))  # at most n_labelled + n_unlabelled rows
-    texts = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").join(sample, "doc_id")
-    blocks = texts.select("bad", "text", "lang", "source").mapInArrow(_features, _SAMPLE).collect()
-    bad = np.concatenate([np.zeros(0, np.int32), *[np.frombuffer(r["bad"], np.int32) for r in blocks]])
-    views = [[v for r in blocks for v in _unpacked(r[f"{name}_sizes"], r[f"{name}_slots"])] for name in ("text", "page")]
-    order = sorted(range(len(bad)), key=lambda i: (zlib.crc32(views[0][i].tobytes()), views[1][i].tobytes(), bad[i]))  # whatever the partitions
-    held = [Rows(repeated([view[i] for i in order])) for view in views]
-    bad = bad[order]
-    del blocks, views
-    return co_train(held, bad)
+    sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, bad int"))  # at most n_labelled rows
+    texts = docs.join(sample, "doc_id").groupBy("doc_id", "bad").agg(F.min(F.struct("text", "lang", "source")).alias("one"))
+    rows = texts.select("bad", "one.text", "one.lang", "one.source").mapInArrow(_features, _SAMPLE).collect()
+    rows.sort(key=lambda r: (r["key"], r["bad"]))  # whatever the partitions
+    bad = np.array([r["bad"] for r in rows], np.int32)
+    views = [Rows([_unpacked(r[f"{name}_slots"]) for r in rows]) for name in ("text", "page")]
+    del rows
+    known = marked.filter("bad >= 0").select("doc_id")
+    unlabelled = docs.join(known, "doc_id", "left_anti").select(F.lit(-1).alias("bad"), "text", "lang", "source")
+    return co_train(views, bad, pool=_Table(checkpointed(unlabelled.mapInArrow(_features, _SAMPLE))))
 
 
 class _Scorer:

@@ -233,6 +233,28 @@ def test_views_teach_each_other():
     assert right(model, 1) > right(alone, 1) and right(model, 0) > 0.95
 
 
+def test_slots_survive_packing():
+    for slots in ([], [0], [5, 6, 70_000, 262_143], [65_534, 65_535, 131_070], [0, 65_535, 131_071, 196_606], list(range(0, 262_144, 997))):
+        assert cl._unpacked(cl._packed(np.array(slots, np.int32))).tolist() == slots
+
+
+def test_every_unlabelled_document_may_be_handed_over(spark):
+    """A rare kind of bad page, beyond any small pool, is the surest one and is found by its page."""
+    rng = random.Random(5)
+    rows = [(i, f"text {rng.random()} {rng.random()}", "en", "bad" if i % 2 else "good") for i in range(400)]
+    rows += [(i, f"common {rng.random()} words {i}", "en", "unseen") for i in range(1000, 6000)]
+    rows += [(i, f"rareword {word}", "en", "bad") for i, word in enumerate(["once", "twice", "thrice"], 7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    table = cl._Table(docs.filter("doc_id >= 1000").selectExpr("-1 as bad", "text", "lang", "source").mapInArrow(cl._features, cl._SAMPLE))
+    weights = [np.zeros(cl.DIMENSIONS), np.zeros(cl.DIMENSIONS)]
+    weights[1][cl._slot("source bad")] = 100.0
+    fitted = [(w, 0.0, np.array([0.0, 1.0])) for w in weights]
+    handed = table.surest(fitted)
+    assert [len(y) for _, y in handed] == [0, 3] and handed[1][1].tolist() == [1.0] * 3
+    assert all(cl._slot("rareword") in slots for slots in handed[1][0][0])
+    assert [len(y) for _, y in table.surest(fitted)] == [0, 0]
+
+
 def test_classifier_of_odd_rows(docs, corpus, labels, no_docs):
     for model in (cl.learn(docs, labels), cl.learn(docs, labels.filter("quality = 1 and toxic = 0")), cl.learn(no_docs, labels), cl.learn(docs, labels.limit(0))):
         rows = cl.score(docs, model).collect()
