@@ -9,6 +9,7 @@ from ripplework.llm import classifier as cl
 from ripplework.llm import language_id as li
 from ripplework.llm import license_scan as ls
 from ripplework.llm import line_dedup as ld
+from ripplework.llm import merkle as mk
 from ripplework.llm import mixing as mx
 from ripplework.llm import packing as pk
 from ripplework.llm import quality_rules as qr
@@ -155,3 +156,63 @@ def op8(spark, sf_dir):
 @query("op1_suffix_dedup")
 def op1(spark, sf_dir):
     return sd.removed_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _merkle_sql(levels: int) -> str:
+    """The tree level by level: nodes of a group until one is left, then the groups; ``levels`` is more than any table here needs."""
+
+    def climb(prefix: str, first: str) -> list[str]:
+        parts, now = [], first
+        for n in range(levels):
+            up, total = f"{prefix}{n + 1}", f"(SELECT g, count(*) AS n FROM {now} GROUP BY 1)"
+            parts.append(
+                f"{up} AS MATERIALIZED (SELECT t.g, i // 8 AS i, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h"
+                f" FROM {now} t JOIN {total} c ON t.g = c.g GROUP BY t.g, i // 8, n)"
+            )
+            parts.append(
+                f"{up}s AS MATERIALIZED (SELECT a.g, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,"
+                f" coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r, n > 1 AS live"
+                f" FROM {now} a JOIN {now} b ON a.g = b.g AND a.i // 8 = b.i // 8 JOIN {total} c ON a.g = c.g GROUP BY a.g, a.i, n)"
+            )
+            now = up
+        return parts
+
+    ways = []
+    for prefix, key, place in (("t", "g", "i"), ("r", "", "gi")):
+        for n in range(levels):
+            ways.append((f"{prefix}{n + 1}s", f"w.{key}" if key else "''", f"w.{place} // {8**n}"))
+    folds, last = [], "w0"
+    for n, (side, key, place) in enumerate(ways):
+        now = f"w{n + 1}"
+        folds.append(
+            f"{now} AS (SELECT w.* EXCLUDE (proof, fold), CASE WHEN live THEN proof || l || r ELSE proof END AS proof,"
+            f" CASE WHEN live THEN sha256(l || fold || r) ELSE fold END AS fold FROM {last} w JOIN {side} s ON s.g = {key} AND s.i = {place})"
+        )
+        last = now
+    framed = [f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in mk.COLUMNS]
+    low = [f.replace(" text", f" translate(text, '{mk.UPPER}', '{mk.LOWER}')") if c == "text" else f for c, f in zip(mk.COLUMNS, framed, strict=True)]
+    crc = (
+        "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+        " lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda z: CAST(-1 AS BIGINT)))))),"
+        " lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
+    )
+    return f"""
+WITH d AS MATERIALIZED (SELECT coalesce('=' || lang, '') AS g, doc_id, sha256({" || ".join(framed)}) AS leaf,
+  sha256({" || ".join(low)}) AS low, {crc} % 3 = 0 AS hit FROM documents),
+t0 AS MATERIALIZED (SELECT g, doc_id, leaf AS h, CASE WHEN hit THEN low ELSE leaf END AS used,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+{", ".join(climb("t", "t0"))},
+r0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS gg FROM t{levels}),
+{", ".join(climb("r", "r0"))},
+w0 AS (SELECT t.doc_id, t.g, t.i, r0.i AS gi, t.h AS leaf, r0.h AS subroot, (SELECT h FROM r{levels}) AS root, '' AS proof, t.used AS fold
+  FROM t0 t JOIN r0 ON r0.gg = t.g),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM {last}
+"""
+
+
+@query("op12_merkle_manifest", _merkle_sql(7))
+def op12(spark, sf_dir):
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = mk.manifest(table(spark, sf_dir, "documents"), hit)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
