@@ -55,11 +55,12 @@ def hit(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 0
 
 
-HIT = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+def spark_hit():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 0
 
 
 def test_manifest_equals_a_plain_tree(spark, docs, corpus):
-    got = [tuple(r) for r in mk.manifest(docs, HIT).collect()]
+    got = [tuple(r) for r in mk.manifest(docs, spark_hit()).collect()]
     assert Counter(got) == Counter(plain_manifest(corpus, hit))
     assert {r[-1] for r in got} == {True, False}
 
@@ -70,12 +71,12 @@ def test_manifest_of_repeated_missing_and_far_ids(spark):
     rows = [(i, rng.choice(["A", "b", "Ç"]), "x", None, 1) for i in ids for _ in range(rng.choice([1, 1, 2]))]
     rows += [(5, None, None, None, None), (6, "One", "single", "s", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
-    got = [tuple(r) for r in mk.manifest(df, HIT).collect()]
+    got = [tuple(r) for r in mk.manifest(df, spark_hit()).collect()]
     assert Counter(got) == Counter(plain_manifest(rows, hit))
 
 
 def test_one_row_and_no_rows(spark, no_docs):
-    assert mk.manifest(no_docs, HIT).count() == 0
+    assert mk.manifest(no_docs, spark_hit()).count() == 0
     one = spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     [row] = mk.manifest(one).collect()
     assert row["leaf"] == row["root"] == row["folded_root"] and row["verified"] and row["proof_sha256"] == h("")
