@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplework.llm import classifier as cl
 from ripplework.llm import language_id as li
+from ripplework.llm import lexicon_bpe as lb
 from ripplework.llm import license_scan as ls
 from ripplework.llm import line_dedup as ld
 from ripplework.llm import merkle as mk
@@ -216,3 +217,11 @@ def op12(spark, sf_dir):
     hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     found = mk.manifest(table(spark, sf_dir, "documents"), hit)
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_bpe_codec")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    lexicon = lb.build_lexicon(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    found = lb.decode(lb.encode(docs, lexicon), lexicon)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
