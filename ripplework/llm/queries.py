@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ripplework.llm import classifier as cl
+from ripplework.llm import cover_codes as cc
 from ripplework.llm import language_id as li
 from ripplework.llm import lexicon_bpe as lb
 from ripplework.llm import license_scan as ls
@@ -225,3 +226,37 @@ def op13(spark, sf_dir):
     lexicon = lb.build_lexicon(docs, public_tokenizers.path("byte_bpe_50k.json"))
     found = lb.decode(lb.encode(docs, lexicon), lexicon)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """Lloyd's rounds one after another over (vector, part, position) rows."""
+    parts = []
+    for n in range(rounds + 1):
+        parts.append(
+            f"d{n} AS MATERIALIZED (SELECT r, part, min(d * 16 + entry) AS m FROM (SELECT r, x.part, c.entry, sum((x.x - c.x) * (x.x - c.x)) AS d"
+            f" FROM x JOIN c{n} c ON x.part = c.part AND x.p = c.p GROUP BY r, x.part, c.entry) GROUP BY r, part)"
+        )
+        if n < rounds:
+            parts.append(
+                f"c{n + 1} AS MATERIALIZED (SELECT part, entry, p, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN (SELECT part, m % 16 AS entry, p,"
+                f" CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS x"
+                f" FROM x JOIN d{n} USING (r, part) GROUP BY ALL) m USING (part, entry, p))"
+            )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS r, vec_id, label, e FROM (SELECT vec_id, label,
+  list_transform(embedding, lambda x: CAST(floor({cc.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+x AS MATERIALIZED (SELECT r, (i - 1) // (len(e) // {cc.PARTS}) AS part, (i - 1) % (len(e) // {cc.PARTS}) AS p, e[i] AS x
+  FROM (SELECT r, e, unnest(range(1, len(e) + 1)) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, p, x FROM x WHERE r <= {cc.ENTRIES}),
+{", ".join(parts)},
+f AS (SELECT r, string_agg(printf('%02x', CAST(m % 16 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM d{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, p)) FROM c{rounds}) AS codebooks_sha256 FROM v JOIN f USING (r)
+"""
+
+
+@query("op11_vector_codes", _codes_sql(cc.ROUNDS))
+def op11(spark, sf_dir):
+    found, codebooks = cc.compress(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(cc.codebooks_digest(codebooks)).alias("codebooks_sha256"))
