@@ -34,15 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ripplework.session import checkpointed
+
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 64
 BLOCK_WORDS = 400_000
 LONG_TEXT = 1_000_000
 COUNTED_WORDS = 500_000
-MERGED_WORDS = 200_000
+#: classes of counts a factor of two, for choosing the most frequent words without ordering all
+COUNT_CLASSES = 16
 SHORT_WORD = 48
 #: fixed values: the pre-token pattern of byte-level vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_NO_RANK = 2**31 - 1
 _STAND_IN = "\ue000"  # neither letter, number nor space
 
 
@@ -135,6 +139,15 @@ class Vocabulary:
         self.merges = Merges(self.byte_ids, self.pairs)
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all code points are below 256, where all Unicode versions agree."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Splitter:
     """Whole texts to words; strings of added tokens are words of their own."""
 
@@ -146,7 +159,7 @@ class Splitter:
         self.other = regex.compile("[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in _ranges(others)) + "]") if others else None
 
     def _plain(self, text: str) -> Iterator[str]:
-        if self.other is not None and not text.isascii() and self.other.search(text):
+        if self.other is not None and not _is_latin(text) and self.other.search(text):
             spans = (m.span() for m in self.find.finditer(self.other.sub(_STAND_IN, text)))
             return (text[a:b] for a, b in spans)
         return iter(self.find.findall(text)) if len(text) < LONG_TEXT else (m[0] for m in self.find.finditer(text))
@@ -226,7 +239,9 @@ def compile_lexicon(words: Sequence[str], vocabulary: Vocabulary, path: str) ->
     image["id_offsets"], image["ids"] = _ragged([vocabulary.merges.ids(w) for w in plain], np.uint32)
     image["token_offsets"], image["token_bytes"] = _ragged(vocabulary.tokens, np.uint8)
     image["byte_ids"] = np.array(vocabulary.byte_ids, np.uint32)
-    image["pairs"] = np.array([(a, b, rank, made) for (a, b), (rank, made) in vocabulary.pairs.items()], np.uint32).reshape(-1, 4)
+    pairs = np.array(sorted((a << 32 | b, rank, made) for (a, b), (rank, made) in vocabulary.pairs.items()), np.int64).reshape(-1, 3)
+    image["pair_keys"], image["pair_ranks"] = np.ascontiguousarray(pairs[:, 0]), pairs[:, 1].astype(np.int32)
+    image["made"] = pairs[np.argsort(pairs[:, 1]), 2].astype(np.uint32)  # by rank
     head = {"special": vocabulary.special, "others": vocabulary.others, "longest": max(map(len, plain), default=0), "arrays": {}}
     at = 0
     for name, array in image.items():
@@ -255,25 +270,80 @@ class Lexicon:
             n = int(np.prod(shape)) * np.dtype(kind).itemsize
             self.arrays[name] = mapped[start + at : start + at + n].view(kind).reshape(shape)
         self.special, self.longest = head["special"], head["longest"]
+        self.special_bytes = {s.encode(): i for s, i in self.special.items()}
         self.splitter = Splitter(list(self.special), head["others"])
         self.token_offsets, self.token_bytes = self.arrays["token_offsets"], self.arrays["token_bytes"]
         self._merges: Merges | None = None
-        self._merged: dict[str, list[int]] = {}
 
-    def _unseen(self, word: str) -> list[int]:
-        if (found := self._merged.get(word)) is not None:
-            return found
-        if word in self.special:
-            return [self.special[word]]
+    def _one(self, word: bytes) -> list[int]:
         if self._merges is None:
-            pairs = {(a, b): (rank, made) for a, b, rank, made in self.arrays["pairs"].tolist()}
+            keys, ranks, made = (self.arrays[x].tolist() for x in ("pair_keys", "pair_ranks", "made"))
+            pairs = {(k >> 32, k & 0xFFFFFFFF): (r, made[r]) for k, r in zip(keys, ranks, strict=True)}
             self._merges = Merges(self.arrays["byte_ids"].tolist(), pairs)
-        if len(self._merged) >= MERGED_WORDS:
-            self._merged.clear()
-        ids = self._merges.ids(word.encode())
-        if len(ids) <= LEXICON_BYTES:
-            self._merged[word] = ids
-        return ids
+        return self._merges.ids(word)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = self.arrays["pair_keys"]
+        if not len(keys):
+            return np.full(len(left), _NO_RANK)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, self.arrays["pair_ranks"][at], _NO_RANK)
+
+    def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of words by merges alone: in each step every word merges its pair of the lowest rank, the first of them."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids = self.arrays["byte_ids"][np.frombuffer(b"".join(words), np.uint8)].astype(np.int64)
+        word = np.repeat(np.arange(len(words)), size)
+        inner = np.r_[word[1:] == word[:-1], [False] * min(1, len(word))]  # a symbol with another one of its word after it
+        rank = np.full(len(ids), _NO_RANK)
+        pair = np.flatnonzero(inner)
+        rank[pair] = self._ranks(ids[pair], ids[pair + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            length = np.diff(np.r_[first, len(ids)])
+            least = np.minimum.reduceat(rank, first)
+            going = np.repeat(least < _NO_RANK, length)
+            if not going.all():
+                done.append((word[~going], ids[~going]))
+                ids, word, inner, rank, least, length = ids[going], word[going], inner[going], rank[going], least[least < _NO_RANK], length[least < _NO_RANK]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, length))
+            at = at[np.r_[True, word[at[1:]] != word[at[:-1]]]]
+            ids[at] = self.arrays["made"][rank[at]]
+            inner[at] = inner[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at -= np.arange(len(at))  # one symbol goes before each of the later ones
+            ids, word, inner, rank = ids[keep], word[keep], inner[keep], rank[keep]
+            rank[at] = _NO_RANK
+            before = at[at > 0] - 1
+            again = np.r_[at, before]
+            again = again[inner[again]]
+            rank[again] = self._ranks(ids[again], ids[again + 1])
+        if not done:
+            return np.zeros(len(words) + 1, np.int64), np.zeros(0, np.uint32)
+        word, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        by = np.argsort(word, kind="stable")
+        return np.r_[0, np.cumsum(np.bincount(word, minlength=len(words)))], ids[by].astype(np.uint32)
+
+    def _unseen(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of words that the automaton doesn't know; few of them are long or added tokens."""
+        odd = [n for n, w in enumerate(words) if len(w) > LEXICON_BYTES or w in self.special_bytes]
+        if not odd:
+            return self.merged(words)
+        alone = {n: [self.special_bytes[words[n]]] if words[n] in self.special_bytes else self._one(words[n]) for n in odd}
+        offsets, ids = self.merged([b"" if n in alone else w for n, w in enumerate(words)])
+        size = np.diff(offsets)
+        size[odd] = [len(alone[n]) for n in odd]
+        where = np.repeat(np.arange(len(words)), size)
+        out = np.zeros(len(where), np.uint32)
+        is_odd = np.isin(where, odd)
+        out[~is_odd] = ids
+        out[is_odd] = [x for n in odd for x in alone[n]]
+        return np.r_[0, np.cumsum(size)], out
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the table of ids, -1 if it is unknown."""
@@ -306,7 +376,7 @@ class Lexicon:
         different, codes = list(number), np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         place = self.places([w.encode() for w in different])
         unseen = np.flatnonzero(place < 0)
-        own_offsets, own = _ragged([self._unseen(different[i]) for i in unseen], np.uint32)
+        own_offsets, own = self._unseen([different[i].encode() for i in unseen])
         id_offsets = self.arrays["id_offsets"]
         known = np.where(place < 0, 0, place)
         first = np.where(place < 0, 0, id_offsets[known])
@@ -394,12 +464,25 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, words: int) -> DataFrame:
+    """The words of ``counts(word, n)`` in the highest classes of ``n`` that hold at most ``words`` together."""
+    step = F.floor(F.log2("n") * COUNT_CLASSES)
+    classes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()  # 64 * COUNT_CLASSES rows at most
+    lowest, total = None, 0
+    for row in sorted(classes, key=lambda r: -r["step"]):
+        total += row["words"]
+        if total > words:
+            break
+        lowest = row["step"]
+    return counts.filter(F.lit(False) if lowest is None else step >= lowest)
+
+
 def build_lexicon(docs: DataFrame, tokenizer_path: str, words: int = LEXICON_WORDS) -> str:
     """Compile the ``words`` most frequent words of ``docs`` and give every executor the file; its name."""
     spark: SparkSession = docs.sparkSession
     vocabulary = Vocabulary(tokenizer_path)
-    top = word_counts(docs, vocabulary).filter(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(words)
-    frequent = [r["word"] for r in top.select("word").collect()]  # at most ``words`` strings of ``LEXICON_BYTES``
+    counts = checkpointed(word_counts(docs, vocabulary).filter((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)))
+    frequent = [r["word"] for r in most_frequent(counts, words).select("word").collect()]  # at most ``words`` strings of ``LEXICON_BYTES``
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = Path(tempfile.mkdtemp(prefix="ripplework-lexicon-")) / name
     compile_lexicon(frequent, vocabulary, str(path))

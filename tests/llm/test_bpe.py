@@ -95,10 +95,12 @@ def test_decoding_of_broken_ids(vocabulary, tokenizer, tmp_path):
         assert lexicon.decode(np.array(ids, "<u4").tobytes()) == tokenizer.decode(ids, skip_special_tokens=False)
 
 
-def test_merges_with_and_without_a_heap(vocabulary, monkeypatch):
+def test_merges_one_by_one_with_a_heap_and_side_by_side(vocabulary, monkeypatch, tmp_path):
     rng = random.Random(9)
     words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(2, 40))).encode() for _ in range(500)]
     short = [vocabulary.merges.ids(w) for w in words]
+    offsets, ids = lexicon_of([], vocabulary, tmp_path).merged([*words, b"", b"x"])
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [*short, [], vocabulary.merges.ids(b"x")]
     monkeypatch.setattr(lb, "SHORT_WORD", 0)
     assert [vocabulary.merges.ids(w) for w in words] == short
 
@@ -111,6 +113,8 @@ def digests(tokenizer, doc_id, text):
 
 def test_documents_in_spark(spark, docs, corpus, no_docs, tokenizer, vocabulary):
     assert {r["word"]: r["n"] for r in lb.word_counts(docs, vocabulary).collect()}["word"] == 1
+    counts = spark.createDataFrame([("a", 90), ("b", 90), ("c", 50), ("d", 3)], "word string, n long")
+    assert [sorted(r["word"] for r in lb.most_frequent(counts, n).collect()) for n in (0, 1, 2, 3, 9)] == [[], [], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
     name = lb.build_lexicon(docs, PATH, 300)
     rows = lb.decode(lb.encode(docs, name), name).collect()
     got = Counter((r["doc_id"], r["n_tokens"], hashlib.sha256(r["ids"]).hexdigest(), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in rows)
