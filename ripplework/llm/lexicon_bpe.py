@@ -21,7 +21,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
 from itertools import islice
 from pathlib import Path
@@ -38,9 +38,10 @@ from ripplework.session import checkpointed
 
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 64
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 250_000
+BATCH_BYTES = 8_000_000
 LONG_TEXT = 1_000_000
-COUNTED_WORDS = 500_000
+COUNTED_WORDS = 250_000
 #: classes of counts a factor of two, for choosing the most frequent words without ordering all
 COUNT_CLASSES = 16
 SHORT_WORD = 48
@@ -158,13 +159,14 @@ class Splitter:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if special else None
         self.other = regex.compile("[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in _ranges(others)) + "]") if others else None
 
-    def _plain(self, text: str) -> Iterator[str]:
+    def _plain(self, text: str) -> list[str] | Iterator[str]:
         if self.other is not None and not _is_latin(text) and self.other.search(text):
             spans = (m.span() for m in self.find.finditer(self.other.sub(_STAND_IN, text)))
             return (text[a:b] for a, b in spans)
-        return iter(self.find.findall(text)) if len(text) < LONG_TEXT else (m[0] for m in self.find.finditer(text))
+        return self.find.findall(text) if len(text) < LONG_TEXT else (m[0] for m in self.find.finditer(text))
 
-    def words(self, text: str) -> Iterator[str]:
+    def words(self, text: str) -> list[str] | Iterator[str]:
+        """The words of a text; one after another if it is long."""
         if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
         return (w for part in self.cut.split(text) if part for w in ([part] if part in self.special else self._plain(part)))
@@ -373,10 +375,10 @@ class Lexicon:
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``ends, ids``: the ids of all words one after another, and where each word's ids end."""
         number = {w: n for n, w in enumerate(dict.fromkeys(words))}
-        different, codes = list(number), np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        place = self.places([w.encode() for w in different])
+        different, codes = [w.encode() for w in number], np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        place = self.places(different)
         unseen = np.flatnonzero(place < 0)
-        own_offsets, own = self._unseen([different[i].encode() for i in unseen])
+        own_offsets, own = self._unseen([different[i] for i in unseen.tolist()])
         id_offsets = self.arrays["id_offsets"]
         known = np.where(place < 0, 0, place)
         first = np.where(place < 0, 0, id_offsets[known])
@@ -387,7 +389,7 @@ class Lexicon:
         pool = np.concatenate([self.arrays["ids"], own])
         return ends, pool[np.repeat(first[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def encode_texts(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_texts(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The little-endian ids of every text, in order."""
         held: list[str] = []
         parts: list[tuple[int, bool]] = []  # words of a text in the block, and whether it ends there
@@ -408,6 +410,12 @@ class Lexicon:
 
         for text in texts:
             words = self.splitter.words(text or "")
+            if isinstance(words, list):
+                held += words
+                parts.append((len(words), True))
+                if len(held) >= BLOCK_WORDS:
+                    yield from flush()
+                continue
             while True:
                 size = BLOCK_WORDS - len(held)
                 some = list(islice(words, size))
@@ -440,6 +448,18 @@ def _opened(name: str) -> Lexicon:
     return _OPENED[name]
 
 
+def _stretches(values: Iterable) -> Iterator[tuple[int, list]]:
+    """Values in lists of about ``BATCH_BYTES``, each with the number of those before it."""
+    first, held, size = 0, [], 0
+    for value in values:
+        held.append(value)
+        size += len(value)
+        if size >= BATCH_BYTES:
+            yield first, held
+            first, held, size = first + len(held), [], 0
+    yield first, held
+
+
 def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``word, n`` over all texts of ``docs(text)``."""
     special, others = list(vocabulary.special), vocabulary.others
@@ -448,15 +468,15 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         splitter, counts = Splitter(special, others), Counter()
 
         def emit() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            words = [w for w in counts if len(w) <= LEXICON_BYTES]
+            made = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
             counts.clear()
             return made
 
         for batch in batches:
             for text in batch.column(0):
                 words = splitter.words(text.as_py() or "")
-                while some := list(islice(words, BLOCK_WORDS)):
-                    counts.update(w for w in some if len(w) <= LEXICON_BYTES)
+                counts.update(words if isinstance(words, list) else (w for w in words if len(w) <= LEXICON_BYTES))
                 if len(counts) > COUNTED_WORDS:
                     yield emit()
         yield emit()
@@ -497,9 +517,9 @@ def encode(docs: DataFrame, lexicon: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _opened(lexicon)
         for batch in batches:
-            ids = list(known.encode_texts(batch.column(1).to_pylist()))
-            size = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(ids, pa.binary())], schema=kind)
+            for first, ids in _stretches(known.encode_texts(x.as_py() for x in batch.column(1))):
+                size = pa.array([len(x) // 4 for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), size, pa.array(ids, pa.binary())], schema=kind)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
@@ -511,7 +531,7 @@ def decode(encoded: DataFrame, lexicon: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _opened(lexicon)
         for batch in batches:
-            texts = pa.array([known.decode(x.as_py() or b"") for x in batch.column(2)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], schema=kind)
+            for first, texts in _stretches(known.decode(x.as_py() or b"") for x in batch.column(2)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(texts)).columns, pa.array(texts, pa.string())], schema=kind)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

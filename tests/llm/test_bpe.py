@@ -111,10 +111,11 @@ def digests(tokenizer, doc_id, text):
     return doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
-def test_documents_in_spark(spark, docs, corpus, no_docs, tokenizer, vocabulary):
+def test_documents_in_spark(spark, docs, corpus, no_docs, tokenizer, vocabulary, monkeypatch):
     assert {r["word"]: r["n"] for r in lb.word_counts(docs, vocabulary).collect()}["word"] == 1
     counts = spark.createDataFrame([("a", 90), ("b", 90), ("c", 50), ("d", 3)], "word string, n long")
     assert [sorted(r["word"] for r in lb.most_frequent(counts, n).collect()) for n in (0, 1, 2, 3, 9)] == [[], [], ["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d"]]
+    monkeypatch.setattr(lb, "BATCH_BYTES", 9000)
     name = lb.build_lexicon(docs, PATH, 300)
     rows = lb.decode(lb.encode(docs, name), name).collect()
     got = Counter((r["doc_id"], r["n_tokens"], hashlib.sha256(r["ids"]).hexdigest(), hashlib.sha256(r["decoded"].encode()).hexdigest()) for r in rows)
