@@ -1,7 +1,9 @@
 """Maximum-likelihood fits of baseline and branching ratio, for all streams at once.
 
 With the kernel shape fixed the log-likelihood is concave in the baseline and ``n``, so each fit is a
-few Newton steps whose inputs are sums over events. Streams up to ``spark.ripplework.fit.maxRows``
+few Newton steps whose inputs are sums over events. The same sums give an upper bound on what any other
+parameters could reach: steps go on until that bound closes, and every row carries it as ``gap`` (log-likelihood
+units) and ``converged``. Streams up to ``spark.ripplework.fit.maxRows``
 events are fitted by one grouped task each. For larger ones every Newton step is a distributed
 aggregation: events in chunks give partial sums, the sums give the next point.
 """
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplework.functions.concave import (
+    CONVERGED_GAP,
     FLOOR,
     MAX_STEPS,
     Ascent,
@@ -28,7 +31,7 @@ from ripplework.functions.concave import (
 from ripplework.functions.kernels import Kernel, exponential, power_law
 from ripplework.functions.numeric import decayed_sums, stream_gaps
 from ripplework.operators.excite import horizon_mass, self_excitation, stack_kernels
-from ripplework.operators.shape import STREAM, segment_edges, stream_spans, with_segment
+from ripplework.operators.shape import STREAM, segment_edges, stream_spans, with_segment, with_segments
 from ripplework.session import checkpointed, spread
 
 FIT_MAX_ROWS_KEY = "spark.ripplework.fit.maxRows"
@@ -38,7 +41,8 @@ MIN_EVENTS = 10
 
 FIT_SCHEMA = (
     "stream_id string, kernel_idx int, k int, z double, n double, n_se double, ll double, "
-    "theta array<double>, edges array<double>, n_events bigint, horizon double, cc double"
+    "theta array<double>, edges array<double>, n_events bigint, horizon double, cc double, "
+    "gap double, converged boolean"
 )
 
 # fixed values: provisional kernel shape, grids and cutoffs of the near-critical gate
@@ -106,24 +110,43 @@ def _fit_grouped(rows: DataFrame, kernels, basis, ks, ns) -> DataFrame:
     rates, weights = stack_kernels(kernels)
     _, masses = stack_kernels(kernels, integrated=True)
 
-    def fit_stream(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
+    def fit_stream(pdf: pd.DataFrame, edges: list[np.ndarray], seg: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
         head = pdf.iloc[0]
-        t = pdf["t"].to_numpy(float) * head["t_scale"]
-        horizon = float(head["horizon"]) * head["t_scale"]
+        t, horizon = pdf["t"].to_numpy(float), float(head["horizon"])
         sums, _ = decayed_sums(stream_gaps(np.zeros(t.size), t), rates, weights)
         cc = _mass(horizon - t, rates, masses)
         cells = _Cells(len(kernels), cc, ns, head["n_center"], head["n_scale"])
         out = []
-        for k in ks:
-            edges = _edges(t, k, horizon)
-            h = basis_matrix(basis, *_place(t, edges), k)
-            theta0, cost = cells.start(basis, edges, t.size)
+        for i, own in enumerate(edges):
+            h = basis_matrix(basis, seg[:, i], weight[:, i], own.size - 1)
+            theta0, cost = cells.start(basis, own, t.size)
             run = maximise(h, sums[:, cells.kernel], cost, theta0, cells.n)
-            out += cells.rows(run, head["stream_id"], k, edges, t.size, horizon)
+            out += cells.rows(run, head["stream_id"], own.size - 1, own, t.size, horizon)
         return pd.DataFrame(out)
 
-    return spread(rows, "stream_id").groupBy("stream_id").applyInPandas(fit_stream, FIT_SCHEMA)
+    scaled = rows.withColumns({"t": F.col("t") * F.col("t_scale"), "horizon": F.col("horizon") * F.col("t_scale")})
+    if tuple(ks) == (1,):  # one segment needs no edges
+
+        def fit_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["t", "event_id"])
+            horizon = float(pdf["horizon"].iloc[0])
+            weight = pdf[["t"]].to_numpy(float) / horizon if horizon else np.zeros((len(pdf), 1))
+            return fit_stream(pdf, [np.array([0.0, horizon])], np.zeros((len(pdf), 1), int), weight)
+
+        return spread(scaled, "stream_id").groupBy("stream_id").applyInPandas(fit_whole, FIT_SCHEMA)
+
+    def fit_segments(pdf: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or cuts.empty:
+            return pd.DataFrame(columns=["stream_id"])
+        pdf = pdf.sort_values(["t", "event_id"])
+        edges = [np.asarray(e, float) for e in cuts.sort_values("k")["edges"]]
+        return fit_stream(pdf, edges, np.vstack(pdf["segs"].to_numpy()).astype(int), np.vstack(pdf["weights"].to_numpy()))
+
+    info = scaled.groupBy("stream_id").agg(F.first("horizon").alias("horizon"), F.count(F.lit(1)).alias("n_events"))
+    edges = checkpointed(segment_edges(scaled.select("stream_id", "event_id", "t"), info, ks, blocked=False))
+    placed = with_segments(scaled, edges)
+    both = (spread(x, "stream_id").groupBy("stream_id") for x in (placed, edges))
+    return next(both).cogroup(next(both)).applyInPandas(fit_segments, FIT_SCHEMA)
 
 
 def _mass(left: np.ndarray, rates: np.ndarray, masses: np.ndarray) -> np.ndarray:
@@ -133,20 +156,6 @@ def _mass(left: np.ndarray, rates: np.ndarray, masses: np.ndarray) -> np.ndarray
     return total @ masses.T
 
 
-def _edges(t: np.ndarray, k: int, horizon: float) -> np.ndarray:
-    """Ends of ``k`` segments with about as many events each, cut midway between neighbouring events."""
-    after = np.rint(np.arange(1, k) * (t.size / k)).astype(int)
-    after = np.minimum(np.maximum(after, 1), t.size - 1)
-    return np.concatenate([[0.0], t[after - 1] / 2.0 + t[after] / 2.0, [horizon]])
-
-
-def _place(t: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each time and how far into it, from the piecewise linear map of edges to 0, 1, 2, ..."""
-    along = np.interp(t, edges, np.arange(edges.size, dtype=float))
-    seg = np.minimum(np.floor(along).astype(int), edges.size - 2)
-    return seg, along - seg
-
-
 class _Cells:
     """The cells of one stream: every kernel with ``n`` free, or with every fixed ``n``."""
 
@@ -183,6 +192,8 @@ class _Cells:
                 "n_events": int(n_events),
                 "horizon": float(horizon),
                 "cc": float(self.cc[g]),
+                "gap": float(run.gap[g]) if np.isfinite(run.gap[g]) else None,
+                "converged": bool(run.gap[g] <= CONVERGED_GAP),
             }
             for g in range(run.theta.shape[0])
         ]
@@ -194,7 +205,7 @@ _STATE_SCHEMA = (
     "stream_id string, k int, edges array<double>, mass array<double>, n_events bigint, "
     "horizon double, n_center double, n_scale double, theta array<double>, trial array<double>, "
     "value array<double>, direction array<double>, step array<double>, done array<boolean>, "
-    "spread array<double>"
+    "spread array<double>, gap array<double>"
 )
 _INFO = ("stream_id", "k", "edges", "mass", "n_events", "horizon", "n_center", "n_scale")
 
@@ -258,7 +269,8 @@ def _fit_distributed(big: DataFrame, kernels, basis, ks, ns) -> DataFrame:
                 live = np.flatnonzero(~run.done)
                 g, p, parts = live.size, cost.shape[1], np.asarray(row.parts, float)
                 run.advance(
-                    live, parts[:g], parts[g : g + g * p].reshape(g, p), parts[g + g * p :].reshape(g, p, p), cost[live]
+                    live, parts[:g], parts[g : g + g * p].reshape(g, p), parts[g + g * p :].reshape(g, p, p), cost[live],
+                    row.n_events,
                 )
                 rows.append(_pack(run, row))
             yield pd.DataFrame(rows)
@@ -300,7 +312,7 @@ def _pack(run: Ascent, row) -> dict:
     held = {c: getattr(row, c) for c in _INFO}
     moving = {
         "theta": run.theta.ravel(), "trial": run.trial.ravel(), "value": run.value,
-        "direction": run.direction.ravel(), "step": run.step, "done": run.done, "spread": run.spread,
+        "direction": run.direction.ravel(), "step": run.step, "done": run.done, "spread": run.spread, "gap": run.gap,
     }
     return held | {k: v.tolist() for k, v in moving.items()}
 
@@ -311,7 +323,7 @@ def _unpack(row) -> Ascent:
     run.trial = np.array(row.trial, float).reshape(cells, -1)
     run.direction = np.array(row.direction, float).reshape(cells, -1)
     run.value, run.step = np.array(row.value, float), np.array(row.step, float)
-    run.done, run.spread = np.array(row.done, bool), np.array(row.spread, float)
+    run.done, run.spread, run.gap = np.array(row.done, bool), np.array(row.spread, float), np.array(row.gap, float)
     return run
 
 
@@ -343,7 +355,7 @@ def with_all_streams(fits: DataFrame, events: DataFrame, streams: DataFrame) ->
 def fit_constant(events: DataFrame, streams: DataFrame, kernel: Kernel, **options) -> DataFrame:
     """Constant baseline ``mu`` and ``n`` under one fixed kernel shape."""
     fits = fit_cells(events, streams, [kernel], **options).select(
-        "stream_id", F.get("theta", F.lit(0)).alias("mu"), "n", "n_se", "ll", "n_events", "horizon", "cc"
+        "stream_id", F.get("theta", F.lit(0)).alias("mu"), "n", "n_se", "ll", "n_events", "horizon", "cc", "gap", "converged"
     )
     return with_all_streams(fits, events, streams)
 
@@ -369,7 +381,7 @@ def likelihood_grid(
     basis: str = "linear",
     **options,
 ) -> DataFrame:
-    """``ll(stream_id, n, eps, c)``: best likelihood over the baseline for every grid cell."""
+    """``ll(stream_id, n, eps, c)``: best likelihood over the baseline for every grid cell, with its ``gap``."""
     grid = shape_grid(eps, cs)
     fits = fit_cells(events, streams, [g[2] for g in grid], basis=basis, ks=[k], ns=ns, **options)
     idx = F.col("kernel_idx")
@@ -380,6 +392,8 @@ def likelihood_grid(
         F.get(F.array(*[F.lit(float(g[1])) for g in grid]), idx).alias("c"),
         "ll",
         "n_events",
+        "gap",
+        "converged",
     )
 
 

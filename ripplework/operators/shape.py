@@ -330,12 +330,15 @@ def segment_edges(
     return packed.select("stream_id", "k", F.transform("_e", lambda e: e["_edge"]).alias("edges"))
 
 
+def _segment_of(t: Column, edges: Column) -> Column:
+    """Number of the segment that ``t`` is in, from 0 to the last."""
+    below = F.size(F.filter(edges, lambda e: e <= t)) - 1
+    return F.greatest(F.least(below, F.size(edges) - 2), F.lit(0))
+
+
 def with_segment(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Every event with its segment (clipped to ``[0, K-1]``) and its place inside the segment."""
-    seg = F.size(F.filter("edges", lambda e: e <= F.col("t"))).cast("bigint") - 1
-    rows = events.join(edges, STREAM).withColumn(
-        "seg", F.greatest(F.least(seg, F.col("k") - 1), F.lit(0))
-    )
+    rows = events.join(edges, STREAM).withColumn("seg", _segment_of(F.col("t"), F.col("edges")).cast("bigint"))
     lo = F.get(F.col("edges"), F.col("seg").cast("int"))
     hi = F.get(F.col("edges"), (F.col("seg") + 1).cast("int"))
     return rows.withColumns(
@@ -343,6 +346,19 @@ def with_segment(events: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def needs_blocks(events: DataFrame) -> bool:
-    """Measure once whether some stream is too large for one task."""
-    return has_hot_group(events, STREAM)
+def with_segments(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per event with arrays ``segs`` and ``weights`` over all segment counts, in ascending order of ``k``.
+
+    The same places as ``with_segment`` gives, without a row for every segment count. A segment of no length has weight 0.
+    """
+    # one entry for each segment count
+    packed = edges.groupBy(*STREAM).agg(F.array_sort(F.collect_list(F.struct("k", "edges"))).alias("_all"))
+    t = F.col("t")
+    rows = events.join(packed, STREAM).withColumn("segs", F.transform("_all", lambda p: _segment_of(t, p["edges"]).cast("int")))
+
+    def place(p: Column, i: Column) -> Column:
+        seg = F.get(F.col("segs"), i)
+        lo, hi = F.get(p["edges"], seg), F.get(p["edges"], seg + 1)
+        return F.coalesce(F.try_divide(t - lo, hi - lo), F.lit(0.0))
+
+    return rows.withColumn("weights", F.transform("_all", place)).drop("_all")

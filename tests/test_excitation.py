@@ -2,12 +2,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ripplework.functions import concave
 from ripplework.functions.kernels import exponential, fine_power_law, kernel_table, kernels_from_table, power_law
 from ripplework.operators import excite as ex
 from ripplework.operators import fit as fi
 from ripplework.operators import gate as ga
 from ripplework.operators import goodness as go
-from ripplework.operators.shape import stream_spans
+from ripplework.operators.shape import segment_edges, stream_spans, with_segment, with_segments
 
 
 def hawkes(n, horizon, mu, beta, seed):
@@ -134,3 +135,54 @@ def test_every_stream_keeps_a_row_in_fits(spark):
     free = {r.stream_id: r for r in fi.fit_exponential(events, streams, rounds=1).collect()}
     assert set(free) == set(constant) and free["many"].n is not None
     assert {k: r.reason for k, r in free.items() if r.n is None} == {"nine": "too_few_events", "one": "too_few_events", "none": "no_events"}
+
+
+def test_segment_arrays_equal_segment_rows(spark):
+    """All segment counts of the sweep, for few and many events, ties and boundaries at one half included."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (2, 3, 7, 31, 82, 100, 174, 300):
+        rows += [(f"even{n}", i, float(i + 1)) for i in range(n)]
+        rows += [(f"tied{n}", i, float(x)) for i, x in enumerate(np.sort(rng.integers(0, max(2, n // 3), n)))]
+    events = spark.createDataFrame(rows, "stream_id string, event_id long, t double")
+    edges = segment_edges(events, stream_spans(events), fi.K_SWEEP).cache()
+    long = with_segment(events, edges).select("stream_id", "event_id", "k", "seg", F.coalesce("weight", F.lit(0.0)).alias("w"))
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in long.collect()}
+    for r in with_segments(events, edges).collect():
+        for k, seg, weight in zip(fi.K_SWEEP, r.segs, r.weights):
+            assert want[r.stream_id, r.event_id, k] == (seg, weight)
+    at = {(r.stream_id, r.k): r.edges for r in edges.collect()}
+    for n in (82, 100):
+        for k in fi.K_SWEEP:
+            i = [min(max(round(j * n / k), 1), n - 1) for j in range(1, k)]
+            assert at[f"even{n}", k][1:-1] == [x + 0.5 for x in i]
+
+
+@pytest.mark.parametrize("basis", ["step", "linear"])
+def test_sweep_is_the_same_grouped_and_distributed_and_certified(spark, basis):
+    rng = np.random.default_rng(8)
+    rows = [(s, i, float(x)) for s, n in (("x", 100), ("y", 61)) for i, x in enumerate(np.sort(rng.uniform(0, 50, n)))]
+    events = spark.createDataFrame(rows, "stream_id string, event_id long, t double")
+    run = lambda rows: fi.fit_cells(events, stream_spans(events), [power_law(0.4, 0.5)], basis=basis, ks=[1, 4, 20, 24], max_rows=rows).toPandas().sort_values(["stream_id", "k"])
+    small, big = run(10**6), run(10)
+    assert small["converged"].all() and big["converged"].all() and (small["gap"] < 1e-6).all()
+    assert [list(e) for e in small["edges"]] == [list(e) for e in big["edges"]]
+    assert np.allclose(small["ll"], big["ll"], atol=1e-7) and np.allclose(small["n"], big["n"], atol=1e-6)
+
+
+def test_gap_bounds_what_other_parameters_reach():
+    rng = np.random.default_rng(2)
+    h = np.zeros((200, 3))
+    h[np.arange(200), rng.integers(0, 3, 200)] = 1.0
+    s = rng.exponential(1.0, (200, 1))
+    for n in (None, np.array([0.7])):
+        cost = np.array([[20.0, 30.0, 25.0, 150.0]])[:, : 3 + (n is None)]
+        value = lambda x: np.log(h @ x[:3] + (x[3] if n is None else n[0]) * s[:, 0]).sum() - cost[0] @ x
+        best = concave.maximise(h, s, cost, np.full(cost.shape, 0.5), n)
+        assert best.gap[0] < 1e-7
+        top = value(best.theta[0])
+        for _ in range(300):
+            x = rng.exponential(1.0, cost.shape[1])
+            _, sums, _ = concave.partial_sums(h, s, x[None], n)
+            gap = concave.optimality_gap(x[None], sums, cost, 200)[0]
+            assert value(x) <= top + 1e-9 and top <= value(x) + gap + 1e-9
