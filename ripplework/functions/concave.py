@@ -12,7 +12,7 @@ import numpy as np
 FLOOR = 1e-9
 GAIN_TOLERANCE = 1e-12
 #: a fit stops once no other parameters can raise its log-likelihood by more than this times the events
-GAP_PER_EVENT = 1e-10
+GAP_PER_EVENT = 1e-13
 #: and counts as converged if they can't raise it by more than this
 CONVERGED_GAP = 1e-4
 MAX_STEPS = 80

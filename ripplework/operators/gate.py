@@ -171,10 +171,11 @@ def segment_sweep(fits: DataFrame, ks_distance: DataFrame) -> DataFrame:
 def best_shape(fits: DataFrame) -> DataFrame:
     """Shape with the smallest KS distance, the one with the highest likelihood, and the range of ``n``.
 
-    ``fits(stream_id, eps, c, n, ll, ks, n_events)``.
+    ``fits(stream_id, eps, c, n, ll, ks, n_events)``. Distances equal to 9 digits and likelihoods equal to 6 are ties
+    (at ``n = 0`` all shapes are the same model); they go to the smaller eps, then the smaller c.
     """
-    by_ks = F.min_by(F.struct("eps", "c", "n", "ks"), F.struct("ks", "eps", "c")).alias("_k")
-    by_ll = F.min_by(F.struct("eps", "c", "n", "ll"), F.struct(-F.col("ll"), F.col("eps"), F.col("c"))).alias("_l")
+    by_ks = F.min_by(F.struct("eps", "c", "n", "ks"), F.struct(F.round("ks", 9), "eps", "c")).alias("_k")
+    by_ll = F.min_by(F.struct("eps", "c", "n", "ll"), F.struct(-F.round("ll", 6), F.col("eps"), F.col("c"))).alias("_l")
     ratio = F.col("_k.ks") * F.sqrt(F.col("_n").cast("double"))
     return (
         fits.groupBy(*STREAM)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ripplework.functions.concave import CONVERGED_GAP
 from ripplework.functions.kernels import exponential, fine_power_law, kernel_table, kernels_from_table, power_law
 from ripplework.operators import excite as ex
 from ripplework.operators import fit as fi
@@ -23,7 +24,7 @@ from ripplework.plans import frames as fr
 from ripplework.plans.catalog import query
 from ripplework.plans.shape_queries import _EDGES, _LADDER, _SEGMENTED, _mean_variance_cte
 from ripplework.session import checkpointed
-from ripplework.plans.sql import EV, EV_TYPE, FIT, RANKED, decay_cte, kernel_values, r, with_
+from ripplework.plans.sql import EV, EV_TYPE, FIT, RANKED, decay_cte, kernel_values, r, stepwise_decay_cte, with_
 
 EPS, C = fi.SHAPE_EPS, fi.SHAPE_C
 BETA = 0.5
@@ -316,18 +317,92 @@ def _(spark, sf):
     return fi.profile_interval(events, streams, fi.fit_exponential(events, streams))
 
 
-@query("fit04_step_fit", digits=3)
-def _(spark, sf):
-    events, streams = fr.user_streams(spark, sf)
-    return fi.fit_step(events, streams, power_law(EPS, C), fi.K_SWEEP).select("stream_id", "k", "n", "ll", "aic", "bic")
+def _edges_cte(ks) -> str:
+    return f"""
+pieces AS (SELECT st.stream_id, k, j, horizon, greatest(least(CAST(round_even(j * n_events / k::DOUBLE, 0) AS BIGINT), n_events - 1), 1) AS i
+  FROM st, (VALUES {", ".join(f"({k})" for k in ks)}) v(k), generate_series(0, {max(ks)}) g(j) WHERE j <= k),
+edges AS MATERIALIZED (SELECT p.stream_id, k, j, CASE WHEN j = 0 THEN 0.0 WHEN j = k THEN any_value(horizon) ELSE 0.5 * sum(r.t) END AS edge
+  FROM pieces p JOIN rk r ON r.stream_id = p.stream_id AND (r.rn = p.i OR r.rn = p.i + 1) GROUP BY 1, 2, 3)"""
+
+
+def baseline_fit_cte(basis: str, ks, ns=None) -> str:
+    """``best(pid, stream_id, k, kernel_idx, z, n, ll, gap, ...)``: the fits of every stream, segment count, kernel and (if given) fixed ``n``.
+
+    Newton steps on the knots of one colour (all pieces of a step baseline, or every other knot of a linear one) together
+    with ``n``: given ``n`` they don't touch each other, so a step is a division. Steps are damped by their own length,
+    which keeps every intensity positive, and a problem leaves the recursion once two steps in a row are tiny.
+    """
+    linear = basis == "linear"
+    colours = 2 if linear else 1
+    level = "th[seg + 1] * (1 - w) + th[least(seg + 2, len(th))] * w" if linear else "th[seg + 1]"
+    pick = f"CASE WHEN seg % 2 = it % 2 THEN seg ELSE seg + 1 END AS j, CASE WHEN seg % 2 = it % 2 THEN 1 - w ELSE w END" if linear else "seg AS j, 1.0"
+    both = "unnest([{'j': seg, 'a': 1 - w}, {'j': seg + 1, 'a': w}])" if linear else "unnest([{'j': seg, 'a': 1.0}])"
+    halves = "SELECT stream_id, k, j, len / 2 AS c FROM lens UNION ALL SELECT stream_id, k, j + 1, len / 2 FROM lens" if linear else "SELECT stream_id, k, j, len AS c FROM lens"
+    fixed = ns is not None
+    free_n = "0.0" if fixed else "CASE WHEN (n <= 1e-9 AND gs <= cc) OR es - schur <= 1e-300 THEN 0.0 ELSE (gs - cc - shared) / (es - schur) END"
+    grid = f"(VALUES {', '.join(f'({x}::DOUBLE)' for x in ns)}) v(z)" if fixed else "(VALUES (0.5::DOUBLE)) v(z)"
+    return f"""
+segs AS (SELECT r.stream_id, e.k, r.event_id, any_value(r.t) AS t, greatest(least(count(*) FILTER (WHERE e.edge <= r.t) - 1, e.k - 1), 0) AS seg
+  FROM rk r JOIN edges e USING (stream_id) GROUP BY 1, 2, 3),
+lens AS (SELECT a.stream_id, a.k, a.j, a.edge, b.edge - a.edge AS len FROM edges a JOIN edges b ON b.stream_id = a.stream_id AND b.k = a.k AND b.j = a.j + 1),
+places AS (SELECT s.stream_id, s.event_id, s.k, s.seg, CASE WHEN l.len > 0 THEN (s.t - l.edge) / l.len ELSE 0.0 END AS w
+  FROM segs s JOIN lens l ON l.stream_id = s.stream_id AND l.k = s.k AND l.j = s.seg),
+costs AS (SELECT stream_id, k, list(c ORDER BY j) AS c FROM (SELECT stream_id, k, j, sum(c) AS c FROM ({halves}) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+prob AS MATERIALIZED (SELECT row_number() OVER () AS pid, st.stream_id, k, cc.kernel_idx, z, c, cc.cc, n_events,
+  list_transform(c, lambda x: greatest(0.5 * n_events / horizon, 1e-6)) AS th FROM st JOIN costs USING (stream_id) JOIN cc USING (stream_id), {grid}),
+dsg AS MATERIALIZED (SELECT p.pid, CAST(l.seg AS INTEGER) AS seg, l.w, s.s FROM prob p JOIN places l ON l.stream_id = p.stream_id AND l.k = p.k
+  JOIN s ON s.stream_id = l.stream_id AND s.event_id = l.event_id AND s.kernel_idx = p.kernel_idx),
+f AS (SELECT 0 AS it, pid, th, z AS n, 1e9::DOUBLE AS moved, 1e9::DOUBLE AS moved0 FROM prob
+  UNION ALL
+  SELECT it + 1, pid, list_transform(range(len(th)), lambda j: CASE WHEN j % {colours} <> it % {colours} THEN th[j + 1]
+      WHEN len(list_filter(up, lambda u: u.j = j)) = 0 THEN CASE WHEN c[j + 1] > 0 THEN 1e-9 ELSE th[j + 1] END
+      ELSE greatest(1e-9, th[j + 1] + damp * list_filter(up, lambda u: u.j = j)[1].d) END),
+    {"n" if fixed else "greatest(1e-9, n + damp * dn)"}, size, moved
+  FROM (SELECT *, CASE WHEN size > 0.25 THEN 1 / (1 + size) ELSE 1.0 END AS damp
+    FROM (SELECT *, sqrt(greatest(0, list_sum(list_transform(up, lambda u: u.g * u.d)) + dn * (gs - cc))) AS size
+      FROM (SELECT *, list_transform(parts, lambda p: {{'j': p.j, 'g': p.g, 'd': CASE WHEN p.held THEN 0.0 ELSE (p.g - p.b * dn) / p.d END}}) AS up
+        FROM (SELECT *, {free_n} AS dn
+          FROM (SELECT q.pid, any_value(it) AS it, any_value(q.th) AS th, any_value(n) AS n, any_value(moved) AS moved, any_value(c) AS c, any_value(cc) AS cc,
+              sum(gs) AS gs, sum(es) AS es, list({{'j': j, 'g': g - c[j + 1], 'd': d, 'b': b, 'held': q.th[j + 1] <= 1e-9 AND g <= c[j + 1]}}) AS parts,
+              coalesce(sum(b * b / d) FILTER (q.th[j + 1] > 1e-9 OR g > c[j + 1]), 0) AS schur,
+              coalesce(sum(b * (g - c[j + 1]) / d) FILTER (q.th[j + 1] > 1e-9 OR g > c[j + 1]), 0) AS shared
+            FROM (SELECT pid, j, any_value(it) AS it, any_value(th) AS th, any_value(n) AS n, any_value(moved) AS moved,
+                sum(a / lam) AS g, greatest(sum(a * a / (lam * lam)), 1e-300) AS d, sum(a * s / (lam * lam)) AS b, sum(s / lam) AS gs, sum(s * s / (lam * lam)) AS es
+              FROM (SELECT f.*, s, {pick} AS a, {level} + n * s AS lam FROM f JOIN dsg USING (pid) WHERE it < 2000 AND greatest(moved, moved0) > 1e-9)
+              GROUP BY pid, j) q JOIN prob USING (pid) GROUP BY q.pid)))))),
+last AS MATERIALIZED (SELECT pid, arg_max(th, it) AS th, arg_max(n, it) AS n FROM f GROUP BY 1),
+lik AS (SELECT pid, sum(ln({level} + n * s)) AS logs, sum(s / ({level} + n * s)) AS gs FROM last JOIN dsg USING (pid) GROUP BY 1),
+sums AS (SELECT pid, p.j AS j, sum(p.a / lam) AS g FROM (SELECT pid, {level} + n * s AS lam, {both} AS p FROM last JOIN dsg USING (pid)) GROUP BY 1, 2),
+ratio AS (SELECT pid, max(CASE WHEN g > 0 THEN g / c[j + 1] ELSE 0 END) AS top, sum(g * last.th[j + 1]) AS xg FROM sums JOIN prob USING (pid) JOIN last USING (pid) GROUP BY 1),
+bound AS (SELECT p.pid, stream_id, k, kernel_idx, z, n, logs, cc, n_events, list_sum(list_transform(range(len(c)), lambda j: c[j + 1] * l.th[j + 1])) AS xc,
+  {"top" if fixed else "greatest(top, gs / cc)"} AS top, {"n_events - xg" if fixed else "0.0"} AS rest
+  FROM prob p JOIN last l USING (pid) JOIN lik USING (pid) JOIN ratio USING (pid)),
+best AS MATERIALIZED (SELECT *, logs - xc - n * cc AS ll, n_events * ln(greatest(top, rest / n_events)) - n_events + rest / greatest(top, rest / n_events)
+  + xc{"" if fixed else " + n * cc"} AS gap FROM bound)"""
+
+
+def _criteria(basis: str) -> str:
+    p = "k + 2" if basis == "linear" else "k + 1"
+    return f"{r(f'2 * ({p}) - 2 * ll', 'aic', 3)}, {r(f'({p}) * ln(n_events) - 2 * ll', 'bic', 3)}"
+
+
+def _segment_fit_sql(basis: str) -> str:
+    return (
+        with_(EV, RANKED, decay_cte([power_law(EPS, C)]), _edges_cte(fi.K_SWEEP), baseline_fit_cte(basis, fi.K_SWEEP), recursive=True)
+        + f"SELECT stream_id, k, {r('n', 'n', 3)}, {r('ll', 'll', 3)}, {_criteria(basis)}, gap <= {CONVERGED_GAP} AS converged FROM best"
+    )
 
 
-@query("fit05_linear_fit", digits=3)
+@query("fit04_step_fit", _segment_fit_sql("step"), digits=3)
 def _(spark, sf):
     events, streams = fr.user_streams(spark, sf)
-    return fi.fit_linear(events, streams, power_law(EPS, C), fi.K_SWEEP).select("stream_id", "k", "n", "ll", "aic", "bic")
+    return fi.fit_step(events, streams, power_law(EPS, C), fi.K_SWEEP).select("stream_id", "k", "n", "ll", "aic", "bic", "converged")
 
 
+@query("fit05_linear_fit", _segment_fit_sql("linear"), digits=3)
+def _(spark, sf):
+    events, streams = fr.user_streams(spark, sf)
+    return fi.fit_linear(events, streams, power_law(EPS, C), fi.K_SWEEP).select("stream_id", "k", "n", "ll", "aic", "bic", "converged")
 
 
 @query(
@@ -356,10 +431,21 @@ def constant_grid(spark, sf):
 
 _SHAPES = [(e, c) for e in fi.EPS_GRID for c in fi.C_GRID]
 
+_SHAPE_VALUES = "shapes(kernel_idx, eps, c) AS (VALUES " + ", ".join(f"({i}, {e}::DOUBLE, {c}::DOUBLE)" for i, (e, c) in enumerate(_SHAPES)) + ")"
+
+# peaks of the profile for every cutoff of the shape, from ``ll(stream_id, n, eps, c, ll)``
+_GATE_RULES = """
+    prof AS (SELECT stream_id, n, max(ll) AS ll, arg_max(eps, ll) AS eps, arg_max(c, ll) AS c FROM ll GROUP BY 1, 2),
+    cutoffs(eps_min) AS (VALUES (0.4::DOUBLE), (0.2), (0.1), (0.05), (0.02)),
+    traj AS (SELECT stream_id, eps_min, n, max(ll) AS ll FROM ll JOIN cutoffs ON eps >= eps_min GROUP BY 1, 2, 3),
+    peaks AS (SELECT stream_id, eps_min, arg_min(n, struct_pack(a := -ll, b := n)) AS n FROM traj GROUP BY 1, 2),
+    capped AS (SELECT stream_id, eps_min, arg_min(n, struct_pack(a := -ll, b := n)) AS n FROM traj WHERE n < 1 GROUP BY 1, 2),
+    top AS (SELECT stream_id, arg_max(n, ll) AS n, max(ll) AS ll, arg_max(eps, ll) AS eps, arg_max(c, ll) AS c FROM prof GROUP BY 1)"""
+
 # best constant baseline for each fixed n: the derivative in mu falls, 50 halvings find its root
 _GRID = with_(
     EV, RANKED, decay_cte([power_law(e, c) for e, c in _SHAPES]),
-    "shapes(kernel_idx, eps, c) AS (VALUES " + ", ".join(f"({i}, {e}::DOUBLE, {c}::DOUBLE)" for i, (e, c) in enumerate(_SHAPES)) + ")",
+    _SHAPE_VALUES,
     "ns(n) AS (VALUES " + ", ".join(f"({n}::DOUBLE)" for n in fi.N_GRID) + ")",
     """root AS (SELECT st.stream_id, kernel_idx, n, 0 AS step, 1e-9::DOUBLE AS lo, n_events / horizon AS hi FROM st, shapes, ns
       UNION ALL
@@ -370,13 +456,8 @@ _GRID = with_(
     ll AS (SELECT b.stream_id, b.n, h.eps, h.c, sum(ln((b.lo + b.hi) / 2 + b.n * s.s)) - any_value((b.lo + b.hi) / 2 * st.horizon) - b.n * any_value(cc.cc) AS ll
       FROM root b JOIN shapes h USING (kernel_idx) JOIN s USING (stream_id, kernel_idx) JOIN st USING (stream_id)
       JOIN cc ON cc.stream_id = b.stream_id AND cc.kernel_idx = b.kernel_idx
-      WHERE b.step = 50 GROUP BY b.stream_id, b.n, h.eps, h.c),
-    prof AS (SELECT stream_id, n, max(ll) AS ll, arg_max(eps, ll) AS eps, arg_max(c, ll) AS c FROM ll GROUP BY 1, 2),
-    cutoffs(eps_min) AS (VALUES (0.4::DOUBLE), (0.2), (0.1), (0.05), (0.02)),
-    traj AS (SELECT stream_id, eps_min, n, max(ll) AS ll FROM ll JOIN cutoffs ON eps >= eps_min GROUP BY 1, 2, 3),
-    peaks AS (SELECT stream_id, eps_min, arg_min(n, struct_pack(a := -ll, b := n)) AS n FROM traj GROUP BY 1, 2),
-    capped AS (SELECT stream_id, eps_min, arg_min(n, struct_pack(a := -ll, b := n)) AS n FROM traj WHERE n < 1 GROUP BY 1, 2),
-    top AS (SELECT stream_id, arg_max(n, ll) AS n, max(ll) AS ll, arg_max(eps, ll) AS eps, arg_max(c, ll) AS c FROM prof GROUP BY 1)""",
+      WHERE b.step = 50 GROUP BY b.stream_id, b.n, h.eps, h.c)""",
+    _GATE_RULES,
     recursive=True,
 )
 
@@ -459,20 +540,54 @@ def _(spark, sf):
     return ga.recovery_shape(constant_grid(spark, sf), truth).drop("ll", "eps", "c")
 
 
-@query("ver01_near_critical_gate")
+_VERDICT = f"""SELECT a.stream_id, a.n AS peak_closed, b.n AS peak, c.n AS peak_capped, {r('b.n - a.n', 'migrated')},
+    abs(b.n - a.n) < 0.15 AND b.n < 1 AS identified FROM peaks a JOIN peaks b USING (stream_id) JOIN capped c USING (stream_id)
+    WHERE a.eps_min = 0.4 AND b.eps_min = 0.02 AND c.eps_min = 0.02"""
+
+
+def _gate_sql(events: str, decay, ns) -> str:
+    """The gate with its linear baseline of ``GATE_K`` pieces: every shape and fixed ``n`` is a problem of its own."""
+    return (
+        with_(
+            events, RANKED, decay([power_law(e, c) for e, c in _SHAPES]), _SHAPE_VALUES, _edges_cte([fi.GATE_K]),
+            baseline_fit_cte("linear", [fi.GATE_K], ns),
+            "ll AS MATERIALIZED (SELECT stream_id, z AS n, eps, shapes.c, ll FROM best JOIN shapes USING (kernel_idx))", _GATE_RULES, recursive=True,
+        )
+        + _VERDICT
+    )
+
+
+@query("ver01_near_critical_gate", _gate_sql(EV, decay_cte, fi.N_GRID))
 def _(spark, sf):
     """The gate with its full grid and flexible baseline, all users in one job."""
     events, streams = fr.user_streams(spark, sf)
     return ga.certify_near_critical(events, streams)
 
 
-@query("ver01_extended_gate")
+@query("ver01_extended_gate", _gate_sql(EV_TYPE, stepwise_decay_cte, fi.N_GRID_EXTENDED))
 def _(spark, sf):
     events, streams = fr.type_streams(spark, sf)
     return ga.certify_near_critical(events, streams, ns=fi.N_GRID_EXTENDED)
 
 
-@query("fit12_profile_curve", digits=2)
+_FINE_SHAPES = [(e, c) for e in fi.EPS_GRID_FINE for c in fi.C_GRID]
+_SHARPNESS = with_(
+    EV_TYPE, RANKED, stepwise_decay_cte([power_law(e, c) for e, c in _FINE_SHAPES]),
+    "fine(kernel_idx, eps) AS (VALUES " + ", ".join(f"({i}, {e}::DOUBLE)" for i, (e, _) in enumerate(_FINE_SHAPES)) + ")",
+    _edges_cte([fi.GATE_K]), baseline_fit_cte("linear", [fi.GATE_K], fi.N_GRID_FINE),
+    f"""tops AS MATERIALIZED (SELECT stream_id, z AS n, max(ll) AS ll_fine, max(ll) FILTER (eps IN ({", ".join(f"{e}::DOUBLE" for e in fi.EPS_GRID)})) AS ll
+      FROM best JOIN fine USING (kernel_idx) GROUP BY 1, 2),
+    sharp AS (SELECT stream_id, arg_min(n, struct_pack(a := -ll, b := n)) AS n, arg_min(n, struct_pack(a := -ll_fine, b := n)) AS n_fine,
+      max(ll) - max(ll) FILTER (abs(n - 1.05) < 1e-9) AS sharpness FROM tops GROUP BY 1)""",
+    recursive=True,
+)
+
+
+@query(
+    "fit12_profile_curve",
+    _SHARPNESS + f"SELECT stream_id, n, n_fine, {r('sharpness', 'sharpness', 2)}, abs(n - n_fine) < 0.05 AS stable FROM sharp",
+    digits=2,
+)
 def _(spark, sf):
     events, streams = fr.type_streams(spark, sf)
     coarse = fi.likelihood_grid(events, streams, ns=fi.N_GRID_FINE)
@@ -480,6 +595,40 @@ def _(spark, sf):
     return ga.profile_sharpness(coarse, fine)
 
 
+# exact integrated excitation of every shape, by meeting every event with all earlier events of its stream
+_EXACT_SHAPES = """
+mass AS MATERIALIZED (SELECT i.stream_id, i.event_id, kernel_idx, coalesce(sum(1 - pow(c / (c + i.t - j.t), eps)), 0.0) AS big_g
+  FROM rk i CROSS JOIN shapes LEFT JOIN rk j ON i.stream_id = j.stream_id AND j.rn < i.rn GROUP BY 1, 2, 3)"""
+
+
+def _distance_cte(basis: str) -> str:
+    """``dist(pid, ks)``: the KS distance of every problem of ``best`` under its exact compensator."""
+    if basis == "linear":
+        piece, part = "len * 0.5 * (th[j + 1] + th[j + 2])", "(e.t - edge) * (th[j + 1] + 0.5 * w * (th[j + 2] - th[j + 1]))"
+    else:
+        piece, part = "len * th[j + 1]", "(e.t - edge) * th[j + 1]"
+    return f"""
+pre AS MATERIALIZED (SELECT *, coalesce(sum({piece}) OVER (PARTITION BY pid ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before
+  FROM (SELECT p.pid, p.stream_id, p.k, p.kernel_idx, l.j, l.edge, l.len, t.th, t.n FROM prob p JOIN lens l ON l.stream_id = p.stream_id AND l.k = p.k JOIN last t ON t.pid = p.pid)),
+lamk AS (SELECT p.pid, e.rn, before + {part} + n * m.big_g AS lam FROM pre p JOIN places q ON q.stream_id = p.stream_id AND q.k = p.k AND q.seg = p.j
+  JOIN rk e ON e.stream_id = q.stream_id AND e.event_id = q.event_id JOIN mass m ON m.stream_id = q.stream_id AND m.event_id = q.event_id AND m.kernel_idx = p.kernel_idx),
+inck AS (SELECT pid, lam - lag(lam) OVER (PARTITION BY pid ORDER BY rn) AS dl FROM lamk),
+ordk AS (SELECT pid, 1 - exp(-dl) AS f, row_number() OVER (PARTITION BY pid ORDER BY dl) AS i, count(*) OVER (PARTITION BY pid) AS m FROM inck WHERE dl IS NOT NULL),
+dist AS MATERIALIZED (SELECT pid, max(greatest(i / m::DOUBLE - f, f - (i - 1) / m::DOUBLE)) AS ks FROM ordk GROUP BY 1)"""
+
+
+# the sweep over segment counts: fits, their distances, the criteria's choices and the plateau
+_SWEEP = with_(
+    EV_TYPE, RANKED, decay_cte([power_law(EPS, C)]), f"shapes(kernel_idx, eps, c) AS (VALUES (0, {EPS}::DOUBLE, {C}::DOUBLE))", _EXACT_SHAPES,
+    _edges_cte(fi.K_SWEEP), baseline_fit_cte("step", fi.K_SWEEP), _distance_cte("step"),
+    """fits AS MATERIALIZED (SELECT stream_id, k, n, n_events, ks, 2 * (k + 1) - 2 * ll AS aic, (k + 1) * ln(n_events) - 2 * ll AS bic FROM best JOIN dist USING (pid)),
+    fl AS (SELECT *, abs(lead(n) OVER (PARTITION BY stream_id ORDER BY k) - n) < 0.03 AS flat FROM fits),
+    pk AS (SELECT stream_id, arg_min(k, struct_pack(a := bic, b := k)) AS k_bic, arg_min(k, struct_pack(a := aic, b := k)) AS k_aic,
+      min(CASE WHEN flat THEN k END) AS plateau_k FROM fl GROUP BY 1)""",
+    recursive=True,
+)
+
+
 def swept(spark, sf, ks):
     events, streams = fr.type_streams(spark, sf)
     fits = fi.fit_step(events, streams, power_law(EPS, C), ks)
@@ -487,58 +636,51 @@ def swept(spark, sf, ks):
     return ga.segment_sweep(fits, ks_distance.select("stream_id", "k", "ks"))
 
 
-@query("fit07_segment_sweep", digits=3)
+@query(
+    "fit07_segment_sweep",
+    _SWEEP
+    + f"""SELECT stream_id, k, {r('n', 'n', 3)}, {r('ks', 'ks', 3)}, {r('aic', 'aic', 3)}, {r('bic', 'bic', 3)}, k_bic, k_aic, plateau_k,
+    coalesce(k_bic >= plateau_k, false) AS in_plateau, ks < 2 / sqrt(n_events) AS fit_ok FROM fits JOIN pk USING (stream_id)""",
+    digits=3,
+)
 def _(spark, sf):
     return swept(spark, sf, fi.K_SWEEP).select(
         "stream_id", "k", "n", "ks", "aic", "bic", "k_bic", "k_aic", "plateau_k", "in_plateau", "fit_ok"
     )
 
 
-# the sweep rules on estimates that SQL can reproduce: the mean-variance ladder stands in for n(k)
-_SWEEP = """
-fits AS (SELECT stream_id, window_id AS k, coalesce(n_hat, 0.0) AS n, abs(n_windows - 100) * 1.0 AS bic, mean_count AS aic,
-  1.0 / n_windows AS ks FROM mv),
-fl AS (SELECT *, abs(lead(n) OVER (PARTITION BY stream_id ORDER BY k) - n) < 0.03 AS flat FROM fits),
-pk AS (SELECT stream_id, arg_min(k, struct_pack(a := bic, b := k)) AS k_bic, arg_min(k, struct_pack(a := aic, b := k)) AS k_aic,
-  min(CASE WHEN flat THEN k END) AS plateau_k FROM fl GROUP BY 1)"""
+@query("win12_plateau_start", _SWEEP + "SELECT stream_id, plateau_k, coalesce(k_bic >= plateau_k, false) AS in_plateau FROM pk")
+def _(spark, sf):
+    return swept(spark, sf, fi.K_SWEEP).select("stream_id", "plateau_k", "in_plateau").distinct()
 
 
-def ladder_sweep(spark, sf):
-    events, streams = fr.type_streams(spark, sf)
-    ladder = mean_variance_n(events, window_ladder(streams)).join(streams.select("stream_id", "n_events"), "stream_id")
-    fits = ladder.select(
-        "stream_id", F.col("window_id").alias("k"), F.coalesce("n_hat", F.lit(0.0)).alias("n"),
-        F.abs(F.col("n_windows") - 100).cast("double").alias("bic"), F.col("mean_count").alias("aic"), "n_events",
-        (1.0 / F.col("n_windows")).alias("_ks"),
-    )
-    return ga.segment_sweep(fits.drop("_ks"), fits.select("stream_id", "k", F.col("_ks").alias("ks")))
+@query("top05_criterion_choice", _SWEEP + "SELECT stream_id, k_bic, k_aic FROM pk")
+def _(spark, sf):
+    return swept(spark, sf, fi.K_SWEEP).select("stream_id", "k_bic", "k_aic").distinct()
 
 
 @query(
-    "win12_plateau_start",
-    with_(EV_TYPE, _mean_variance_cte(_LADDER), _SWEEP)
-    + "SELECT stream_id, plateau_k, coalesce(k_bic >= plateau_k, false) AS in_plateau FROM pk",
+    "scl10_fit_yardstick",
+    _SWEEP + f"SELECT stream_id, k, {r('ks * sqrt(n_events)', 'ks_ratio', 3)}, ks < 2 / sqrt(n_events) AS fit_ok FROM fits",
+    digits=3,
 )
 def _(spark, sf):
-    return ladder_sweep(spark, sf).select("stream_id", "plateau_k", "in_plateau").distinct()
+    return swept(spark, sf, fi.K_SWEEP).select("stream_id", "k", "ks_ratio", "fit_ok")
 
 
-@query("top05_criterion_choice", with_(EV_TYPE, _mean_variance_cte(_LADDER), _SWEEP) + "SELECT stream_id, k_bic, k_aic FROM pk")
-def _(spark, sf):
-    return ladder_sweep(spark, sf).select("stream_id", "k_bic", "k_aic").distinct()
+_STEP_AND_LINEAR = with_(EV_TYPE, RANKED, decay_cte([power_law(EPS, C)]), _edges_cte(fi.K_SWEEP), recursive=True).rstrip() + ",\n" + ",\n".join(
+    f"by_{basis} AS MATERIALIZED ({with_(baseline_fit_cte(basis, fi.K_SWEEP), recursive=True)} SELECT stream_id, k, n, ({p}) * ln(n_events) - 2 * ll AS bic FROM best)"
+    for basis, p in (("step", "k + 1"), ("linear", "k + 2"))
+)
 
 
 @query(
-    "scl10_fit_yardstick",
-    with_(EV_TYPE, _mean_variance_cte(_LADDER), _SWEEP)
-    + f"""SELECT f.stream_id, f.k, {r('f.ks * sqrt(st.n_events)', 'ks_ratio')}, f.ks < 2 / sqrt(st.n_events) AS fit_ok
-    FROM fits f JOIN st USING (stream_id)""",
+    "fit08_step_against_linear",
+    _STEP_AND_LINEAR
+    + f""" SELECT stream_id, k, {r('a.n', 'n_step', 3)}, {r('a.bic', 'bic_step', 3)}, {r('b.n', 'n_linear', 3)}, {r('b.bic', 'bic_linear', 3)}
+    FROM by_step a JOIN by_linear b USING (stream_id, k)""",
+    digits=3,
 )
-def _(spark, sf):
-    return ladder_sweep(spark, sf).select("stream_id", "k", "ks_ratio", "fit_ok")
-
-
-@query("fit08_step_against_linear", digits=3)
 def _(spark, sf):
     events, streams = fr.type_streams(spark, sf)
     step = fi.fit_step(events, streams, power_law(EPS, C), fi.K_SWEEP)
@@ -562,33 +704,36 @@ def joint_shapes(spark, sf):
     )
 
 
-@query("fit09_joint_shape_grid", digits=3)
-def _(spark, sf):
-    return joint_shapes(spark, sf)
+# every shape with n free under the gate's baseline, and the distance of each fit
+_JOINT = with_(
+    EV_TYPE, RANKED, stepwise_decay_cte([power_law(e, c) for e, c in _SHAPES]), _SHAPE_VALUES, _EXACT_SHAPES, _edges_cte([fi.GATE_K]),
+    baseline_fit_cte("linear", [fi.GATE_K]), _distance_cte("linear"),
+    "joint AS MATERIALIZED (SELECT stream_id, eps, shapes.c, n, ll, ks, n_events FROM best JOIN dist USING (pid) JOIN shapes USING (kernel_idx))",
+    recursive=True,
+)
 
 
-_SHAPE_ROWS = """
-wins AS (SELECT stream_id, w AS eps, floor(horizon / w) AS nw FROM st, (VALUES (12.0::DOUBLE), (48.0::DOUBLE), (144.0::DOUBLE)) v(w)),
-hits AS (SELECT e.stream_id, w.eps, least(floor(e.t / w.eps), w.nw - 1) AS bin, count(*) AS c, any_value(w.nw) AS nw
-  FROM ev e JOIN wins w USING (stream_id) WHERE e.t <= w.nw * w.eps GROUP BY 1, 2, 3),
-fan AS (SELECT stream_id, eps, (sum(c * c) / any_value(nw) - pow(sum(c) / any_value(nw), 2)) / (sum(c) / any_value(nw)) AS f FROM hits GROUP BY 1, 2)"""
+@query(
+    "fit09_joint_shape_grid",
+    _JOINT + f"SELECT stream_id, eps, c, {r('n', 'n', 3)}, {r('ll', 'll', 3)}, {r('ks', 'ks', 3)}, n_events FROM joint",
+    digits=3,
+)
+def _(spark, sf):
+    return joint_shapes(spark, sf)
 
 
 @query(
     "top06_best_shape",
-    with_(EV, _SHAPE_ROWS)
-    + f"""SELECT stream_id, arg_min(eps, f) AS eps_ks, arg_max(eps, f) AS eps_ll, {r('min(f)', 'ks')}, {r('min(f / 2)', 'n_min')}, {r('max(f / 2)', 'n_max')}
-    FROM fan GROUP BY 1""",
+    _JOINT
+    + f"""SELECT stream_id, arg_min(eps, struct_pack(a := round(ks, 9), b := eps, d := c)) AS eps_ks, arg_min(c, struct_pack(a := round(ks, 9), b := eps, d := c)) AS c_ks,
+    arg_min(eps, struct_pack(a := -round(ll, 6), b := eps, d := c)) AS eps_ll, arg_min(c, struct_pack(a := -round(ll, 6), b := eps, d := c)) AS c_ll,
+    {r('min(ks)', 'ks', 3)}, {r('min(n)', 'n_min', 3)}, {r('max(n)', 'n_max', 3)}, min(ks) * sqrt(any_value(n_events)) < 2 AS good_fit FROM joint GROUP BY 1""",
+    digits=3,
 )
 def _(spark, sf):
-    events, streams = fr.user_streams(spark, sf)
-    # the choice rules on values that SQL can reproduce: window sizes stand in for shapes
-    rows = fano_profile(events, streams, [12.0, 48.0, 144.0]).join(streams.select("stream_id", "n_events"), "stream_id")
-    fits = rows.select(
-        "stream_id", F.col("window_size").alias("eps"), F.lit(0.0).alias("c"), (F.col("fano") / 2).alias("n"),
-        F.col("fano").alias("ll"), F.col("fano").alias("ks"), "n_events",
+    return ga.best_shape(joint_shapes(spark, sf)).select(
+        "stream_id", "eps_ks", "c_ks", "eps_ll", "c_ll", "ks", "n_min", "n_max", "good_fit"
     )
-    return ga.best_shape(fits).select("stream_id", "eps_ks", "eps_ll", "ks", "n_min", "n_max")
 
 
 _SLICED = """

@@ -120,6 +120,24 @@ cc AS MATERIALIZED (SELECT rk.stream_id, kern.kernel_idx, sum(a / beta * (1 - ex
     )
 
 
+# the same sums for long streams: one event after another, every component decayed by the gap
+def stepwise_decay_cte(kernels: list[Kernel]) -> str:
+    return (
+        kernel_values(kernels)
+        + """,
+rkm AS MATERIALIZED (SELECT stream_id, event_id, rn, t, gap FROM rk),
+kl AS MATERIALIZED (SELECT kernel_idx, list(a ORDER BY comp) AS a, list(beta ORDER BY comp) AS b FROM kern GROUP BY 1),
+acc AS (SELECT stream_id, rn, kernel_idx, list_transform(b, lambda x: 0.0::DOUBLE) AS v FROM rkm, kl WHERE rn = 1
+  UNION ALL
+  SELECT e.stream_id, e.rn, p.kernel_idx, list_transform(list_zip(p.v, kl.b), lambda x: (x[1] + 1) * exp(-x[2] * e.gap))
+  FROM acc p JOIN rkm e ON e.stream_id = p.stream_id AND e.rn = p.rn + 1 JOIN kl ON kl.kernel_idx = p.kernel_idx),
+s AS MATERIALIZED (SELECT rkm.stream_id, rkm.event_id, rkm.rn, rkm.t, acc.kernel_idx, list_inner_product(acc.v, kl.a) AS s
+  FROM acc JOIN rkm USING (stream_id, rn) JOIN kl USING (kernel_idx)),
+cc AS MATERIALIZED (SELECT rkm.stream_id, kern.kernel_idx, sum(a / beta * (1 - exp(-beta * (st.horizon - rkm.t)))) AS cc
+  FROM rkm JOIN st USING (stream_id) CROSS JOIN kern GROUP BY 1, 2)"""
+    )
+
+
 # constant-baseline fit: mu follows from n because expected and observed counts agree at the optimum,
 # and the derivative in n falls, so 60 halvings find its root
 FIT = """
