@@ -1,18 +1,12 @@
-"""Line deduplication by edit distance: a segment-partition join of short lines, a prefix-gram join of long ones.
+"""Line deduplication by edit distance: a segment-partition join.
 
 Two lines are near copies if their edit distance is at most the threshold of the shorter one (``threshold``:
-0 below 10 characters, 1 below 20, 2 below 60, a twentieth of the length from there on). A line of length ``l`` with
-at most two edits is split into threshold-plus-one even segments; a line within the threshold keeps one of them whole,
-at a place and length shift that the threshold bounds. Lines put their segments into an index by (length, segment,
-content) and probe it with the few substrings that those bounds allow for each shorter length.
+0 below 10 characters, 1 below 20, ``MAX_EDITS`` from there on, whatever the length). A line of length ``l`` is split
+into threshold-plus-one even segments; a line within the threshold keeps one of them whole, at a place and length
+shift that the threshold bounds. Lines put their segments into an index by (length, segment, content) and probe
+it with the few substrings that those bounds allow for each shorter length. Cells with the same lines are one cell.
 
-From ``GRAMS_FROM`` characters on a line sends its rarest grams of ``GRAM`` characters, so many that more edits than its
-threshold are needed to destroy them all. Of two lines within the threshold, the one whose last sent gram comes first in
-the order of rarity has a sent gram that the other kept, and therefore sent too. Any one order serves: it is that of a
-table of ``2 ** SKETCH_BITS`` counts over all lines, then of hashes. Grams meet within classes of the line's length and of
-their place in it; near the border of a class they are sent to both sides. Cells with the same lines are one cell.
-
-Lines that meet are verified by a count of pieces that both must have, and by a bit-parallel edit distance.
+Lines that meet are verified by a banded bit-parallel edit distance.
 
 Exact copies are one line throughout, known by a 128-bit hash. The index is met by hashes alone, so that
 line texts travel only for lines that met another one. Inside a cell a breadth-first walk links each line once,
@@ -27,10 +21,7 @@ a null id comes before all others; columns other than id and text pass through `
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,23 +35,16 @@ from ripplework.session import checkpointed
 _LINE = "doc_id long, row binary, line_no int, key binary"
 _ARROW_LINE = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("line_no", pa.int32()), ("key", pa.binary())])
 _ARROW_CELL = pa.schema([("cell", pa.int64()), ("line", pa.int64())])
-_ARROW_SKETCH = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 _ARROW_TEXT = pa.schema([("line", pa.int64()), ("key", pa.binary()), ("content", pa.string())])
 _ARROW_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _ROW_BATCH = 1 << 18
-SHARE = 20  # one edit for so many characters
-GRAMS_FROM = 3 * SHARE
-GRAM = 12
-SKETCH_BITS = 20
-_SKETCH_PARTS = 64
-_GRAM_BATCH = 1 << 18
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_CLASS_RATIO = 1.5
+#: more edits cost the cube of their number in probes; this is the largest that fits the limits in README.md
+MAX_EDITS = 2
 
 
 def threshold(length: int) -> int:
     """Edits that a line of this many characters may differ by."""
-    return 0 if length < 10 else 1 if length < 20 else max(2, length // SHARE)
+    return 0 if length < 10 else 1 if length < 20 else MAX_EDITS
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -117,8 +101,6 @@ def within(a: str, b: str, limit: int) -> bool:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return max(len(a), len(b)) <= limit
-    if limit > 3:
-        return _share_pieces(a, b, limit) and _distance(a, b) <= limit
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << (i + limit)
@@ -137,35 +119,6 @@ def within(a: str, b: str, limit: int) -> bool:
     return bool(levels[limit] >> (len(a) - len(b) + limit) & 1)
 
 
-def _share_pieces(a: str, b: str, limit: int) -> bool:
-    """May the distance be at most ``limit``: then all but so many pieces of ``a`` are in ``b``, shifted by no more."""
-    missing = 0
-    for start, size in segments(len(a), 2 * limit + 2):
-        if b.find(a[start : start + size], max(0, start - limit), start + size + limit) < 0:
-            missing += 1
-            if missing > limit:
-                return False
-    return True
-
-
-def _distance(a: str, b: str) -> int:
-    """Edit distance, a column of the table in one word of ``len(a)`` bits."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, top, far = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
-    up, down = full, 0
-    for c in b:
-        equal = where.get(c, 0)
-        across = (((equal & up) + up) ^ up) | equal
-        more, less = (down | ~(across | up)) & full, up & across
-        far += bool(more & top) - bool(less & top)
-        more = more << 1 | 1
-        equal |= down
-        up, down = (less << 1 | ~(equal | more)) & full, more & equal & full
-    return far
-
-
 def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(n, line) for n, line in enumerate((text or "").split("\n")) if line and not line.isspace()]
 
@@ -201,103 +154,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), _row_key(), "text").mapInArrow(_line_rows, _LINE)
 
 
-def _grams(lines: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[str, int, int]]]]:
-    """Hashes of grams, and for each of some long lines where those of its places begin and end; many lines at a time."""
-    held, size = [], 0
-    for n, line in enumerate(lines):
-        held.append(line)
-        size += len(line)
-        if size < _GRAM_BATCH and n < len(lines) - 1:
-            continue
-        codes = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        two = codes[:-1] * _MIX + codes[1:]
-        four = two[:-2] * _MIX**2 + two[2:]
-        eight = four[:-4] * _MIX**4 + four[4:]
-        h = eight[:-4] * _MIX**4 + four[8:]  # GRAM characters
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-        ends = np.cumsum([len(x) for x in held]).tolist()
-        yield h, [(x, end - len(x), end - GRAM + 1) for x, end in zip(held, ends, strict=True)]
-        held, size = [], 0
-
-
-def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the grams of long lines by the low bits of their hashes, in parts."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in batches:
-        for hashes, places in _grams([line for text in batch.column(0) for _, line in _lines(text.as_py()) if len(line) >= GRAMS_FROM]):
-            slots = (hashes & np.uint64(len(counts) - 1)).astype(np.int64)
-            counts += np.bincount(np.concatenate([slots[start:end] for _, start, end in places]), minlength=len(counts))
-    if counts.any():
-        parts = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, _SKETCH_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=_ARROW_SKETCH)
-
-
-def _sketch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(zlib.decompress(packed), np.int64)
-            sums[part] = sums[part] + counts if part in sums else counts
-    packed = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(packed, pa.binary())], schema=_ARROW_SKETCH)
-
-
-def _sketch(texts: DataFrame) -> np.ndarray:
-    """How often grams occur: ``2 ** SKETCH_BITS`` counts, whatever the corpus."""
-    parts = texts.mapInArrow(_sketch_rows, "part int, counts binary").repartition(_SKETCH_PARTS, "part")
-    counts = np.zeros((_SKETCH_PARTS, (1 << SKETCH_BITS) // _SKETCH_PARTS), np.uint32)
-    for r in parts.mapInArrow(_sketch_sums, "part int, counts binary").collect():
-        counts[r["part"]] = np.minimum(np.frombuffer(zlib.decompress(r["counts"]), np.int64), (1 << 24) - 1)
-    return counts.ravel()
-
-
-def sent_grams(order: np.ndarray, length: int) -> np.ndarray:
-    """Places of the first grams of a line in an order that take more edits than its threshold to destroy."""
-    limit = threshold(length)
-    ranked = np.sort(order)
-    n = 2 * limit + 1
-    while n < len(order):
-        at = np.flatnonzero(order <= ranked[n - 1])  # with all that are equal
-        edits, end = 0, -1
-        for place in at.tolist():
-            if place > end:
-                edits, end = edits + 1, place + GRAM - 1
-        if edits > limit:
-            return at
-        n += max(1, n // 8)
-    return np.arange(len(order))
-
-
-@lru_cache(1 << 16)
-def _classes_of(length: int) -> list[tuple[int, int]]:
-    """(class, width of its places) of a line; two if a line within the threshold may be in the next class."""
-    name = int(math.log(length / GRAMS_FROM) / math.log(_CLASS_RATIO) + 1e-9)
-    found = [(name, int(GRAMS_FROM * _CLASS_RATIO**name / 2))]
-    reach = length + length // SHARE + 1
-    above = int(math.log(reach / GRAMS_FROM) / math.log(_CLASS_RATIO) + 1e-9)
-    if above != name:
-        found.append((above, int(GRAMS_FROM * _CLASS_RATIO**above / 2)))
-    return found
-
-
-def gram_cells(lines: list[str], counts: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
-    """Each of some long lines and the cells of its sent grams."""
-    for hashes, places in _grams(lines):
-        orders = counts[(hashes & np.uint64(len(counts) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24)
-        for line, start, end in places:
-            at = sent_grams(orders[start:end], len(line))
-            grams, out = hashes[start:end][at], []
-            for name, width in _classes_of(len(line)):
-                block, last = at // width, (at + threshold(len(line))) // width
-                both = last != block
-                for some, where in ((grams, block), (grams[both], last[both])):
-                    out.append(some ^ (where << 8 | name).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD))
-            yield line, np.concatenate(out)
-
-
-def _cell_rows(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index and probe entries; the lowest bit of a line's number tells whether the entry is indexed."""
     hash_of, known = xxhash.xxh64_intdigest, _Probes()
 
@@ -309,7 +166,7 @@ def _cell_rows(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterato
         cells: list[int] = []
         lines: list[int] = []
         for line in distinct:
-            if not threshold(len(line)) or len(line) >= GRAMS_FROM + 2:  # no line within two edits of these is short
+            if not threshold(len(line)):
                 continue
             name = _short(_key(line))
             own = set(segments(len(line), threshold(len(line)) + 1))
@@ -320,18 +177,6 @@ def _cell_rows(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterato
                 yield emit(np.array(cells, np.uint64), np.array(lines, np.int64))
                 cells, lines = [], []
         yield emit(np.array(cells, np.uint64), np.array(lines, np.int64))
-        found: list[np.ndarray] = []
-        names: list[int] = []
-        waiting = 0
-        for line, of_line in gram_cells([x for x in distinct if len(x) >= GRAMS_FROM], counts):
-            found.append(of_line)
-            names.append(_short(_key(line)) | 1)
-            waiting += len(of_line)
-            if waiting >= _ROW_BATCH:
-                yield emit(np.concatenate(found), np.repeat(np.array(names, np.int64), [len(x) for x in found]))
-                found, names, waiting = [], [], 0
-        if found:
-            yield emit(np.concatenate(found), np.repeat(np.array(names, np.int64), [len(x) for x in found]))
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple]:
@@ -412,8 +257,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     """``a, b``: keys of lines that are linked, joining all near copies among the lines of ``docs(text)``."""
     spread = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("text")
-    counts = docs.sparkSession.sparkContext.broadcast(_sketch(texts))  # 4 MB
-    entries = texts.mapInArrow(lambda batches: _cell_rows(batches, counts.value), "cell long, line long").repartition(spread, "cell").sortWithinPartitions("cell", "line")
+    entries = texts.mapInArrow(_cell_rows, "cell long, line long").repartition(spread, "cell").sortWithinPartitions("cell", "line")
     met = checkpointed(entries.mapInArrow(_met, "cell long, line long").distinct())
     wanted = met.select("line").distinct()
     known = texts.mapInArrow(_text_rows, "line long, key binary, content string").join(wanted, "line")

@@ -211,21 +211,16 @@ def long_lines(rng, n):
 def test_long_lines_within_the_threshold_meet():
     rng = random.Random(8)
     met = 0
-    for counts in (np.zeros(1 << 10, np.uint32), np.random.default_rng(2).integers(0, 50, 1 << 10).astype(np.uint32)):
-        for _ in range(60):
-            lines = sorted(long_lines(rng, 1), key=len)
-            cells = dict(ld.gram_cells([x for x in lines if len(x) >= ld.GRAMS_FROM], counts))
-            for j, b in enumerate(lines):
-                for a in lines[:j]:
-                    d, t = distance(a, b), ld.threshold(len(a))
-                    assert ld.within(a, b, t) == (d <= t) and ld.within(a, b, 9) == (d <= 9), (a, b)
-                    if len(a) >= ld.GRAMS_FROM and d <= t:
-                        met += 1
-                        assert np.isin(cells[a], cells[b]).any(), (a, b)
-                    elif ld.GRAMS_FROM - 3 < len(a) < ld.GRAMS_FROM and d <= t:
-                        own = {(len(a), i, a[s : s + n]) for i, (s, n) in enumerate(ld.segments(len(a), t + 1))}
-                        assert len(b) < ld.GRAMS_FROM + 2 or len(b) - len(a) > t
-                        assert own & {(n, i, b[s : s + z]) for n, i, s, z in ld.probes(len(b))}
+    for _ in range(120):
+        lines = sorted(long_lines(rng, 1), key=len)
+        for j, b in enumerate(lines):
+            for a in lines[:j]:
+                d, t = distance(a, b), ld.threshold(len(a))
+                assert ld.within(a, b, t) == (d <= t) and ld.within(a, b, 9) == (d <= 9), (a, b)
+                if d <= t:
+                    met += 1
+                    own = {(len(a), i, a[s : s + n]) for i, (s, n) in enumerate(ld.segments(len(a), t + 1))}
+                    assert own & {(n, i, b[s : s + z]) for n, i, s, z in ld.probes(len(b))}
     assert met > 50
 
 
@@ -235,7 +230,7 @@ def test_classes_of_long_lines_equal_brute_force(spark):
     df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string").repartition(3)
     near = [(a, b) for a in range(len(lines)) for b in range(a) if abs(len(lines[a]) - len(lines[b])) <= 40 and distance(lines[a], lines[b]) <= ld.threshold(min(len(lines[a]), len(lines[b])))]
     want = roots(len(lines), near)
-    assert any(distance(lines[a], lines[b]) > 2 for a, b in near)
+    assert len(near) > 20
     assert {r["doc_id"]: r["first_doc_id"] for r in ld.classes(df).collect()} == dict(enumerate(want))
 
 
