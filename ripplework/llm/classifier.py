@@ -8,10 +8,11 @@ are then calibrated on labelled documents kept apart, and a logistic combination
 views scores every document.
 
 Models are fitted on the driver on a bounded sample, ``N_LABELLED`` labelled documents chosen by a hash of the id, and
-on the pseudo-labels. Those come from all unlabelled documents: their hashed features are written once, every round
-scores all of them with the weights of both views, and the surest ``HANDED_OVER`` of either kind and view
-(at most ``4 * HANDED_OVER`` documents a round) hand their features to the driver. Documents with equal features
-count once. Scoring is a map over all documents and whole texts.
+on the pseudo-labels. Those come from all unlabelled documents, with or without an id: the hashed features of all documents
+are written once, every round scores all of them with the weights of both views, sends id and doubt of the sure ones, leaves
+out labelled ones by a join on those narrow rows, and the surest ``HANDED_OVER`` of either kind and view (at most
+``4 * HANDED_OVER`` documents a round) hand their features to the driver. Documents with equal features
+count once. Scoring is a map over the features, or over all documents and whole texts.
 
 Defined cases: a document is bad if any of its label rows has ``quality`` 0 or ``toxic`` 1, and unlabelled if all
 are null; null metadata is a value of its own; a null text is empty; without labels of both kinds every
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplework.session import checkpointed
+from ripplework.session import checkpointed, scratch_path
 
 N_LABELLED = 4000
 DIMENSIONS = 1 << 18
@@ -107,10 +108,10 @@ def page_features(text: str | None, lang: str | None, source: str | None) -> np.
     return np.fromiter(sorted(slots), np.int32, len(slots))
 
 
-_SAMPLE = "bad int, key long, text_slots binary, page_slots binary"
-_ARROW_SAMPLE = pa.schema([("bad", pa.int32()), ("key", pa.int64()), ("text_slots", pa.binary()), ("page_slots", pa.binary())])
-_SURE = "list int, doubt double, key long, text_slots binary, page_slots binary"
-_ARROW_SURE = pa.schema([("list", pa.int32()), ("doubt", pa.float64()), *list(_ARROW_SAMPLE)[1:]])
+_FEATURES = "doc_id long, key long, text_slots binary, page_slots binary"
+_ARROW_FEATURES = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("text_slots", pa.binary()), ("page_slots", pa.binary())])
+_SURE = "list int, doubt double, key long, doc_id long"
+_ARROW_SURE = pa.schema([("list", pa.int32()), ("doubt", pa.float64()), ("key", pa.int64()), ("doc_id", pa.int64())])
 
 
 def _packed(slots: np.ndarray) -> bytes:
@@ -127,15 +128,38 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return (np.cumsum(steps, dtype=np.int64) - 1)[steps != 0xFFFF].astype(np.int32)
 
 
+def _dots(packed: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The scaled sums of the weights of packed slots, row by row."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    if not len(packed) or offsets[0] == offsets[-1]:
+        return np.zeros(len(packed))
+    steps = np.frombuffer(packed.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint16)
+    ends = (offsets - offsets[0]) // 2
+    so_far = np.r_[0, np.cumsum(steps, dtype=np.int64)]
+    row = np.repeat(np.arange(len(packed)), np.diff(ends))
+    slots = so_far[1:] - so_far[ends[:-1]][row] - 1
+    whole = steps != 0xFFFF
+    total = np.bincount(row[whole], weights[slots[whole]], len(packed))
+    return total / np.sqrt(np.maximum(1, np.bincount(row[whole], minlength=len(packed))))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label, slots of both views, and a hash of these slots."""
+    """Id, a hash of the slots of both views, and these slots."""
     words = _Words()
     for batch in batches:
         texts, langs, sources = batch.column(1), batch.column(2), batch.column(3)
         of_text = [_packed(text_features(t.as_py(), words)) for t in texts]
         of_page = [_packed(page_features(t.as_py(), x.as_py(), s.as_py())) for t, x, s in zip(texts, langs, sources, strict=True)]
         keys = np.array([xxhash.xxh3_64_intdigest(p + t) for t, p in zip(of_text, of_page, strict=True)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(of_text, pa.binary()), pa.array(of_page, pa.binary())], schema=_ARROW_SAMPLE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(of_text, pa.binary()), pa.array(of_page, pa.binary())], schema=_ARROW_FEATURES)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, text_slots, page_slots`` of every row of ``docs(doc_id, text, lang, source)``, written once."""
+    found = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(_features, _FEATURES)
+    path = scratch_path(docs.sparkSession, "features")
+    found.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
 class Rows:
@@ -226,59 +250,42 @@ class _Given:
 
 
 class _Table:
-    """All unlabelled rows of a table of features."""
+    """The unlabelled rows of a table of features: those whose id is not in ``known(doc_id)``."""
 
-    def __init__(self, features: DataFrame):
-        self.features, self.used = features, np.zeros(0, np.int64)
+    def __init__(self, features: DataFrame, known: DataFrame):
+        self.features, self.known, self.used = features, known, np.zeros(0, np.int64)
 
     def surest(self, fitted: list) -> list[tuple[list[list[np.ndarray]], np.ndarray]]:
         spark = self.features.sparkSession
-        shared = spark.sparkContext.broadcast(([(w.astype(np.float32), b, line) for w, b, line in fitted], set(self.used.tolist())))
-        found = checkpointed(self.features.mapInArrow(lambda batches: _sure_rows(batches, *shared.value), _SURE))
-        tops = []
-        for n in range(2 * len(fitted)):
-            once = found.filter(F.col("list") == n).groupBy("key").agg(F.min("doubt").alias("doubt"))
-            tops.append(once.orderBy("doubt", "key").limit(HANDED_OVER).withColumn("list", F.lit(n)))
-        wanted = F.broadcast(reduce(DataFrame.unionAll, tops).select("list", "key"))  # at most HANDED_OVER of each list
-        rows = found.join(wanted, ["list", "key"]).dropDuplicates(["list", "key"]).select("list", "doubt", "key", "text_slots", "page_slots").collect()
-        rows.sort(key=lambda r: (r["list"], r["doubt"], r["key"]))
+        shared = spark.sparkContext.broadcast((fitted, self.used))
+        sure = self.features.mapInArrow(lambda batches: _sure_rows(batches, *shared.value), _SURE)
+        sure = checkpointed(sure.join(self.known, "doc_id", "left_anti"))
+        once = sure.groupBy("list", "key").agg(F.min("doubt").alias("doubt"))
+        tops = [once.filter(F.col("list") == n).orderBy("doubt", "key").limit(HANDED_OVER) for n in range(2 * len(fitted))]
+        chosen = reduce(DataFrame.unionAll, tops).collect()  # at most HANDED_OVER of each list
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in {r["key"] for r in chosen}], "key long"))
+        rows = self.features.join(keys, "key").select("key", "text_slots", "page_slots").dropDuplicates(["key"]).collect()
+        slots = {r["key"]: (_unpacked(r["text_slots"]), _unpacked(r["page_slots"])) for r in rows}
         shared.destroy()
-        self.used = np.union1d(self.used, np.array([r["key"] for r in rows], np.int64))
+        self.used = np.union1d(self.used, np.array(list(slots), np.int64))
         out = []
         for v in range(len(fitted)):
-            mine = [r for r in rows if r["list"] // 2 == v]
-            out.append(([[_unpacked(r[f"{name}_slots"]) for r in mine] for name in ("text", "page")], np.array([1.0 - r["list"] % 2 for r in mine])))
+            mine = sorted((r["list"], r["doubt"], r["key"]) for r in chosen if r["list"] // 2 == v)
+            out.append(([[slots[key][view] for *_, key in mine] for view in (0, 1)], np.array([1.0 - n % 2 for n, *_ in mine])))
         return out
 
 
-def _sure_rows(batches: Iterator[pa.RecordBatch], fitted: list, used: set[int]) -> Iterator[pa.RecordBatch]:
-    """The rows of a task that each view is surest of: list 2 v of bad ones, 2 v + 1 of good ones, each key once."""
-    best: list[dict[int, tuple]] = [{} for _ in range(2 * len(fitted))]
-    worst = [1 - SURE] * len(best)
-
-    def cut(n: int) -> None:
-        kept = sorted(best[n].items(), key=lambda x: (x[1][0], x[0]))[:HANDED_OVER]
-        best[n] = dict(kept)
-        if len(kept) == HANDED_OVER:
-            worst[n] = kept[-1][1][0]
-
+def _sure_rows(batches: Iterator[pa.RecordBatch], fitted: list, used: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows that each view is sure of: list 2 v of bad ones, 2 v + 1 of good ones."""
     for batch in batches:
-        for key, *views in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if key in used:
-                continue
-            for v, (weights, b, line) in enumerate(fitted):
-                slots = _unpacked(views[v])
-                p = float(_sigmoid(line[0] + line[1] * (float(weights[slots].sum()) / math.sqrt(max(1, len(slots))) + b)))
-                for n, doubt in ((2 * v, 1 - p), (2 * v + 1, p)):
-                    if doubt <= worst[n]:
-                        best[n][key] = (doubt, *views)
-                        if len(best[n]) >= 2 * HANDED_OVER:
-                            cut(n)
-    for n in range(len(best)):
-        cut(n)
-        rows = [(n, doubt, key, *views) for key, (doubt, *views) in best[n].items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), _ARROW_SURE.types, strict=True)], schema=_ARROW_SURE)
+        key = batch.column(1).to_numpy()
+        fresh = ~np.isin(key, used)
+        for v, (weights, b, line) in enumerate(fitted):
+            p = _sigmoid(line[0] + line[1] * (_dots(batch.column(2 + v), weights) + b))
+            for n, doubt in ((2 * v, 1 - p), (2 * v + 1, p)):
+                at = np.flatnonzero(fresh & (doubt <= 1 - SURE))
+                ids = batch.column(0).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(doubt[at]), pa.array(key[at]), ids], schema=_ARROW_SURE)
 
 
 def co_train(views: list[Rows], bad: np.ndarray, rounds: int = ROUNDS, pool: _Given | _Table | None = None) -> dict | None:
@@ -322,27 +329,26 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id").join(one, "doc_id", "left").select("doc_id", F.coalesce("bad", F.lit(-1)).alias("bad"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, n_labelled: int = N_LABELLED, features: DataFrame | None = None) -> dict | None:
     """The model, from a bounded sample of the labelled and from all unlabelled ``docs(doc_id, text, lang, source)``.
 
-    ``labels`` has ``doc_id, quality, toxic``; rows that share a labelled id give one row to the sample.
+    ``labels`` has ``doc_id, quality, toxic``; rows that share a labelled id give one row to the sample. ``features`` may
+    hold ``featured(docs)`` if it is there already.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").filter(F.col("doc_id").isNotNull())
-    marked = labelled(docs, labels).distinct()
-    chosen = marked.filter("bad >= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_labelled).collect()
+    features = featured(docs) if features is None else features
+    marked = checkpointed(labelled(features.filter(F.col("doc_id").isNotNull()), labels).distinct().filter("bad >= 0"))
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_labelled).collect()
     if not chosen:
         return None
     sample = F.broadcast(spark.createDataFrame(chosen, "doc_id long, bad int"))  # at most n_labelled rows
-    texts = docs.join(sample, "doc_id").groupBy("doc_id", "bad").agg(F.min(F.struct("text", "lang", "source")).alias("one"))
-    rows = texts.select("bad", "one.text", "one.lang", "one.source").mapInArrow(_features, _SAMPLE).collect()
+    one = F.min(F.struct("key", "text_slots", "page_slots"))
+    rows = features.join(sample, "doc_id").groupBy("doc_id", "bad").agg(one.alias("one")).select("bad", "one.*").collect()
     rows.sort(key=lambda r: (r["key"], r["bad"]))  # whatever the partitions
     bad = np.array([r["bad"] for r in rows], np.int32)
     views = [Rows([_unpacked(r[f"{name}_slots"]) for r in rows]) for name in ("text", "page")]
     del rows
-    known = marked.filter("bad >= 0").select("doc_id")
-    unlabelled = docs.join(known, "doc_id", "left_anti").select(F.lit(-1).alias("bad"), "text", "lang", "source")
-    return co_train(views, bad, pool=_Table(checkpointed(unlabelled.mapInArrow(_features, _SAMPLE))))
+    return co_train(views, bad, pool=_Table(features, marked.select("doc_id")))
 
 
 class _Scorer:
@@ -387,6 +393,24 @@ def score(docs: DataFrame, model: dict | None, accept_from: float = ACCEPT_FROM)
     return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(run, _SCORES)
 
 
+def score_features(features: DataFrame, model: dict | None, accept_from: float = ACCEPT_FROM) -> DataFrame:
+    """The same as ``score`` from the rows of ``featured``, without reading a text."""
+    shared = _share(features, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            n = len(batch)
+            good, views = np.full(n, 0.5), np.full((n, 2), 0.5)
+            if model is not None:
+                fitted = enumerate(model["views"])
+                logits = np.stack([line[0] + line[1] * (_dots(batch.column(2 + v), w) + b) for v, (w, b, line) in fitted], axis=1)
+                good, views = 1 - _sigmoid(model["mix"][0] + logits @ model["mix"][1:]), 1 - _sigmoid(logits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (good, views[:, 0], views[:, 1], good >= accept_from))], schema=_ARROW_SCORES)
+
+    return features.select("doc_id", "key", "text_slots", "page_slots").mapInArrow(run, _SCORES)
+
+
 def accepted(docs: DataFrame, model: dict | None, accept_from: float = ACCEPT_FROM) -> DataFrame:
     """The rows of ``docs`` that the model accepts, with all their columns."""
     shared = _share(docs, model)

@@ -95,7 +95,8 @@ def op6(spark, sf_dir):
 @query("op10_quality_classifier")
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return cl.score(docs, cl.learn(docs, table(spark, sf_dir, "labels")))
+    features = cl.featured(docs)
+    return cl.score_features(features, cl.learn(docs, table(spark, sf_dir, "labels"), features=features))
 
 
 def _rake_sql(rounds: int) -> str:

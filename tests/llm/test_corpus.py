@@ -244,13 +244,14 @@ def test_every_unlabelled_document_may_be_handed_over(spark):
     rows = [(i, f"text {rng.random()} {rng.random()}", "en", "bad" if i % 2 else "good") for i in range(400)]
     rows += [(i, f"common {rng.random()} words {i}", "en", "unseen") for i in range(1000, 6000)]
     rows += [(i, f"rareword {word}", "en", "bad") for i, word in enumerate(["once", "twice", "thrice"], 7000)]
+    rows += [(None, "rareword without an id", "en", "bad")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    table = cl._Table(docs.filter("doc_id >= 1000").selectExpr("-1 as bad", "text", "lang", "source").mapInArrow(cl._features, cl._SAMPLE))
+    table = cl._Table(cl.featured(docs), docs.filter("doc_id < 1000").select("doc_id"))
     weights = [np.zeros(cl.DIMENSIONS), np.zeros(cl.DIMENSIONS)]
     weights[1][cl._slot("source bad")] = 100.0
     fitted = [(w, 0.0, np.array([0.0, 1.0])) for w in weights]
     handed = table.surest(fitted)
-    assert [len(y) for _, y in handed] == [0, 3] and handed[1][1].tolist() == [1.0] * 3
+    assert [len(y) for _, y in handed] == [0, 4] and handed[1][1].tolist() == [1.0] * 4
     assert all(cl._slot("rareword") in slots for slots in handed[1][0][0])
     assert [len(y) for _, y in table.surest(fitted)] == [0, 0]
 
@@ -262,12 +263,30 @@ def test_classifier_of_odd_rows(docs, corpus, labels, no_docs):
         kept = cl.accepted(docs, model)
         assert kept.columns == docs.columns
         assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in rows if r["accepted"])
+        again = cl.score_features(cl.featured(docs), model).collect()
+        key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["score"])
+        for a, b in zip(sorted(rows, key=key), sorted(again, key=key)):
+            assert a["doc_id"] == b["doc_id"] and abs(a["score"] - b["score"]) < 1e-4 and abs(a["text_score"] - b["text_score"]) < 1e-4
     assert cl.learn(docs, labels.limit(0)) is None
     assert cl.score(no_docs, None).count() == 0
     marked = {r["doc_id"]: r["bad"] for r in cl.labelled(docs, labels).collect() if r["doc_id"] is not None}
     assert marked[12] == 1 and marked[3003] == -1
 
 
+def test_scores_equal_a_plain_loop(docs, corpus, labels):
+    model = cl.learn(docs, labels)
+    words, plain = cl._Words(), Counter()
+    for doc_id, text, lang, source, _ in corpus:
+        logits = []
+        for (weights, b, line), slots in zip(model["views"], (cl.text_features(text, words).tolist(), cl.page_features(text, lang, source).tolist())):
+            logits.append(line[0] + line[1] * (sum(weights[i] for i in slots) / max(1, len(slots)) ** 0.5 + b))
+        score = 1 - 1 / (1 + np.exp(-(model["mix"][0] + model["mix"][1] * logits[0] + model["mix"][2] * logits[1])))
+        plain[doc_id, round(float(score), 3)] += 1
+    got = Counter((r["doc_id"], round(r["score"], 3)) for r in cl.score_features(cl.featured(docs), model).collect())
+    off = sum((got - plain).values())
+    assert off <= 2  # a score on the edge of a rounding step
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs, labels, no_docs, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     for start in (docs, no_docs):
