@@ -40,6 +40,8 @@ _ARROW_LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 _ROW_BATCH = 1 << 18
 #: more edits cost the cube of their number in probes; this is the largest that fits the limits in README.md
 MAX_EDITS = 2
+#: bits of the map of lines that met another one; texts of other lines don't travel
+MARK_BITS = 26
 
 
 def threshold(length: int) -> int:
@@ -215,11 +217,28 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(members[group][keep].view(np.int64)), pa.array(name[keep])], schema=_ARROW_CELL)
 
 
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marks(lines: DataFrame) -> np.ndarray:
+    """A bitmap of ``2 ** MARK_BITS`` bits, whatever the corpus, with a bit for each of ``lines(line)``."""
+    place = F.shiftright("line", 1).bitwiseAND((1 << MARK_BITS) - 1)
+    pages = lines.groupBy(F.shiftright(place, 15).alias("page")).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits"))
+    marks = np.zeros((1 << MARK_BITS - 15, 1 << 12), np.uint8)
+    for r in pages.collect():
+        marks[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return marks.ravel()
+
+
+def _text_rows(batches: Iterator[pa.RecordBatch], marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Texts of the lines whose bit is marked: those that met another line, and few others."""
+    mask = (1 << MARK_BITS) - 1
     for batch in batches:
-        found = {line for text in batch.column(0) for _, line in _lines(text.as_py()) if threshold(len(line))}
+        found = list({line for text in batch.column(0) for _, line in _lines(text.as_py()) if threshold(len(line))})
         keys = [_key(line) for line in found]
-        yield pa.RecordBatch.from_arrays([pa.array(map(_short, keys), pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.string())], schema=_ARROW_TEXT)
+        names = np.fromiter(map(_short, keys), np.int64, len(keys))
+        place = names >> 1 & mask
+        at = np.flatnonzero(marks[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[at]), pa.array([keys[i] for i in at], pa.binary()), pa.array([found[i] for i in at], pa.string())], schema=_ARROW_TEXT
+        )
 
 
 def cell_links(keys: list[bytes], lines: list[str]) -> list[tuple[bytes, bytes]]:
@@ -260,7 +279,9 @@ def near_links(docs: DataFrame) -> DataFrame:
     entries = texts.mapInArrow(_cell_rows, "cell long, line long").repartition(spread, "cell").sortWithinPartitions("cell", "line")
     met = checkpointed(entries.mapInArrow(_met, "cell long, line long").distinct())
     wanted = met.select("line").distinct()
-    known = texts.mapInArrow(_text_rows, "line long, key binary, content string").join(wanted, "line")
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))  # 2 ** MARK_BITS bits
+    sent = texts.mapInArrow(lambda batches: _text_rows(batches, marks.value), "line long, key binary, content string")
+    known = sent.join(wanted, "line")
     verified = met.join(known, "line").select("cell", "key", "content")
     laid = verified.repartition(spread, "cell").sortWithinPartitions("cell", "key")
     return laid.mapInArrow(_link_rows, "a binary, b binary").distinct()
