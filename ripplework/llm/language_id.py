@@ -42,7 +42,8 @@ _OUT = "doc_id long, lang_pred string, score double, rejected boolean"
 
 def words_only(text: str | None) -> bytes:
     """The words of a text in lower case with single spaces; empty if it has no letter."""
-    return _NOT_WORD.sub(" ", (text or "").lower()).strip().encode("utf-8", "ignore")
+    words = _NOT_WORD.sub(" ", (text or "").lower()).strip()
+    return words.encode("utf-8", "ignore") if any(map(str.isalpha, words)) else b""  # signs such as ½ are word characters, not letters
 
 
 def held_out(doc_id: F.Column) -> F.Column:

@@ -116,3 +116,7 @@ def test_scan_of_odd_rows(spark, docs, no_docs):
     assert ls.scan_documents(no_docs).count() == 0
     row = spark.createDataFrame([(None, "İ Released under the MIT License."), (1, None)], "doc_id long, text string")
     assert [tuple(r)[:2] for r in ls.scan_documents(row).collect()] == [(None, "MIT (statement)")]
+
+
+def test_word_characters_that_are_no_letters_are_no_words():
+    assert [li.words_only(t) for t in ("²", "① ½", "12 ½!", "½ a")][:3] == [b"", b"", b""] and li.words_only("½ a") != b""
