@@ -6,12 +6,13 @@ dimension, round after round. What is scaled is the cell table alone; its sums a
 joined back by value, so a value that holds most cells is never gathered. Targets are for ``keep`` of all tokens, and
 after every round a cell is cut to the tokens it has, which the next round makes up for in other cells. A
 document's sampling probability is its cell's weight over the cell's tokens, so expected token shares meet the
-targets as far as the corpus can. A document is drawn if a hash of its id falls below its probability. Everything is
-DataFrame functions.
+targets as far as the corpus can. A document is drawn if a hash of its id and text falls below its probability.
+Everything is DataFrame functions.
 
 Defined cases: a null dimension is the value ``(none)``; a null text has no tokens; cells without tokens get
 the probability ``keep``, cells of values whose target is absent or 0 get 0; rows with
-the same id share one draw, a null id draws as the empty one; an empty table gives an empty result.
+the same id and text share one draw, other rows draw for themselves, with or without an id; a null id counts as the
+empty one and a null text as the empty text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,11 +45,12 @@ def topic(text: Column) -> Column:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, lang, topic, tokens`` of every row."""
+    """``doc_id, source, lang, topic, tokens, text_md5`` of every row."""
     text = F.col("text")
     return docs.select(
         F.col("doc_id"), F.coalesce("source", F.lit(NONE)).alias("source"), F.coalesce("lang", F.lit(NONE)).alias("lang"),
         topic(text).alias("topic"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
+        text_md5(text).alias("text_md5"),
     )
 
 
@@ -90,9 +92,13 @@ def probabilities(weighted: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS,
     return weighted.select(*dimensions, chance.alias("probability"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number from 0 to 1 that depends on the id alone."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+def text_md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def draw(doc_id: Column, text_md5: Column, seed: str = SEED) -> Column:
+    """A number from 0 to 1 that depends on the id and the text alone."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text_md5, F.lit(f":{seed}")).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -104,8 +110,9 @@ def plan_mix(rows: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES,
 
 
 def sample(rows: DataFrame, mix: DataFrame, seed: str = SEED) -> DataFrame:
-    """``rows`` with ``probability`` and ``sampled``."""
-    return rows.join(mix, list(DIMENSIONS)).withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
+    """``rows`` with ``probability`` and ``sampled``; rows that carry no ``text_md5`` are drawn by their id."""
+    of_text = F.col("text_md5") if "text_md5" in rows.columns else F.lit("")
+    return rows.join(mix, list(DIMENSIONS)).withColumn("sampled", draw(F.col("doc_id"), of_text, seed) < F.col("probability"))
 
 
 def mixed(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, seed: str = SEED) -> DataFrame:
@@ -116,4 +123,4 @@ def mixed(docs: DataFrame, temperatures: Mapping[str, float] = TEMPERATURES, see
         (F.coalesce(docs["source"], F.lit(NONE)) == F.col("cell_source_")) & (F.coalesce(docs["lang"], F.lit(NONE)) == F.col("cell_lang_"))
         & (topic(docs["text"]) == F.col("cell_topic_"))
     )
-    return docs.join(mix, same).filter(draw(docs["doc_id"], seed) < F.col("cell_probability_")).select(*[docs[c] for c in docs.columns])
+    return docs.join(mix, same).filter(draw(docs["doc_id"], text_md5(docs["text"]), seed) < F.col("cell_probability_")).select(*[docs[c] for c in docs.columns])

@@ -123,7 +123,8 @@ OP7_SQL = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
   CASE WHEN contains(lower(text), 'licens') OR contains(lower(text), 'copyright') THEN 'legal' WHEN contains(text, '@') THEN 'contact'
   WHEN contains(text, '|') THEN 'tables' ELSE 'prose' END AS topic,
-  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens,
+  md5(coalesce(text, '')) AS text_md5 FROM documents),
 cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
 {_AIMS},
 c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS weight, aim_source, aim_lang, aim_topic
@@ -131,7 +132,7 @@ c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS weight, aim_so
 {_rake_sql(mx.ROUNDS)},
 p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE {mx.KEEP} END AS probability FROM raked)
 SELECT doc_id, source, lang, topic, tokens, round(probability, 6) AS probability,
-  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':{mx.SEED}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < probability AS sampled
+  CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_md5 || ':{mx.SEED}'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 < probability AS sampled
 FROM d JOIN p USING (source, lang, topic)
 """
 

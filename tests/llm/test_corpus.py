@@ -187,6 +187,19 @@ def test_mix_of_odd_rows(docs, corpus, no_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    words = "concat_ws(' ', transform(sequence(1, 20), i -> concat('w', id * i)))"
+    docs = spark.range(2000).selectExpr(
+        "if(id % 2 = 0, null, id) as doc_id", f"{words} as text", "'en' as lang", "'s' as source", "'clash' as text_md5"
+    )
+    kept = mx.mixed(docs).collect()
+    none = sum(r["doc_id"] is None for r in kept)
+    assert 540 < none < 660 and 540 < len(kept) - none < 660
+    twice = docs.filter("doc_id is null").limit(300)
+    copies = Counter(r["text"] for r in mx.mixed(twice.unionAll(twice)).collect())
+    assert set(copies.values()) == {2} and 140 < len(copies) < 220
+
+
 def test_expected_tokens_follow_the_tempered_shares(spark):
     rows = spark.range(4000).selectExpr(
         "id as doc_id", "if(id % 10 < 6, 'big', concat('s', id % 10)) as source", "if(id % 7 < 4, 'en', 'fr') as lang", "'prose' as topic", "id % 50 as tokens"
