@@ -1,23 +1,28 @@
 """License scan: winnowed fingerprints find candidates, banded alignment measures them.
 
 Templates are split into lower-case words. Hashes of ``SHINGLE`` consecutive words are winnowed (the least
-of every ``WINDOW`` in a row is kept), for templates into an inverted index from fingerprint to (template,
-place), for each document on the fly. Any ``SHINGLE + WINDOW - 1`` words that a document shares with a
-template give a common fingerprint. Places where hits agree up to the band, one hit for
-each ``HIT_WORDS`` words of the template, are candidates; there template
-and document are aligned word by word inside the band. A candidate is reported if the matched words
-cover at least ``min_coverage`` of the template, with the span from the first to the last matched word.
+of every ``WINDOW`` in a row is kept) for each document on the fly and looked up in an inverted index from fingerprint to
+(template, place). Templates below ``SHORT_WORDS`` words are indexed and probed by every pair of words instead. Places
+where enough hits agree up to the band are candidates; there the whole template is aligned to the document word by
+word inside the band. A candidate is reported if the matched words cover at least ``min_coverage`` of the template, with
+the span from the first to the last matched word.
+
+Nothing is lost up to the coverage: a copy of n words with at most e = n - ceil(min_coverage * n) words replaced, left out or
+put in keeps n - 1 - 2 e pairs, and (n - 4 e - 3) / 4 stretches of four words of its own, each of which has a winnowed
+fingerprint. So many hits are asked for, within e places. (Where the second number is not positive, which takes
+a coverage below 0.8, pairs are used for longer templates too; below a half no pair is sure.)
 
 The templates are a parameter and their index is as large as they are; it goes to the tasks with the code.
 Scanning is a map over whole texts.
 
-Defined cases: a null or empty text has no match; a template of fewer words than a shingle is one shingle of all
-its words; equal templates are reported under each of their names; overlapping reports of one template keep the
+Defined cases: a null or empty text has no match; a template of one word is looked up by that word;
+equal templates are reported under each of their names; overlapping reports of one template keep the
 better, then the earlier; repeated rows and null ids are reported like others.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -29,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 3
-WINDOW = 3
+WINDOW = 2
+SHORT_WORDS = 25
 MIN_COVERAGE = 0.8
-HIT_WORDS = 20
 _WORD = re.compile(r"\w+")
+_LOST = np.int32(-(1 << 20))
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _OUT = "doc_id long, license string, coverage double, n_matched int, n_template int, start_char long, end_char long"
 _ARROW = pa.schema(
@@ -102,58 +108,78 @@ def fingerprints(words: np.ndarray, shingle: int = SHINGLE, window: int = WINDOW
     return h[at], at
 
 
+def edits(n_words: int, min_coverage: float) -> int:
+    """How many of so many template words may be without a match."""
+    return n_words - math.ceil(min_coverage * n_words - 1e-9)
+
+
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, one table for each length of shingle in use."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], min_coverage: float = MIN_COVERAGE):
         known = _Codes()
+        self.min_coverage = min_coverage
         self.names = list(templates)
         self.words = [codes(templates[n], known) for n in self.names]
-        entries = []
+        self.needed = []  # hits that a copy of each template is sure to have
+        entries: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
+            n, e = len(words), edits(len(words), min_coverage)
+            stretches = -((4 * e + 3 - n) // 4)
+            pairs = n < SHORT_WORDS or stretches < 1
+            self.needed.append(max(1, n - 1 - 2 * e if pairs else stretches))
+            size = min(2 if pairs else SHINGLE, n)
             # every shingle is indexed: a document's window may keep another one than the template's
-            size = min(SHINGLE, len(words))
-            every, at = fingerprints(words, SHINGLE, 1) if size else fingerprints(words)
-            entries += [(int(h), t, int(p)) for h, p in zip(every, at, strict=True)]
-        entries.sort()
-        self.hashes = np.array([e[0] for e in entries], np.uint64)
-        self.places = [(e[1], e[2]) for e in entries]
-        self.shortest = min((len(w) for w in self.words), default=0)
+            every, at = fingerprints(words, size, 1)
+            entries[size] += [(int(h), t, int(p)) for h, p in zip(every, at, strict=True)]
+        self.tables = {}
+        for size, rows in entries.items():
+            if size:
+                rows.sort()
+                self.tables[size] = (np.array([r[0] for r in rows], np.uint64), [(r[1], r[2]) for r in rows])
 
     def hits(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Template -> (place in the document, place in the template) of common fingerprints."""
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for window in {WINDOW, 1} if len(words) < SHINGLE + WINDOW else {WINDOW}:
-            h, at = fingerprints(words, SHINGLE, window)
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        for size, (hashes, places) in self.tables.items():
+            if len(words) < size:
+                continue
+            h, at = fingerprints(words, size, WINDOW if size == SHINGLE else 1)
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             for i in np.flatnonzero(hi > lo):
                 for e in range(lo[i], hi[i]):
-                    t, p = self.places[e]
+                    t, p = places[e]
                     found[t].append((int(at[i]), p))
         return found
 
 
 def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """(matched words, first, last matched place) of the best local alignment with ``place - template place`` near ``shift``."""
+    """(matched words, first, last matched place) of the whole template at its best place, ``place - template place`` near ``shift``.
+
+    A match counts 2, a word of either side without one -1; words before and after cost nothing.
+    """
     n, width = len(template), 2 * band + 1
-    score = np.zeros((n + 1, width + 1), np.int32)  # column d stands for place i + shift - band + d
-    move = np.zeros((n + 1, width + 1), np.int8)
-    best = (0, 0, 0)
+    steps = np.arange(width)
+    score = np.full((n + 1, width + 1), _LOST, np.int32)  # column d of row i: words up to place i - 1 + shift - band + d are used
+    move = np.zeros((n + 1, width), np.int8)
+    at = shift - band - 1 + steps
+    score[0, :width][(at >= -1) & (at < len(words))] = 0
     for i in range(1, n + 1):
-        for d in range(width):
-            j = i - 1 + shift - band + d
-            if not 0 <= j < len(words):
-                continue
-            options = (
-                (0, 0), (score[i - 1, d] + (2 if template[i - 1] == words[j] else -1), 1),
-                (score[i - 1, d + 1] - 1, 2), (score[i, d - 1] - 1 if d else -1, 3),
-            )
-            score[i, d], move[i, d] = max(options, key=lambda o: o[0])
-            if score[i, d] > best[0]:
-                best = (int(score[i, d]), i, d)
-    _, i, d = best
+        at = at + 1
+        inside = (at >= 0) & (at < len(words))
+        gain = np.full(width, -1, np.int32)
+        gain[inside] += 3 * (words[at[inside]] == template[i - 1])
+        both = np.where(inside, score[i - 1, :width] + gain, _LOST)
+        left_out = np.where(inside | (at == -1), score[i - 1, 1:] - 1, _LOST)
+        best = np.maximum(both, left_out)
+        put_in = np.where(inside, np.maximum.accumulate(best + steps) - steps, best)
+        score[i, :width] = put_in
+        move[i] = np.where(both >= put_in, 1, np.where(left_out >= put_in, 2, 3))
+    i, d = n, int(score[n, :width].argmax())
+    if score[n, d] <= _LOST // 2:
+        return 0, -1, -1
     matched, first, last = 0, -1, -1
-    while i > 0 and score[i, d] > 0:
+    while i > 0:
         if move[i, d] == 1:
             j = i - 1 + shift - band + d
             if template[i - 1] == words[j]:
@@ -162,30 +188,26 @@ def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tup
             i -= 1
         elif move[i, d] == 2:
             i, d = i - 1, d + 1
-        elif move[i, d] == 3:
-            d -= 1
         else:
-            break
+            d -= 1
     return matched, first, last
 
 
-def scan(text: str | None, index: Index, known: _Codes, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, int, int, int, int]]:
+def scan(text: str | None, index: Index, known: _Codes) -> list[tuple[str, int, int, int, int]]:
     """(template, matched words, template words, start, end) of the reports of one whole text."""
     words = codes(text or "", known)
     found: list[tuple[int, int, int, int]] = []
     for t, hits in index.hits(words).items():
         template = index.words[t]
-        band = max(2, len(template) // 5)
+        if len(hits) < index.needed[t]:
+            continue
+        band = max(2, edits(len(template), index.min_coverage))
         reports = []
         shifts = np.sort(np.fromiter((p - q for p, q in hits), np.int64, len(hits)))
         near = np.searchsorted(shifts, shifts + band, "right") - np.searchsorted(shifts, shifts - band, "left")
-        done = None
-        for shift in shifts[near >= max(1, len(template) // HIT_WORDS)].tolist():
-            if done is not None and shift - done <= band // 2:
-                continue
-            done = shift
+        for shift in np.unique(shifts[near >= index.needed[t]]).tolist():
             matched, first, last = align(template, words, shift, band)
-            if matched >= min_coverage * len(template):
+            if matched >= index.min_coverage * len(template) - 1e-9:
                 reports.append((matched, first, last))
         kept: list[tuple[int, int, int]] = []
         for r in sorted(reports, key=lambda r: (-r[0], r[1], r[2])):
@@ -205,11 +227,11 @@ def scan_documents(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, mi
     """One row per report: ``doc_id, license, coverage, n_matched, n_template, start_char, end_char``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = Index(templates), _Codes()
+        index, known = Index(templates, min_coverage), _Codes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for name, n, size, start, end in scan(text.as_py(), index, known, min_coverage):
+                for name, n, size, start, end in scan(text.as_py(), index, known):
                     rows.append((doc_id, name, n / size, n, size, start, end))
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)

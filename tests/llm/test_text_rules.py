@@ -1,5 +1,6 @@
 """Rule ledger, language identification and license scan."""
 
+import random
 import re
 from collections import Counter
 from pathlib import Path
@@ -111,6 +112,33 @@ def test_scan_finds_what_alignment_everywhere_finds():
     assert texts[3][start:end] == "Released under the MIT  license"
 
 
+def test_scan_loses_no_copy_with_few_edits():
+    """Edits spread evenly or at random, as many as the coverage allows: every copy is reported."""
+    index, known = ls.Index(ls.TEMPLATES), ls._Codes()
+    assert [r[:2] for r in ls.scan("Released under an MIT License", index, known)] == [("MIT (statement)", 4)]
+    assert [r[:2] for r in ls.scan("under the MIT License", index, known)] == [("MIT (statement)", 4)]
+    rng = random.Random(3)
+    for name, template in ls.TEMPLATES.items():
+        words = re.findall(r"\w+", template)
+        n, most = len(words), ls.edits(len(words), ls.MIN_COVERAGE)
+        evenly = [range(most and n // most - 1, n, n // most)[:most]] if most else [()]
+        for places in evenly + [sorted(rng.sample(range(n), most)) for _ in range(12)]:
+            copy = list(words)
+            for k, p in enumerate(places):
+                copy[p] = rng.choice([f"zz{k}", "", f"zz{k} {copy[p]}"])  # replaced, left out, one put in
+            text = " ".join(["before", "that", *filter(None, copy), "comes", "after"])
+            got = [r for r in ls.scan(text, index, known) if r[0] == name]
+            assert got and got[0][1] >= n - most, (name, text)
+
+
+def test_scan_takes_other_coverages():
+    half = ls.Index({"n": " ".join(f"w{i}" for i in range(40))}, 0.6)
+    text = " ".join(f"w{i}" if i % 5 not in (1, 3) else f"x{i}" for i in range(40))
+    assert [r[1] for r in ls.scan(text, half, ls._Codes())] == [24]
+    assert ls.scan(text, ls.Index({"n": " ".join(f"w{i}" for i in range(40))}, 0.8), ls._Codes()) == []
+    assert [r[1] for r in ls.scan("a one b", ls.Index({"o": "One", "none": ""}), ls._Codes())] == [1]
+
+
 def test_scan_of_odd_rows(spark, docs, no_docs):
     assert ls.scan_documents(docs).count() == 0
     assert ls.scan_documents(no_docs).count() == 0
