@@ -306,6 +306,20 @@ def residual_replicates(
     )
 
 
+def leave_out_residuals(cells: DataFrame, keys: Sequence[str], group: str, groups: int, **options) -> DataFrame:
+    """``delta`` of every set with one group of its cells left out at a time: ``(<keys>, replicate, delta)``.
+
+    ``cells(<keys>, group, size, duration, cnt)`` with groups from 0 to ``groups - 1``; a replicate bears the number of
+    the group it lacks. Cells are counted before they are repeated, so the work grows with them and not with cascades.
+    A set keeps a row for each replicate that has any cell.
+    """
+    keys = list(keys)
+    lacking = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("replicate")
+    rest = cells.select("*", lacking).where(F.col("replicate") != F.col(group))
+    rest = rest.groupBy(*keys, "replicate", "size", "duration").agg(F.sum("cnt").alias("cnt"))
+    return exponents(rest, [*keys, "replicate"], **options).select(*keys, "replicate", "delta")
+
+
 def replicate_interval(residuals: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
     """Mean, 95% interval, half-width and the number of undefined replicates."""
     keys = list(keys)

@@ -10,6 +10,7 @@ from ripplework.operators.cascades import event_depth, reply_tree_cascades
 from ripplework.plans import frames as fr
 from ripplework.plans.catalog import query
 from ripplework.plans.sql import CASCADES, DEPTH, EV, FOREST, RANKED, r, with_
+from ripplework.session import checkpointed
 
 MIN_COUNT = 20
 REPLICATES = 20
@@ -265,58 +266,73 @@ def _(spark, sf):
     return sc.replicate_interval(residuals(spark, sf, fixed_threshold=True), ["set_id"], "delta_tail")
 
 
-# replicate residuals made of per-user measures: one set per user parity, one replicate per user
-_USER_RESIDUALS = """
-resid AS (SELECT 's' || CAST(CAST(stream_id AS BIGINT) % 2 AS VARCHAR) AS set_id, CAST(stream_id AS BIGINT) // 2 AS replicate,
-  (stddev_pop(gap) - avg(gap)) / (stddev_pop(gap) + avg(gap)) AS delta FROM rk GROUP BY stream_id)"""
+# residuals of each set with one of the groups of its users left out
+GROUPS = 8
 
 
-def user_residuals(spark, sf):
-    from ripplework.operators.shape import burstiness
-
-    events, _ = fr.user_streams(spark, sf)
-    uid = F.col("stream_id").cast("bigint")
-    return burstiness(events).select(
-        F.concat(F.lit("s"), (uid % 2).cast("string")).alias("set_id"),
-        F.floor(uid / 2).alias("replicate"),
-        F.col("burstiness").alias("delta"),
+def residual_cte(tag: str = "", source: str = "clean", before: str = "") -> str:
+    """``resid(set_id, replicate, delta)`` of ``source(set_id, cascade_id, size, duration)``, set and replicate as one set inside."""
+    parts = ",".join(
+        [
+            f"""grouped AS (SELECT *, CAST(split_part(cascade_id, ':', 1) AS BIGINT) // 2 % {GROUPS} AS own FROM {source}),
+            parts AS (SELECT set_id || '#' || x.g AS set_id, size, duration FROM grouped, generate_series(0, {GROUPS - 1}) x(g) WHERE x.g <> own)""",
+            scan_cte(SIZES.replace("clean", "parts"), "s"), scan_cte(DURATIONS.replace("clean", "parts"), "d"),
+            means_cte("parts"), slope_cte("1 / t", "c"),
+        ]
     )
+    return f"""
+resid{tag} AS MATERIALIZED (WITH {before}{parts}
+  SELECT split_part(set_id, '#', 1) AS set_id, CAST(split_part(set_id, '#', 2) AS BIGINT) AS replicate,
+    (d.alpha - 1) / (s.alpha - 1) - CASE WHEN c.n >= 4 THEN c.g END AS delta
+  FROM (SELECT DISTINCT set_id FROM parts) LEFT JOIN bests s USING (set_id) LEFT JOIN bestd d USING (set_id) LEFT JOIN coc c USING (set_id))"""
+
+
+def group_residuals(cascades):
+    group = F.expr(f"cast(split_part(cascade_id, ':', 1) as bigint) div 2 % {GROUPS}")
+    cells = sc.cascade_cells(cascades.withColumn("own", group), ["set_id", "own"])
+    return sc.leave_out_residuals(cells, ["set_id"], "own", GROUPS, min_count=MIN_COUNT)
+
+
+_RESIDUALS = "WITH " + CASCADES + "," + residual_cte()
 
 
 @query(
     "sca10_corroboration",
-    with_(
-        EV, RANKED, _USER_RESIDUALS,
-        """iv AS (SELECT set_id, avg(delta) AS mean, count(*) FILTER (WHERE delta IS NULL) AS n_undefined, count(*) AS n_replicates,
-          quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM resid GROUP BY 1)""",
-    )
-    + f"""SELECT set_id, {r('mean', 'mean')}, n_undefined, n_replicates, {r('lo', 'lo')}, {r('hi', 'hi')}, {r('(hi - lo) / 2', 'halfwidth')},
+    _RESIDUALS
+    + f""",
+    iv AS (SELECT set_id, avg(delta) AS mean, count(*) FILTER (WHERE delta IS NULL) AS n_undefined, count(*) AS n_replicates,
+      quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM resid GROUP BY 1)
+    SELECT set_id, {r('mean', 'mean', 4)}, n_undefined, n_replicates, {r('lo', 'lo', 4)}, {r('hi', 'hi', 4)}, {r('(hi - lo) / 2', 'halfwidth', 4)},
     CASE WHEN abs(mean) <= 2.0 * (hi - lo) / 2 THEN 'not-grossly-violated' ELSE 'grossly-violated' END AS label FROM iv""",
+    digits=4,
 )
 def _(spark, sf):
-    return sc.corroboration(sc.replicate_interval(user_residuals(spark, sf), ["set_id"]))
+    return sc.corroboration(sc.replicate_interval(group_residuals(fr.set_cascades(spark, sf)), ["set_id"]))
 
 
 @query(
     "agg11_seed_resolution",
-    with_(EV, RANKED, _USER_RESIDUALS)
-    + f"""SELECT set_id, {r('avg(delta)', 'mean_delta')}, {r('stddev_samp(delta)', 'sd_seed')},
-    {r('2 * sqrt(2.0) * stddev_samp(delta)', 'resolution')} FROM resid GROUP BY 1""",
+    _RESIDUALS
+    + f""" SELECT set_id, {r('avg(delta)', 'mean_delta', 4)}, {r('stddev_samp(delta)', 'sd_seed', 4)},
+    {r('2 * sqrt(2.0) * stddev_samp(delta)', 'resolution', 4)} FROM resid GROUP BY 1""",
+    digits=4,
 )
 def _(spark, sf):
-    return sc.seed_resolution(user_residuals(spark, sf), ["set_id"])
+    return sc.seed_resolution(group_residuals(fr.set_cascades(spark, sf)), ["set_id"])
 
 
 @query(
     "agg12_replicate_percentiles",
-    with_(EV, RANKED, _USER_RESIDUALS)
-    + f"""SELECT set_id, {r('median(delta)', 'p50')}, {r('quantile_cont(delta, 0.025)', 'p025')}, {r('quantile_cont(delta, 0.9)', 'p90')}
+    _RESIDUALS
+    + f""" SELECT set_id, {r('median(delta)', 'p50', 4)}, {r('quantile_cont(delta, 0.025)', 'p025', 4)}, {r('quantile_cont(delta, 0.9)', 'p90', 4)}
     FROM resid GROUP BY 1""",
+    digits=4,
 )
 def _(spark, sf):
     from ripplework.operators.sequence import group_quantiles
 
-    return group_quantiles(user_residuals(spark, sf), ["set_id"], "delta", {"p50": 0.5, "p025": 0.025, "p90": 0.9})
+    rows = group_residuals(fr.set_cascades(spark, sf))
+    return group_quantiles(rows, ["set_id"], "delta", {"p50": 0.5, "p025": 0.025, "p90": 0.9})
 
 
 def shuffle_cte(fraction: float, seed: int = 0) -> str:
@@ -345,40 +361,48 @@ def _(spark, sf):
     return sc.shuffle_pairing(fr.set_cascades(spark, sf), ["set_id"], 0.25, seed=7)
 
 
+FRACTIONS = (0.25, 1.0)
+
+
 @query(
     "sca12_resolution_table",
-    "WITH " + CASCADES
-    + f""", draws AS (SELECT CASE WHEN CAST(split_part(cascade_id, ':', 1) AS BIGINT) % 3 = 0 THEN 'third' ELSE 'rest' END AS n_label,
-      (CAST(split_part(cascade_id, ':', 1) AS BIGINT) % 5) AS seed, size, duration FROM clean),
-    m AS (SELECT n_label, seed, avg(size * 1.0) / avg(duration) - 1.0 AS delta FROM draws GROUP BY 1, 2)
-    SELECT n_label, {r('avg(delta)', 'mean_delta')}, {r('stddev_samp(delta)', 'sd_seed')}, {r('2 * sqrt(2.0) * stddev_samp(delta)', 'resolution')},
-    0.25 AS fraction, {r('avg(delta) / 2', 'mean_violation')}, avg(delta) / 2 > 2 * sqrt(2.0) * stddev_samp(delta) AS resolved
-    FROM m GROUP BY 1""",
+    _RESIDUALS + ","
+    + ",".join(residual_cte(f"_{n}", "mixed", shuffle_cte(f, 7).lstrip() + ",") for n, f in enumerate(FRACTIONS))
+    + ",\nviol AS ("
+    + " UNION ALL ".join(
+        f"SELECT set_id, {f}::DOUBLE AS fraction, avg(abs(m.delta - r.delta)) AS v FROM resid r JOIN resid_{n} m USING (set_id, replicate) GROUP BY 1"
+        for n, f in enumerate(FRACTIONS)
+    )
+    + f"""),
+    res AS (SELECT set_id, avg(delta) AS mean_delta, stddev_samp(delta) AS sd FROM resid GROUP BY 1)
+    SELECT set_id, {r('mean_delta', 'mean_delta', 4)}, {r('sd', 'sd_seed', 4)}, {r('2 * sqrt(2.0) * sd', 'resolution', 4)},
+    fraction, {r('v', 'mean_violation', 4)}, v > 2 * sqrt(2.0) * sd AS resolved FROM viol JOIN res USING (set_id)""",
+    digits=4,
 )
 def _(spark, sf):
-    rows = sc.uncensored(fr.set_cascades(spark, sf))
-    user = F.split_part("cascade_id", F.lit(":"), F.lit(1)).cast("bigint")
-    per_seed = rows.groupBy(
-        F.when(user % 3 == 0, "third").otherwise("rest").alias("n_label"), (user % 5).alias("seed")
-    ).agg((F.avg("size") / F.avg("duration") - 1.0).alias("delta"))
-    resolution = sc.seed_resolution(per_seed, ["n_label"])
-    violations = per_seed.select("n_label", F.lit(0.25).alias("fraction"), (F.col("delta") / 2).alias("violation"))
-    return sc.violation_table(violations, resolution, ["n_label"])
-
-
-_TEST_REFERENCE = """
-ref AS (SELECT replicate, delta AS b FROM resid WHERE set_id = 's0'),
-tst AS (SELECT set_id, replicate, delta AS a FROM resid WHERE set_id = 's1')"""
+    rows = checkpointed(fr.set_cascades(spark, sf))
+    plain = checkpointed(group_residuals(rows))
+    violations = None
+    for fraction in FRACTIONS:
+        shuffled = group_residuals(sc.shuffle_pairing(rows, ["set_id"], fraction, seed=7))
+        part = plain.join(shuffled.withColumnRenamed("delta", "_new"), ["set_id", "replicate"]).select(
+            "set_id", F.lit(fraction).alias("fraction"), F.abs(F.col("_new") - F.col("delta")).alias("violation")
+        )
+        violations = part if violations is None else violations.unionByName(part)
+    return sc.violation_table(violations, sc.seed_resolution(plain, ["set_id"]), ["set_id"])
 
 
 @query(
     "sca13_referenced_interval",
-    with_(EV, RANKED, _USER_RESIDUALS, _TEST_REFERENCE, "d AS (SELECT set_id, a - b AS diff FROM tst JOIN ref USING (replicate))")
-    + f"""SELECT set_id, {r('quantile_cont(diff, 0.025)', 'lo')}, {r('quantile_cont(diff, 0.975)', 'hi')},
+    _RESIDUALS
+    + f""",
+    d AS (SELECT t.set_id, t.delta - b.delta AS diff FROM resid t JOIN resid b USING (replicate) WHERE t.set_id = 's1' AND b.set_id = 's0')
+    SELECT set_id, {r('quantile_cont(diff, 0.025)', 'lo', 4)}, {r('quantile_cont(diff, 0.975)', 'hi', 4)},
     quantile_cont(diff, 0.025) <= 0 AND quantile_cont(diff, 0.975) >= 0 AS contains_zero FROM d GROUP BY 1""",
+    digits=4,
 )
 def _(spark, sf):
-    rows = user_residuals(spark, sf)
+    rows = checkpointed(group_residuals(fr.set_cascades(spark, sf)))
     return sc.referenced_interval(rows.where("set_id = 's1'"), rows.where("set_id = 's0'"))
 
 
