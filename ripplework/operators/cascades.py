@@ -236,3 +236,9 @@ def generative_branching(events_per_stream: DataFrame, counters: DataFrame) -> D
 
 def trajectory_variance(trajectory: DataFrame) -> DataFrame:
     return trajectory.groupBy(*STREAM).agg(F.var_pop("value").alias("chi"))
+
+
+def reply_share(forest: DataFrame) -> DataFrame:
+    """``stream_id, n_true``: replies as a share of all events, the branching ratio that a labelled forest has."""
+    is_reply = F.when(F.col("parent_idx").isNotNull(), 1.0).otherwise(0.0)
+    return forest.groupBy("stream_id").agg(F.avg(is_reply).alias("n_true"))

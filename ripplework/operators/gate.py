@@ -94,24 +94,19 @@ def profile_shape(ll: DataFrame, lo: float = 0.30, hi: float = 0.90) -> DataFram
     )
 
 
-def profile_sharpness(ll_coarse: DataFrame, ll_fine: DataFrame) -> DataFrame:
-    """Peak, its height above ``n = 1.05`` and whether a finer shape grid moves it."""
-    prof = profile(ll_coarse)
+def peak_sharpness(ll: DataFrame) -> DataFrame:
+    """Peak of the profile and its height above ``n = 1.05``; NULL where that ``n`` is not in the grid."""
+    prof = profile(ll)
     near = F.abs(F.col("n") - SHARPNESS_REFERENCE) < 1e-9
     reference = prof.groupBy(*STREAM).agg(F.max(F.when(near, F.col("ll"))).alias("_ref"))
+    return peak(prof).join(reference, STREAM).select("stream_id", "n", (F.col("ll") - F.col("_ref")).alias("sharpness"))
+
+
+def profile_sharpness(ll_coarse: DataFrame, ll_fine: DataFrame) -> DataFrame:
+    """Peak, its height above ``n = 1.05`` and whether a finer shape grid moves it."""
     fine = peak(profile(ll_fine)).select("stream_id", F.col("n").alias("n_fine"))
-    return (
-        peak(prof)
-        .join(reference, STREAM)
-        .join(fine, STREAM)
-        .select(
-            "stream_id",
-            "n",
-            "n_fine",
-            (F.col("ll") - F.col("_ref")).alias("sharpness"),
-            (F.abs(F.col("n") - F.col("n_fine")) < STABILITY_TOLERANCE).alias("stable"),
-        )
-    )
+    stable = F.abs(F.col("n") - F.col("n_fine")) < STABILITY_TOLERANCE
+    return peak_sharpness(ll_coarse).join(fine, STREAM).select("stream_id", "n", "n_fine", "sharpness", stable.alias("stable"))
 
 
 def recovery_shape(ll: DataFrame, truth: DataFrame) -> DataFrame:

@@ -362,3 +362,18 @@ def with_segments(events: DataFrame, edges: DataFrame) -> DataFrame:
         return F.coalesce(F.try_divide(t - lo, hi - lo), F.lit(0.0))
 
     return rows.withColumn("weights", F.transform("_all", place)).drop("_all")
+
+
+def shuffled_gaps(events: DataFrame, seed: int = 0, digits: int = 6) -> DataFrame:
+    """A control for every stream: its own gaps in an order drawn by hash, so trends and clusters are gone.
+
+    The first event stays at 0; as many events and the same span as before. Times are rounded to
+    ``digits``, so they do not depend on how running sums are put together. Streams that hold most rows are ordered in blocks.
+    """
+    steps = arrange(events.select("stream_id", "event_id", "t"), ["stream_id"], ["t", "event_id"]).add(lags={"_before": "t"}).rows()
+    steps = steps.select(
+        "stream_id", "event_id", F.col("_before").isNotNull().alias("_later"), (F.col("t") - F.col("_before")).alias("_gap"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), "stream_id", F.col("event_id").cast("string"))).alias("_mix"),
+    )
+    mixed = arrange(steps, ["stream_id"], ["_later", "_mix", "event_id"]).add(sums={"_t": "_gap"}).rows()
+    return mixed.select("stream_id", "event_id", F.round(F.coalesce("_t", F.lit(0.0)), digits).alias("t"))

@@ -15,7 +15,7 @@ from ripplework.operators import verdict as ve
 from ripplework.operators.shape import burstiness, stream_spans
 from ripplework.plans import frames as fr
 from ripplework.plans.catalog import query
-from ripplework.plans.fit_queries import _NULLS, DISTANCE, FITTED, C, EPS, null_table, observed_distance
+from ripplework.plans.fit_queries import _GRID, _NULLS, DISTANCE, FITTED, C, EPS, constant_grid, null_table, observed_distance
 from ripplework.plans.shape_queries import _RATES
 from ripplework.plans.sql import EV, MESSAGES, RANKED, r, with_
 from ripplework.session import checkpointed
@@ -208,21 +208,17 @@ def _(spark, sf):
 
 @query(
     "rep06_separation_rule",
-    with_(
-        EV, RANKED, _MARKETS, _RUNS,
-        """cap AS (SELECT quantile_cont(peak, 0.95) AS genuine_q95 FROM runs WHERE peak > 1.0),
-        ok AS (SELECT bool_and(peak <= 1.0 OR (peak >= 1.175 AND peak * 10 >= 10)) AS markets_sharp,
-          count(*) FILTER (WHERE NOT (peak <= 1.0 OR (peak >= 1.175 AND peak * 10 >= 10))) AS n_failing FROM mk)""",
-        recursive=True,
-    )
-    + f"""SELECT {r('genuine_q95', 'genuine_q95')}, markets_sharp, n_failing,
+    _GRID.rstrip() + ",\n" + _RUNS
+    + f""",
+    cap AS (SELECT quantile_cont(peak, 0.95) AS genuine_q95 FROM runs WHERE peak > 1.0),
+    mk AS (SELECT t.stream_id, t.n, t.ll - p.ll AS sharpness FROM top t JOIN prof p ON p.stream_id = t.stream_id AND abs(p.n - 1.05) < 1e-9),
+    ok AS (SELECT bool_and(n <= 1.0 OR (n >= 1.175 AND sharpness >= 10)) AS markets_sharp,
+      count(*) FILTER (WHERE NOT (n <= 1.0 OR (n >= 1.175 AND sharpness >= 10))) AS n_failing FROM mk)
+    SELECT {r('genuine_q95', 'genuine_q95')}, markets_sharp, n_failing,
     CASE WHEN genuine_q95 <= 1.125 AND markets_sharp THEN 'holds' ELSE 'collapses' END AS verdict FROM ok, cap""",
 )
 def _(spark, sf):
-    markets = market_peaks(spark, sf).select(
-        "stream_id", F.col("peak").alias("n"), (F.col("peak") * 10).alias("sharpness")
-    )
-    return re.separation_rule(gate_runs(spark, sf), markets)
+    return re.separation_rule(gate_runs(spark, sf), ga.peak_sharpness(constant_grid(spark, sf)))
 
 
 @query(

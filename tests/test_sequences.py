@@ -190,3 +190,37 @@ def test_exponents_keep_every_set(spark):
     out = {r.set_id: r for r in exponents(spark.createDataFrame(cells, "set_id string, size long, duration long, cnt long"), ["set_id"]).collect()}
     assert set(out) == {"equal", "plain"}
     assert out["equal"].tau is None and out["equal"].delta is None and out["plain"].tau is not None
+
+
+@pytest.mark.parametrize("block_rows", [None, 3])
+def test_shuffled_gaps_keep_gaps_and_span(spark, block_rows):
+    rows = [(f"s{i % 3}", i, float((i * i) % 97) + i / 8) for i in range(60)] + [("one", 1, 4.0)]
+    events = spark.createDataFrame(rows, "stream_id string, event_id long, t double")
+    spark.conf.set(MAX_ROWS_KEY, str(block_rows or 2_000_000))
+    try:
+        found = sh.shuffled_gaps(events).collect()
+    finally:
+        spark.conf.unset(MAX_ROWS_KEY)
+    assert len(found) == len(rows)
+    for stream in ("s0", "s1", "s2", "one"):
+        old, new = sorted(r[2] for r in rows if r[0] == stream), sorted(r["t"] for r in found if r["stream_id"] == stream)
+        assert new[0] == 0 and new[-1] == pytest.approx(old[-1] - old[0])
+        gaps = [sorted(b - a for a, b in zip(x, x[1:])) for x in (old, new)]
+        assert gaps[0] == pytest.approx(gaps[1])
+    assert {(r["stream_id"], r["t"]) for r in sh.shuffled_gaps(events, seed=1).collect()} != {(r["stream_id"], r["t"]) for r in found}
+
+
+def test_replies_as_a_share_of_all_events(spark):
+    rows = [("a", 0, None), ("a", 1, 0), ("a", 2, 1), ("a", 3, None), ("b", 0, None)]
+    forest = spark.createDataFrame(rows, "stream_id string, idx long, parent_idx long")
+    assert {r["stream_id"]: r["n_true"] for r in ca.reply_share(forest).collect()} == {"a": 0.5, "b": 0.0}
+
+
+def test_a_left_out_group_changes_only_its_own_replicate(spark):
+    cells = [("x", g, s, d, 40 + 7 * g + s) for g in range(3) for d in range(1, 8) for s in (d, d * d, d * d + 2)]
+    table = spark.createDataFrame(cells, "set_id string, own int, size long, duration long, cnt long")
+    found = {r["replicate"]: r["delta"] for r in sc.leave_out_residuals(table, ["set_id"], "own", 3, min_count=20).collect()}
+    assert sorted(found) == [0, 1, 2] and None not in found.values()
+    for g in found:
+        rest = table.where(f"own <> {g}").groupBy("set_id", "size", "duration").agg(F.sum("cnt").alias("cnt"))
+        assert sc.exponents(rest, ["set_id"], min_count=20).first()["delta"] == pytest.approx(found[g])
