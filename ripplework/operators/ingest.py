@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplework.operators.sequence import arrange, group_quantiles, has_hot_group
+from ripplework.session import checkpointed
 
 EVENT_UNITS = ("fill", "match", "transaction")
 
@@ -67,26 +68,63 @@ def repeated_prices(messages: DataFrame, *, blocked: bool | None = None) -> Data
     )
 
 
-def receive_runs(messages: DataFrame, gap_s: float) -> DataFrame:
+#: a time range of one level holds ``2 ** RANGE_BITS`` of those below it; ``RANGE_LEVELS`` of them cover all of a long
+RANGE_BITS = 16
+RANGE_LEVELS = 4
+
+
+def _numbered(buckets: DataFrame, gap_s: float, bits: int, levels: int) -> DataFrame:
+    """``buckets(_id, _first, _last, _n)`` with ``run_id``, the number of gaps above ``gap_s`` before each.
+
+    A range of times is summed up by its first and last time and the gaps inside, and neighbouring ranges
+    combine to the same three. Going up, ranges become the rows of larger ranges; going down, each learns the last
+    time and the gaps before it. A window holds at most the ``2 ** bits`` rows of one range.
+    """
+    inside = Window.partitionBy("_up").orderBy("_id")
+    wide = F.lit(float(gap_s))
+    up = F.shiftright("_id", bits).alias("_up")
+
+    def broken(before):
+        return F.coalesce(F.col("_first") - before > wide, F.lit(False)).cast("bigint")
+
+    tables = [buckets.withColumn("_breaks", F.lit(0).cast("bigint"))]
+    for _ in range(levels - 1):
+        rows = tables[-1].select("*", up).withColumn("_gap", broken(F.lag("_last").over(inside)))
+        summed = rows.groupBy("_up").agg(
+            F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum(F.col("_breaks") + F.col("_gap")).alias("_breaks")
+        )
+        tables.append(summed.withColumnRenamed("_up", "_id"))
+    # the ranges of the highest level lie side by side in one window
+    top = tables.pop()
+    rows = top.withColumns({"_up": F.lit(0), "_before": F.lit(None).cast("double"), "_runs": F.lit(0).cast("bigint")})
+    while True:
+        rows = rows.withColumn("_before", F.coalesce(F.lag("_last").over(inside), "_before"))
+        rows = rows.withColumn("_gap", broken(F.col("_before")))
+        rows = rows.withColumn("_start", F.col("_runs") + F.sum(F.col("_gap") + F.col("_breaks")).over(inside) - F.col("_breaks"))
+        if not tables:
+            return rows.withColumnRenamed("_start", "run_id")
+        # the gap that opens a range is counted by the first row inside
+        known = rows.select(F.col("_id").alias("_up"), "_before", (F.col("_start") - F.col("_gap")).alias("_runs"))
+        rows = tables.pop().select("*", up).join(known, "_up")
+
+
+def receive_runs(messages: DataFrame, gap_s: float, *, bits: int = RANGE_BITS, levels: int = RANGE_LEVELS) -> DataFrame:
     """Capture-wide runs of receive times without a gap above ``gap_s``.
 
     Two times in one bucket of width ``gap_s`` cannot be further apart than the gap, so runs are
-    found on one row per bucket: the ordered part grows with the capture's time span, not its rows.
+    found on one row per bucket, and buckets are numbered range by range: no task holds the whole feed.
     """
     buckets = (
         messages.where(F.col("recv_ts").isNotNull())
-        .groupBy(F.floor(F.col("recv_ts") / F.lit(float(gap_s))).alias("_bucket"))
+        .groupBy(F.floor(F.col("recv_ts") / F.lit(float(gap_s))).alias("_id"))
         .agg(
-            F.min("recv_ts").alias("_first"),
-            F.max("recv_ts").alias("_last"),
+            F.min("recv_ts").cast("double").alias("_first"),
+            F.max("recv_ts").cast("double").alias("_last"),
             F.count(F.lit(1)).alias("_n"),
         )
     )
-    whole = Window.orderBy("_bucket")
-    broken = F.col("_first") - F.lag("_last").over(whole) > F.lit(float(gap_s))
     return (
-        buckets.withColumn("_new", F.coalesce(broken, F.lit(False)).cast("int"))
-        .withColumn("run_id", F.sum("_new").over(whole).cast("bigint"))
+        _numbered(checkpointed(buckets), gap_s, bits, levels)
         .groupBy("run_id")
         .agg(
             F.min("_first").alias("run_start"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplework.functions.columns import wilson_interval, with_binomial_upper
@@ -154,8 +154,10 @@ def level_sweep(values: DataFrame) -> DataFrame:
     per = values.groupBy("level").agg(
         F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value")
     )
-    everything = Window.partitionBy()  # one row per level
-    others = F.try_divide(
-        F.sum("mean_value").over(everything) - F.col("mean_value"), F.count(F.lit(1)).over(everything) - 1
+    whole = per.agg(F.sum("mean_value").alias("_sum"), F.count(F.lit(1)).alias("_levels"))
+    others = F.try_divide(F.col("_sum") - F.col("mean_value"), F.col("_levels") - 1)
+    return (
+        per.join(F.broadcast(whole))  # one row
+        .withColumn("ratio_to_others", F.try_divide(F.col("mean_value"), others))
+        .drop("_sum", "_levels")
     )
-    return per.withColumn("ratio_to_others", F.try_divide(F.col("mean_value"), others))

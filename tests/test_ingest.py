@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,27 @@ def test_outage_guard(spark, recv, gap, kept):
     assert ingest.outage_filter(nothing, 5.0).count() == 1
 
 
+def test_receive_runs_over_many_ranges(spark):
+    """Ranges of 2 and 16 buckets against a loop, with gaps inside, between and across several ranges."""
+    draw, times, at = random.Random(5), [], -4000.0
+    for _ in range(3000):
+        at += draw.choice([0.0, 0.25, 1.0, 4.0, 5.0, 5.25, 9.0, 40.0])
+        times.append(at)
+    times += [at + 1e6, at + 1e6]
+    rows = spark.createDataFrame([(t,) for t in draw.sample(times, len(times))] + [(None,)], "recv_ts double")
+    want = [[times[0], times[0], 0]]
+    for before, t in zip([times[0], *times], times):
+        if t - before > 5.0:
+            want.append([t, t, 0])
+        want[-1][1:] = t, want[-1][2] + 1
+    for bits in (1, 4, ingest.RANGE_BITS):
+        runs = ingest.receive_runs(rows, 5.0, bits=bits)
+        got = sorted(tuple(r) for r in runs.select("run_id", "run_start", "run_end", "n_events").collect())
+        assert got == [(i, *w) for i, w in enumerate(want)]
+    assert len(want) > 200 and (times[-1] - times[0]) / 5.0 / 16 > 200
+    assert ingest.receive_runs(rows.where("recv_ts IS NULL"), 5.0).count() == 0
+
+
 def test_fills(spark):
     rows = [("m", 1, 1000, "0", "7", 60_000_000, 100_000_000), ("m", 2, 1006, "9", "0", 50_000_000, 30_000_000)]
     fills = spark.createDataFrame([(a, b, c, d, e, f, g) for a, b, c, d, e, f, g in rows],
