@@ -197,16 +197,19 @@ def log_likelihood(
 ) -> DataFrame:
     """Log-likelihood of a constant baseline at every ``(mu, n)`` point, per stream and kernel.
 
-    One aggregation over the events: every event adds its log intensity for all points at once.
+    One aggregation over the events with a sum for every kernel and point, so neither rows nor what is shuffled
+    grow with their number.
     """
     scanned = self_excitation(events, kernels, blocked=blocked)
-    grid = F.array(*[F.struct(F.lit(float(m)).alias("mu"), F.lit(float(n)).alias("n")) for m, n in points])
-    rows = scanned.select("stream_id", F.posexplode("sums").alias("kernel_idx", "s")).withColumn(
-        "p", F.explode(grid)
-    )
-    logs = rows.groupBy("stream_id", "kernel_idx", "p.mu", "p.n").agg(
-        F.sum(F.log(F.col("p.mu") + F.col("p.n") * F.col("s"))).alias("_log")
+    cells = [(k, float(mu), float(n)) for k in range(len(kernels)) for mu, n in points]
+    sums = [F.sum(F.log(F.lit(mu) + F.lit(n) * F.get("sums", F.lit(k)))).alias(f"_{i}") for i, (k, mu, n) in enumerate(cells)]
+    found = F.array(
+        *[
+            F.struct(F.lit(k).alias("kernel_idx"), F.lit(mu).alias("mu"), F.lit(n).alias("n"), F.col(f"_{i}").alias("_log"))
+            for i, (k, mu, n) in enumerate(cells)
+        ]
     )
+    logs = scanned.groupBy("stream_id").agg(*sums).select("stream_id", F.inline(found))
     mass = horizon_mass(events, streams, kernels)
     return (
         logs.join(mass, ["stream_id", "kernel_idx"])

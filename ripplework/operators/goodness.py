@@ -215,12 +215,19 @@ def binned_fit(
         totals = rows.groupBy("stream_id").agg(
             F.sum("cnt").alias("_all"), F.sum(F.col("cnt") * F.col("later")).alias("_later")
         )
-        mu_bin = (F.col("_all") - F.col("n") * F.col("_later")) / F.col("n_bins")
-        cells = rows.join(totals, STREAM).withColumn("n", F.explode(F.array(*[F.lit(float(n)) for n in ns])))
-        cells = cells.withColumn("_mu", mu_bin).where(F.col("_mu") > 0)
-        scored = cells.groupBy("stream_id", "n").agg(
-            (F.sum(F.col("cnt") * F.log(F.col("_mu") + F.col("n") * F.col("excited"))) - F.first("_all")).alias("ll")
+        level = [(F.col("_all") - F.lit(float(n)) * F.col("_later")) / F.col("n_bins") for n in ns]
+        sums = [F.sum(F.col("cnt") * F.log(mu + F.lit(float(n)) * F.col("excited"))) for n, mu in zip(ns, level, strict=True)]
+        # one sum for every n in one row a stream; the baseline is the same for all rows of a stream
+        summed = rows.join(totals, STREAM).groupBy("stream_id").agg(
+            F.first("_all").alias("_all"),
+            *[f.alias(f"_ll{i}") for i, f in enumerate(sums)],
+            *[F.first(mu).alias(f"_mu{i}") for i, mu in enumerate(level)],
         )
+        cells = [
+            F.struct(F.lit(float(n)).alias("n"), F.col(f"_mu{i}").alias("_mu"), (F.col(f"_ll{i}") - F.col("_all")).alias("ll"))
+            for i, n in enumerate(ns)
+        ]
+        scored = summed.select("stream_id", F.inline(F.array(*cells))).where(F.col("_mu") > 0).drop("_mu")
         scored = scored.withColumn("beta", F.lit(float(beta)))
         best = scored if best is None else best.unionByName(scored)
     pick = F.min_by(F.struct("n", "beta", "ll"), F.struct(-F.col("ll"), F.col("n"), F.col("beta")))
