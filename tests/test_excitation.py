@@ -118,9 +118,34 @@ def test_gate_tie_and_migration_rules(spark):
     assert (v.peak_closed, v.peak, v.peak_capped, v.identified) == (0.6, 1.2, 0.6, False)
 
 
-def test_binned_fit_runs_high_on_coarse_bins(spark, events):
-    fits = go.binned_fit(events, stream_spans(events), 2.0, [0.5, 1.0])
-    assert {r.stream_id for r in fits.collect()} == {"a", "b"} and fits.where("n < 0 OR n > 1.5").isEmpty()
+def test_binned_fit_equals_a_loop_over_bins(spark, events):
+    """The best cell of the whole grid, with expected offspring of earlier bins taken from bin middles."""
+    width, betas = 2.0, [0.5, 1.0]
+    streams = stream_spans(events)
+    got = {r.stream_id: r for r in go.binned_fit(events, streams, width, betas).collect()}
+    horizon = {r.stream_id: r.horizon for r in streams.collect()}
+    times = events.toPandas().groupby("stream_id")["t"]
+    assert set(got) == set(horizon) == {"a", "b"}
+    for sid, t in times:
+        bins = {r.n_bins for r in go._binned_rows(events, streams.where(F.col("stream_id") == sid), width, 1.0).collect()}
+        (size,) = bins
+        assert abs(size - horizon[sid] / width) <= 1
+        counts = np.bincount(np.minimum((t.to_numpy() // width).astype(int), size - 1), minlength=size)
+        cells = []
+        for beta in betas:
+            decay, half = np.exp(-beta * width), np.exp(-0.5 * beta * width)
+            excited, carried = np.zeros(size), 0.0
+            for k in range(size):
+                excited[k] = carried * half * (1 - decay)
+                carried = carried * decay + counts[k]
+            later = (counts * half * (1 - decay ** (size - 1 - np.arange(size)))).sum()
+            full = counts > 0
+            for n in go.BINNED_N_GRID:
+                mu = (counts.sum() - n * later) / size
+                if mu > 0:
+                    cells.append(((counts[full] * np.log(mu + n * excited[full])).sum() - counts.sum(), n, beta))
+        ll, n, beta = max(cells, key=lambda c: (c[0], -c[1], -c[2]))
+        assert (got[sid].n, got[sid].beta) == (n, beta) and got[sid].ll == pytest.approx(ll, rel=1e-9)
 
 
 def test_every_stream_keeps_a_row_in_fits(spark):
